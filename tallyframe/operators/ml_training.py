@@ -174,16 +174,35 @@ def prepare(
     return rows.filter(F.col(LABEL).isNotNull())
 
 
-def _fit(estimator, stages, train, task, labels) -> PipelineModel:
-    if task == "classification":
-        indexer = StringIndexerModel.from_labels(labels, inputCol=LABEL, outputCol=INDEX, handleInvalid="keep")
-        train = ml_split.with_class_weight(indexer.transform(train), LABEL)
-    if estimator is None:
-        return Pipeline(stages=stages).fit(train)
-    after = []
+@dataclass
+class _Prepared:
+    """Fitted preprocessing and the transformed training rows, kept in memory."""
+
+    stages: PipelineModel
+    rows: DataFrame
+
+
+def _prepared(train: DataFrame, features: Sequence[Row], task: str, labels: list[str]) -> _Prepared:
+    """Fits the preprocessing once for all candidates of a training part."""
+    stages = Pipeline(stages=preprocessing(train, features)).fit(train)
+    rows = stages.transform(train)
+    columns = [LABEL, FEATURES]
     if task == "classification":
-        after = [IndexToString(inputCol="prediction", outputCol="_predicted", labels=labels)]
-    return Pipeline(stages=[*stages, estimator, *after]).fit(train)
+        indexer = StringIndexerModel.from_labels(
+            labels, inputCol=LABEL, outputCol=INDEX, handleInvalid="keep"
+        )
+        rows = ml_split.with_class_weight(indexer.transform(rows), LABEL)
+        columns += [INDEX, "weight"]
+    return _Prepared(stages, rows.select(*columns).persist())
+
+
+def _fit(estimator, prepared: _Prepared, task: str, labels: list[str]) -> PipelineModel:
+    stages = list(prepared.stages.stages)
+    if estimator is not None:
+        stages.append(estimator.fit(prepared.rows))
+        if task == "classification":
+            stages.append(IndexToString(inputCol="prediction", outputCol="_predicted", labels=labels))
+    return PipelineModel(stages)
 
 
 def apply_model(trained: TrainedModel, rows: DataFrame) -> DataFrame:
@@ -285,25 +304,30 @@ def train(
         baseline = ml_metrics.mean_baseline(train_rows, test_rows, LABEL)
     baseline = baseline.first().asDict()
 
-    cross_validate = folds and (task == "regression" or min(balance.values()) >= folds)
+    cross_validate = bool(folds) and (task == "regression" or min(balance.values()) >= folds)
+    whole = _prepared(train_rows, features, task, labels)
+    parts = []
+    if cross_validate:
+        for fold in range(folds):
+            part = placed.filter(F.col("fold") != fold)
+            parts.append((part, _prepared(part, features, task, labels), placed.filter(F.col("fold") == fold)))
     compared, best, best_metrics = [], None, None
     for name, estimator in candidate_models(task, mode, n, len(labels)):
         started = time.time()
 
-        def fit(part: DataFrame) -> TrainedModel:
-            model = _fit(estimator, preprocessing(part, features), part, task, labels)
+        def fit(part: DataFrame, prepared: _Prepared) -> TrainedModel:
+            model = _fit(estimator, prepared, task, labels)
             neighbours = part if estimator is None else None
             return TrainedModel(target, task, name, features, model, labels, neighbours)
 
         try:
-            trained = fit(train_rows)
+            trained = fit(train_rows, whole)
             metrics, selected = evaluate(apply_model(trained, test_rows), task, imbalanced, labels)
             score = metrics[selected]
             if cross_validate:
                 scores = []
-                for fold in range(folds):
-                    part = fit(placed.filter(F.col("fold") != fold))
-                    scored = apply_model(part, placed.filter(F.col("fold") == fold))
+                for part, prepared, held_out in parts:
+                    scored = apply_model(fit(part, prepared), held_out)
                     scores.append(evaluate(scored, task, imbalanced, labels)[0][selected])
                 mean = sum(scores) / folds
                 spread = (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
@@ -328,6 +352,8 @@ def train(
     if folds:
         method += f" + {folds}-fold cross-validation"
     n_test = test_rows.count()
+    for kept in [whole.rows, *[prepared.rows for _, prepared, _ in parts]]:
+        kept.unpersist()
     summary = {
         "target": target,
         "task_type": task,
