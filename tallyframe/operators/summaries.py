@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.tokens import FALSE_TOKENS, TRUE_TOKENS
@@ -25,13 +25,12 @@ from . import ordered
 from .cleaning import duplicate_rows
 from .filters import outside_fences
 from .frequency import column_totals, top_values, value_frequencies
-from .tools import guarded_pearson
 
 TOP_CATEGORIES = 12
 MANY_CATEGORIES = 50
 IMBALANCED_SHARE = 0.8
 TOP_PAIRS = 20
-# Correlations computed per aggregate; more would outgrow code generation.
+# Correlations computed per aggregate; more would outgrow compiled code.
 PAIRS_PER_PASS = 60
 
 
@@ -218,29 +217,76 @@ def datetime_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def all_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows (x, y, correlation) for every pair x < y by name, null included."""
+    """Rows (x, y, correlation) for every pair x < y by name, null included.
+
+    A first scan takes count, mean and range per column.  The second sums
+    products of centred values: one sum per pair of complete columns, and six
+    for a pair with nulls, which has its own set of rows.
+    """
     names = sorted(columns)
     pairs = list(combinations(names, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "x string, y string, correlation double")
     wide = df.select(*[to_number(ref(n), dtype_of(df, n)).alias(n) for n in names])
+    firsts = wide.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(ref(n)).alias(f"n{i}") for i, n in enumerate(names)],
+        *[F.avg(ref(n)).alias(f"m{i}") for i, n in enumerate(names)],
+        *[(F.min(ref(n)) < F.max(ref(n))).alias(f"v{i}") for i, n in enumerate(names)],
+    ).first()
+    varying = {n for i, n in enumerate(names) if firsts[f"v{i}"]}
+    complete = {n: firsts[f"n{i}"] == firsts["n"] for i, n in enumerate(names)}
+    centred = wide.select(
+        *[(ref(n) - F.lit(firsts[f"m{i}"])).alias(n) for i, n in enumerate(names)]
+    )
     result = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start : start + PAIRS_PER_PASS]
-        values = wide.agg(
-            *[guarded_pearson(ref(a), ref(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)]
-        )
-        structs = [
-            F.struct(
-                F.lit(a).alias("x"), F.lit(b).alias("y"), rounded(F.col(f"r{i}")).alias("correlation")
-            )
-            for i, (a, b) in enumerate(part)
-        ]
-        rows = values.select(F.inline(F.array(*structs)))
+        rows = _pair_sums(centred, part, complete, varying)
         result = rows if result is None else result.unionByName(rows)
     return result
 
 
+def _pair_sums(
+    centred: DataFrame,
+    pairs: Sequence[tuple[str, str]],
+    complete: dict[str, bool],
+    varying: set[str],
+) -> DataFrame:
+    sums, structs = {}, []
+
+    def total(name: str, value: Column) -> Column:
+        if name not in sums:
+            sums[name] = F.sum(value).alias(f"s{len(sums)}")
+        return F.col(f"s{list(sums).index(name)}")
+
+    for a, b in pairs:
+        x, y = ref(a), ref(b)
+        if a not in varying or b not in varying:
+            r = F.lit(None).cast("double")
+        elif complete[a] and complete[b]:
+            square_x, square_y = total(f"{a}^2", x * x), total(f"{b}^2", y * y)
+            r = F.try_divide(total(f"{a}*{b}", x * y), F.sqrt(square_x * square_y))
+        else:
+            key, both = f"{a}*{b}", x.isNotNull() & y.isNotNull()
+            n = total(f"{key} n", F.when(both, 1.0))
+            sx, sy = total(f"{key} x", F.when(both, x)), total(f"{key} y", F.when(both, y))
+            sxx, syy = total(f"{key} xx", F.when(both, x * x)), total(f"{key} yy", F.when(both, y * y))
+            sxy = total(f"{key} xy", F.when(both, x * y))
+            # a constant column must give null, not the quotient of two tiny remainders
+            vx, vy = (_variation(q - F.pow(s, F.lit(2)) / n, q) for q, s in ((sxx, sx), (syy, sy)))
+            r = F.try_divide(sxy - sx * sy / n, F.sqrt(vx * vy))
+        structs.append(
+            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), rounded(r).alias("correlation"))
+        )
+    sums = sums or {"none": F.count(F.lit(1)).alias("s0")}
+    return centred.agg(*sums.values()).select(F.inline(F.array(*structs)))
+
+
+def _variation(value: Column, scale: Column) -> Column:
+    return F.when(value > scale * 1e-13, value).otherwise(0.0)
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str], limit: int = TOP_PAIRS) -> DataFrame:
     """The strongest pairs, ties by name."""
     strong = all_correlations(df, columns).filter(F.col("correlation").isNotNull())
