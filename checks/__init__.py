@@ -3,6 +3,6 @@
 Each module holds CASES: name -> (callable(spark, folder), SQL or None).
 """
 
-from . import chart_cases, profile_cases, tools_cases
+from . import chart_cases, ml_cases, profile_cases, text_cases, tools_cases
 
-MODULES = (tools_cases, profile_cases, chart_cases)
+MODULES = (tools_cases, profile_cases, chart_cases, ml_cases, text_cases)

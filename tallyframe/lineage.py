@@ -1,4 +1,4 @@
-"""Cutting lineage where a large intermediate result is read several times."""
+"""Cutting lineage, and spreading rows before work that is heavy per row."""
 
 from __future__ import annotations
 
@@ -17,3 +17,11 @@ def cut(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyframe-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """At least one partition per core; tables with enough stay as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys)

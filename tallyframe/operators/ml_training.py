@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import clean_text, dtype_of, ref, to_number
+from ..lineage import spread
 from . import ml_metrics, ml_schema, ml_split
 from .frequency import top_values, value_frequencies
 from .neighbours import MAX_TRAINING_ROWS, nearest_neighbours
@@ -129,7 +130,7 @@ def candidate_models(task: str, mode: str, rows: int, classes: int = 2) -> list[
                 "Random Forest Classifier",
                 RandomForestClassifier(
                     labelCol=INDEX, numTrees=trees, maxDepth=depth, weightCol="weight",
-                    featureSubsetStrategy="sqrt", **common,
+                    featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True, **common,
                 ),
             ),
             ("Gradient Boosting Classifier", boosted),
@@ -146,7 +147,8 @@ def candidate_models(task: str, mode: str, rows: int, classes: int = 2) -> list[
             (
                 "Random Forest Regressor",
                 RandomForestRegressor(
-                    labelCol=LABEL, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", **common
+                    labelCol=LABEL, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all",
+                    maxMemoryInMB=1024, cacheNodeIds=True, **common,
                 ),
             ),
             (
@@ -276,7 +278,7 @@ def train(
     features = [r for r in listed if r["required"]]
     if not features:
         raise ValueError("No suitable feature columns remain")
-    rows = prepare(df, target, features, task, keys)
+    rows = spread(prepare(df, target, features, task, keys), KEY)
 
     balance, labels, imbalanced = None, [], False
     n = rows.count()
@@ -330,8 +332,8 @@ def train(
                     scored = apply_model(fit(part, prepared), held_out)
                     scores.append(evaluate(scored, task, imbalanced, labels)[0][selected])
                 mean = sum(scores) / folds
-                spread = (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
-                metrics.update(cv_scores=scores, cv_mean=round(mean, 4), cv_std=round(spread, 4))
+                deviation = (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
+                metrics.update(cv_scores=scores, cv_mean=round(mean, 4), cv_std=round(deviation, 4))
                 score = mean
         except Exception as error:  # a failed candidate must not end the comparison
             compared.append((name, "failed", None, None, None, None, str(error)[:500]))

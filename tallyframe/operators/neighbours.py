@@ -1,9 +1,4 @@
-"""Five nearest neighbours with a bounded training side.
-
-Nearest neighbours are offered up to 15 000 training rows only, so the
-training matrix is small enough to sit in every task; the rows to predict are
-never moved or paired.
-"""
+"""Nearest neighbours by brute force over blocks of training rows."""
 
 from __future__ import annotations
 
@@ -11,9 +6,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions.values import ref
+from ..lineage import spread
 
 NEIGHBOURS = 5
+# Fixed value: most training rows with which nearest neighbours are a candidate.
 MAX_TRAINING_ROWS = 15_000
+# Training rows a task holds at once.
+BLOCK_ROWS = 15_000
 
 
 def nearest_neighbours(
@@ -24,48 +26,71 @@ def nearest_neighbours(
     label: str,
     classify: bool,
     k: int = NEIGHBOURS,
-    train_key: str | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Rows (key, prediction): majority vote or mean of the k nearest.
 
-    ``features`` is an array column.  Distance ties go to the smaller
-    ``train_key`` and vote ties to the smaller label.  Raises past the bound
-    on training rows.
+    ``features`` is an array column; ``key`` names both sides' key.  Distance
+    ties go to the smaller training key and vote ties to the smaller label.
+
+    The training side reaches the tasks in blocks of a checked size, one scan
+    of ``rows`` per block.  A task forwards the k best per row and block, so
+    no pair of rows is ever emitted beyond those.
     """
-    train_key = train_key or key
-    held = train.select(train_key, features, label).limit(MAX_TRAINING_ROWS + 1).collect()
-    if len(held) > MAX_TRAINING_ROWS:
-        raise ValueError(f"Nearest neighbours need at most {MAX_TRAINING_ROWS} training rows")
+    rows = spread(rows, key)
+    n = train.count()
+    blocks = max(1, -(-n // block_rows))
+    found = None
+    for block in range(blocks):
+        part = train
+        if blocks > 1:
+            part = train.filter(F.pmod(F.xxhash64(ref(key)), F.lit(blocks)) == block)
+        near = _block_neighbours(part, rows, key, features, label, k)
+        found = near if found is None else found.unionByName(near)
+    if blocks > 1:
+        order = W.partitionBy("key").orderBy("distance", "neighbour")
+        found = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    choice = F.mode("label", True) if classify else F.avg("label")
+    return found.groupBy(F.col("key").alias(key)).agg(choice.alias("prediction"))
+
+
+def _block_neighbours(
+    train: DataFrame, rows: DataFrame, key: str, features: str, label: str, k: int
+) -> DataFrame:
+    held = train.select(ref(key), ref(features), ref(label).cast("double")).collect()
     held.sort(key=lambda r: r[0])
-    points = [list(r[1]) for r in held]
-    labels = [float(r[2]) for r in held]
-    context = rows.sparkSession.sparkContext
-    shared = context.broadcast((points, labels))
-    key_type = rows.schema[key].dataType.simpleString()
+    packed = ([r[0] for r in held], [list(r[1]) for r in held], [r[2] for r in held])
+    shared = rows.sparkSession.sparkContext.broadcast(packed)
+    row_key = rows.schema[key].dataType.simpleString()
+    train_key = train.schema[key].dataType.simpleString()
 
-    def predict(batches: Iterator) -> Iterator:
+    def search(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        points = np.asarray(shared.value[0], dtype=float)
-        labels = np.asarray(shared.value[1])
-        norms = (points**2).sum(axis=1)
-        k_used = min(k, len(labels))
+        keys, points, labels = (np.asarray(part) for part in shared.value)
+        used = min(k, len(keys))
         for batch in batches:
+            if not used or not len(batch):
+                continue
+            points = points.astype(float)
+            norms = (points**2).sum(axis=1)
             for start in range(0, len(batch), 512):
                 part = batch.iloc[start : start + 512]
-                x = np.stack(part[features].to_numpy()).astype(float)
+                x = np.stack(part["features"].to_numpy()).astype(float)
                 squared = (x**2).sum(axis=1)[:, None] - 2 * x @ points.T + norms[None, :]
                 # rounded, so that equal distances tie whatever the summation order
-                order = np.argsort(np.round(squared, 9), axis=1, kind="stable")[:, :k_used]
-                near = labels[order]
-                if classify:
-                    values = []
-                    for votes in near:
-                        names, counts = np.unique(votes, return_counts=True)
-                        values.append(names[counts.argmax()])
-                else:
-                    values = near.mean(axis=1)
-                yield pd.DataFrame({key: part[key].to_numpy(), "prediction": values})
+                squared = np.round(squared, 9)
+                order = np.argsort(squared, axis=1, kind="stable")[:, :used]
+                yield pd.DataFrame(
+                    {
+                        "key": np.repeat(part["key"].to_numpy(), used),
+                        "neighbour": keys[order].ravel(),
+                        "distance": np.take_along_axis(squared, order, axis=1).ravel(),
+                        "label": labels[order].ravel(),
+                    }
+                )
 
-    return rows.select(key, features).mapInPandas(predict, f"`{key}` {key_type}, prediction double")
+    return rows.select(ref(key).alias("key"), ref(features).alias("features")).mapInPandas(
+        search, f"key {row_key}, neighbour {train_key}, distance double, label double"
+    )

@@ -126,16 +126,15 @@ def numeric_predicates(df: DataFrame, key: str, question: str) -> DataFrame:
     q = F.replace(F.lower(ref(question)), F.lit("no more than"), F.lit("at most"))
     null = F.lit(None).cast("double")
     found = []
+
+    def comparison(operator: str):
+        return lambda v: F.struct(
+            F.lit(operator).alias("operator"), v.cast("double").alias("low"), null.alias("high")
+        )
+
     for pattern, operator in COMPARISON_PATTERNS:
         numbers = F.regexp_extract_all(q, F.lit(pattern), F.lit(1))
-        found.append(
-            F.transform(
-                numbers,
-                lambda v, op=operator: F.struct(
-                    F.lit(op).alias("operator"), v.cast("double").alias("low"), null.alias("high")
-                ),
-            )
-        )
+        found.append(F.transform(numbers, comparison(operator)))
     lows = F.regexp_extract_all(q, F.lit(BETWEEN_PATTERN), F.lit(1))
     highs = F.regexp_extract_all(q, F.lit(BETWEEN_PATTERN), F.lit(2))
     found.append(
@@ -248,7 +247,7 @@ def column_scores(phrase: Column, columns: Sequence[str]) -> Column:
             )
             if named:
                 score = score + F.when(test, 10).otherwise(0)
-        score = score + F.size(F.filter(expanded, lambda w, p=plain: F.lit(p).contains(w)))
+        score = score + F.size(F.filter(expanded, F.lit(plain).contains))
         scores.append(F.struct(F.when(text != "", score).otherwise(0).alias("score"), F.lit(name).alias("column")))
     return F.array(*scores)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.values import ref
+from ..lineage import spread
 
 TOP_CHUNKS = 5
 # Characters of query text held by a task at once; more queries take more passes.
@@ -33,6 +34,7 @@ def retrieve(
     question: str,
     limit: int = TOP_CHUNKS,
     title: str | None = None,
+    fallback: bool = False,
 ) -> DataFrame:
     """Rows (query, chunk, score, rank): the best chunks per query.
 
@@ -50,6 +52,7 @@ def retrieve(
     passes = -(-size // QUERY_CHARS_PER_PASS) or 1
     head = F.lower(ref(title)) if title else F.lit("")
     body = F.lower(ref(text)) if not title else F.concat(head, F.lit(" "), F.lower(ref(text)))
+    chunks = spread(chunks, chunk_key)
     rows = chunks.select(ref(chunk_key).alias("chunk"), head.alias("head"), body.alias("body"))
     result = None
     for index in range(passes):
@@ -57,7 +60,17 @@ def retrieve(
         scored = _score(rows, part, limit)
         result = scored if result is None else result.unionByName(scored)
     order = W.partitionBy("query").orderBy(F.desc("score"), F.asc("chunk"))
-    return result.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    found = result.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    if not fallback:
+        return found
+    # a query without any hit is given the first chunks
+    heads = first_chunks(rows, "chunk", limit).agg(F.array_sort(F.collect_list("chunk")).alias("c"))
+    unmatched = asked.select("query").join(found.select("query").distinct(), "query", "left_anti")
+    given = unmatched.select("query", F.posexplode(heads.select("c").scalar()).alias("p", "chunk"))
+    given = given.select(
+        "query", "chunk", F.lit(0).cast("bigint").alias("score"), (F.col("p") + 1).alias("rank")
+    )
+    return found.unionByName(given)
 
 
 def _score(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
@@ -77,12 +90,15 @@ def _score(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
 
         listed = shared.value
         words = sorted({t for _, terms in listed for t in terms})
-        place = {w: i for i, w in enumerate(words)}
-        # one row per query, one column per word: how often the query says it
-        asks = np.zeros((len(words), len(listed)), dtype=np.float32)
+        # which queries say a word, and how often, word after word
+        said: dict = {w: Counter() for w in words}
         for q, (_, terms) in enumerate(listed):
             for term in terms:
-                asks[place[term], q] += 1
+                said[term][q] += 1
+        lengths = np.array([len(said[w]) for w in words], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1] if words else lengths
+        sayers = np.array([q for w in words for q in said[w]], dtype=np.int64)
+        times = np.array([n for w in words for n in said[w].values()], dtype=float)
         charts = np.array([bool(chart_terms.intersection(t)) for _, t in listed], dtype=bool)
         find = _finder(words)
         kept: list = []
@@ -91,16 +107,19 @@ def _score(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
                 continue
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
-                hits = np.zeros((len(part), len(words)), dtype=np.float32)
+                scores = np.zeros((len(part), len(listed)))
                 for i, body in enumerate(part["body"]):
-                    if body is None:
+                    found = find(body) if body is not None else []
+                    if not found:
                         continue
-                    found = find(body)
-                    hits[i, found] = 1
                     counts = Counter(body.split())
-                    for w in found:
-                        hits[i, w] += counts.get(words[w], 0)
-                scores = hits @ asks
+                    weight = np.array([1 + counts.get(words[w], 0) for w in found], dtype=float)
+                    span = lengths[found]
+                    shift = np.repeat(starts[found] - np.concatenate([[0], np.cumsum(span)[:-1]]), span)
+                    at = shift + np.arange(span.sum())
+                    scores[i] = np.bincount(
+                        sayers[at], weights=times[at] * np.repeat(weight, span), minlength=len(listed)
+                    )
                 heads = part["head"].to_numpy()
                 is_chart = np.array([str(h).startswith("chart:") for h in heads])
                 behind = np.array([h in set_back_titles for h in heads])
