@@ -47,8 +47,11 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     )
 
 
-def column_totals(freq: DataFrame) -> DataFrame:
-    """One row per column: rows, missing, valid and distinct counts."""
+def column_totals(freq: DataFrame, *extra: Column) -> DataFrame:
+    """One row per column: rows, missing, valid and distinct counts.
+
+    ``extra`` aggregates over (value, n) ride along in the same pass.
+    """
     present = F.col("value").isNotNull()
     return freq.groupBy("column").agg(
         F.sum("n").alias("row_count"),
@@ -56,31 +59,35 @@ def column_totals(freq: DataFrame) -> DataFrame:
         F.sum(F.when(~present, F.col("n")).otherwise(0)).alias("missing_count"),
         F.count("value").alias("unique_count"),
         F.max(F.when(present, F.col("n"))).alias("top_count"),
+        *extra,
     )
 
 
-def top_values(freq: DataFrame, limit: int) -> DataFrame:
-    """The most frequent values per column, ties by value.
+def _first_values(freq: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first values per column, with their rank.
 
     The rank filter is pushed below the shuffle, so each task forwards at most
-    ``limit`` values per column.
+    ``limit`` values per column.  Nulls are ranked last and dropped afterwards
+    rather than filtered first: the frequency shuffle then has the same plan
+    as that of ``column_totals``, and one run of it serves both.
     """
-    order = W.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return (
-        freq.filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-    )
+    place = W.partitionBy("column").orderBy(F.isnull("value"), *order)
+    ranked = freq.select("column", "value", "n", F.row_number().over(place).alias("rank"))
+    return ranked.filter(F.col("rank") <= limit).filter(F.col("value").isNotNull())
+
+
+def top_values(freq: DataFrame, limit: int) -> DataFrame:
+    """The most frequent values per column, ties by value."""
+    return _first_values(freq, limit, F.desc("n"), F.asc("value"))
+
+
+def first_values(freq: DataFrame, limit: int, name: str) -> DataFrame:
+    """Rows (column, name): an array of the first values in value order."""
+    # n takes part in the order only to keep the frequency plan shared
+    kept = _first_values(freq, limit, F.asc("value"), F.asc("n"))
+    return kept.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias(name))
 
 
 def allowed_values(freq: DataFrame, limit: int = 80) -> DataFrame:
     """Sorted values per column, at most ``limit`` of them."""
-    order = W.partitionBy("column").orderBy(F.asc("value"))
-    kept = (
-        freq.filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-    )
-    return kept.groupBy("column").agg(
-        F.array_sort(F.collect_list("value")).alias("allowed_values")
-    )
+    return first_values(freq, limit, "allowed_values")

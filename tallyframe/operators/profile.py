@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import safe_name
 from ..functions.tokens import FALSE_TOKENS, TRUE_TOKENS
@@ -20,7 +19,7 @@ from ..functions.values import (
     parse_moment,
     ref,
 )
-from .frequency import column_totals, value_frequencies
+from .frequency import column_totals, first_values, value_frequencies
 
 SAMPLE_VALUES = 5
 DATETIME_SHARE = 0.75
@@ -80,15 +79,7 @@ def text_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def sample_values(freq: DataFrame, limit: int = SAMPLE_VALUES) -> DataFrame:
     """The first values per column in value order."""
-    order = W.partitionBy("column").orderBy(F.asc("value"))
-    kept = (
-        freq.filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-    )
-    return kept.groupBy("column").agg(
-        F.array_sort(F.collect_list("value")).alias("sample_values")
-    )
+    return first_values(freq, limit, "sample_values")
 
 
 def column_profile(
@@ -102,11 +93,9 @@ def column_profile(
     freq = value_frequencies(df, names) if freq is None else freq
     kinds = {n: storage_kind(dtype_of(df, n)) for n in names}
     word = F.lower("value")
-    totals = column_totals(freq)
-    flags = freq.groupBy("column").agg(
-        (F.count_if(~word.isin(*TRUE_TOKENS, *FALSE_TOKENS)) == 0).alias("all_boolean")
-    )
-    profile = totals.join(flags, "column").join(sample_values(freq), "column", "left")
+    others = F.count_if(~word.isin(*TRUE_TOKENS, *FALSE_TOKENS))
+    totals = column_totals(freq, (others == 0).alias("all_boolean"))
+    profile = totals.join(sample_values(freq), "column", "left")
     texts = [n for n in names if kinds[n] == "text"]
     if texts:
         profile = profile.join(text_shares(df, texts), "column", "left")
