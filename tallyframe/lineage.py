@@ -19,9 +19,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# Tables of at most this many scan partitions (of 128 MB or less) are spread.
+FEW_PARTITIONS = 16
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """At least one partition per core; tables with enough stay as they are."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
+    """One partition per core for a small table that a scan leaves in few.
+
+    Larger tables stay as they are, so no big table is ever shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= min(cores, FEW_PARTITIONS):
         return df
-    return df.repartition(wanted, *keys)
+    return df.repartition(min(cores, FEW_PARTITIONS), *keys)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.values import clean_text, dtype_of, is_text, ref
+from ..lineage import spread
 
 # Longer texts are keyed by their first characters and a SHA-256 digest, so
 # that no shuffle carries whole documents.
@@ -32,6 +33,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     shuffle, so a value holding most rows of a column makes no hot task.
     """
     names = list(columns or df.columns)
+    df = spread(df)
     cells = []
     for name in names:
         dtype = dtype_of(df, name)

@@ -12,6 +12,7 @@ a hot value costs as much as a rare one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -214,6 +215,45 @@ def quantiles(
     return sizes.select(*keys).join(result, keys, "left") if keys else result
 
 
+def weighted_quantiles(
+    rows: DataFrame,
+    value: str,
+    members: Sequence[str],
+    probabilities: Sequence[float],
+    builtin_rows: int = BUILTIN_ROWS,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Exact quantiles of several, possibly overlapping, subsets of rows.
+
+    ``members`` are boolean columns, one per subset.  The values are collapsed
+    and ordered once for all subsets.  One row; column ``<member>_q<i>``.
+    """
+    valid = rows.filter(F.col(value).isNotNull())
+    sizes = valid.agg(
+        F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col(m)).alias(m) for m in members]
+    ).first()
+    freq = valid.groupBy(value).agg(*[F.count_if(F.col(m)).alias(m) for m in members])
+    placed = running_totals(
+        freq, value, members, slice_rows=slice_rows, small=sizes["_all"] <= builtin_rows
+    )
+
+    def at(member: str, rank: int) -> Column:
+        before = F.col(f"{member}_before")
+        inside = (before <= rank) & (before + F.col(member) > rank)
+        return F.max(F.when(inside, F.col(value)))
+
+    picks = []
+    for m in members:
+        for i, p in enumerate(probabilities):
+            position = p * max(sizes[m] - 1, 0)
+            low = math.floor(position)
+            pick = at(m, low)
+            if position > low:
+                pick = pick + (at(m, low + 1) - pick) * (position - low)
+            picks.append(pick.alias(f"{m}_q{i}"))
+    return placed.agg(*picks)
+
+
 def join_by_value(
     rows: DataFrame, lookup: DataFrame, key: str, count: str, result: str
 ) -> DataFrame:
@@ -241,15 +281,20 @@ def join_by_value(
 
 
 def with_mid_rank(
-    rows: DataFrame, value: str, small: bool = False, slice_rows: int = SLICE_ROWS
+    rows: DataFrame,
+    value: str,
+    count: str,
+    small: bool = False,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Adds ``<value>_rank``: the average 1-based rank among all rows."""
-    name = f"{value}_rank"
+    """Adds ``<value>_rank``: the average 1-based rank of a value.
+
+    ``rows`` are collapsed rows that stand for ``count`` rows each.
+    """
+    freq = rows.groupBy(value).agg(F.sum(count).alias("_c"))
+    ranked = running_totals(freq, value, ["_c"], slice_rows=slice_rows, small=small)
+    middle = (F.col("_c_before") + (F.col("_c") + 1) / 2).alias(f"{value}_rank")
+    lookup = ranked.select(value, "_c", middle)
     if small:
-        ties = F.count(F.lit(1)).over(W.partitionBy(value))
-        return rows.withColumn(name, F.rank().over(W.orderBy(value)) + (ties - 1) / 2)
-    freq = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_totals(freq, value, ["_c"], slice_rows=slice_rows)
-    middle = F.col("_c_before") + (F.col("_c") + 1) / 2
-    lookup = cut(ranked.select(value, "_c", middle.alias(name)))
-    return join_by_value(rows, lookup, value, "_c", name)
+        return rows.join(lookup.drop("_c"), value)
+    return join_by_value(rows, cut(lookup), value, "_c", f"{value}_rank")

@@ -32,6 +32,8 @@ IMBALANCED_SHARE = 0.8
 TOP_PAIRS = 20
 # Correlations computed per aggregate; more would outgrow compiled code.
 PAIRS_PER_PASS = 60
+# Columns summarised per scan, for the same reason.
+COLUMNS_PER_PASS = 8
 
 
 @dataclass(frozen=True)
@@ -68,45 +70,94 @@ def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.unpivot([], [ref(n) for n in columns], "column", "v")
 
 
+def _one_pass_each(wide: DataFrame, columns: Sequence[str], build) -> dict[str, Row]:
+    """Aggregates a few columns per scan, each scan reading those columns only.
+
+    ``build(column)`` gives the aggregates of a column; its row comes back.
+    """
+    found = {}
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        part = columns[start : start + COLUMNS_PER_PASS]
+        structs = [F.struct(*build(ref(n), n)).alias(f"c{i}") for i, n in enumerate(part)]
+        row = wide.agg(*structs).first()
+        found.update({n: row[f"c{i}"] for i, n in enumerate(part)})
+    return found
+
+
 def numeric_summary(
     df: DataFrame, columns: Sequence[str], builtin_rows: int = ordered.BUILTIN_ROWS
 ) -> DataFrame:
-    """Moments, quartiles and fence outliers, one row per column."""
-    long = long_numbers(df, columns)
-    quartiles = ordered.quantiles(
-        long, "v", [0.25, 0.5, 0.75], ["column"], builtin_rows=builtin_rows
-    )
-    # read twice below, and one row per column: kept as literal rows
-    quartiles = df.sparkSession.createDataFrame(quartiles.collect(), quartiles.schema)
-    v = F.col("v")
-    moments = (
-        long.join(F.broadcast(quartiles), "column")
-        .groupBy("column")
-        .agg(
+    """Moments, quartiles and fence outliers, one row per column.
+
+    Three scans: counts and means, quartiles, then powers of the centred
+    values together with the outliers.  No values are shuffled as long as the
+    columns are small enough for the built-in percentile.
+    """
+    wide = df.select(*[to_number(ref(n), dtype_of(df, n)).alias(n) for n in columns])
+    first = _one_pass_each(
+        wide,
+        columns,
+        lambda v, n: [
             F.count(F.lit(1)).alias("rows"),
-            F.count(v).alias("count"),
+            F.count(v).alias("n"),
             F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"),
             F.min(v).alias("min"),
             F.max(v).alias("max"),
-            F.skewness(v).alias("skew"),
-            F.kurtosis(v).alias("kurt"),
-            F.count_if(outside_fences(v, F.col("q0"), F.col("q2"))).alias("outlier_count"),
-        )
+        ],
+    )
+    points = [0.25, 0.5, 0.75]
+    if all(r["n"] <= builtin_rows for r in first.values()):
+        array = F.array(*[F.lit(p) for p in points])
+        found = _one_pass_each(wide, columns, lambda v, n: [F.percentile(v, array).alias("q")])
+        quartiles = {n: r["q"] or [None] * 3 for n, r in found.items()}
+    else:
+        rows = ordered.quantiles(
+            long_numbers(df, columns), "v", points, ["column"], builtin_rows=builtin_rows
+        ).collect()
+        quartiles = {r["column"]: [r["q0"], r["q1"], r["q2"]] for r in rows}
+
+    def powers(v: Column, name: str) -> list[Column]:
+        q1, _, q3 = quartiles[name]
+        d = v - F.lit(first[name]["mean"])
+        square = d * d
+        beyond = outside_fences(v, F.lit(q1), F.lit(q3)) if q1 is not None else F.lit(False)
+        return [
+            F.sum(square).alias("p2"),
+            F.sum(square * d).alias("p3"),
+            F.sum(square * square).alias("p4"),
+            F.count_if(beyond).alias("outliers"),
+        ]
+
+    second = _one_pass_each(wide, columns, powers)
+    rows = []
+    for name in columns:
+        a, p = first[name], second[name]
+        rows.append((name, a["rows"], a["n"], a["mean"], a["min"], a["max"], *quartiles[name],
+                     p["p2"], p["p3"], p["p4"], p["outliers"]))
+    table = df.sparkSession.createDataFrame(
+        rows,
+        "column string, rows bigint, count bigint, mean double, min double, max double, "
+        "q1 double, median double, q3 double, p2 double, p3 double, p4 double, outlier_count bigint",
     )
     n = F.col("count")
-    return moments.join(F.broadcast(quartiles), "column").select(
+    # a constant column has no shape; its powers are rounding remainders
+    varies = (F.col("min") < F.col("max"))
+    variance = F.col("p2") / n
+    skew = F.try_divide(F.col("p3") / n, F.pow(variance, F.lit(1.5)))
+    kurt = F.try_divide(F.col("p4") / n, variance * variance) - 3
+    std = F.when(varies, F.sqrt(F.try_divide(F.col("p2"), n - 1))).when(n > 1, 0.0)
+    return table.select(
         "column",
         n,
         rounded(F.col("mean")).alias("mean"),
-        rounded(F.col("q1")).alias("median"),
-        rounded(F.col("std")).alias("std"),
+        rounded(F.col("median")).alias("median"),
+        rounded(std).alias("std"),
         rounded(F.col("min")).alias("min"),
         rounded(F.col("max")).alias("max"),
-        rounded(F.col("q0")).alias("q1"),
-        rounded(F.col("q2")).alias("q3"),
-        F.when(n > 2, rounded(F.col("skew"))).alias("skewness"),
-        F.when(n > 3, rounded(F.col("kurt"))).alias("kurtosis"),
+        rounded(F.col("q1")).alias("q1"),
+        rounded(F.col("q3")).alias("q3"),
+        F.when(varies & (n > 2), rounded(skew)).alias("skewness"),
+        F.when(varies & (n > 3), rounded(kurt)).alias("kurtosis"),
         share(F.col("rows") - n, F.col("rows"), 4).alias("missing_percentage"),
         "outlier_count",
     )

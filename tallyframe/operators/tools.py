@@ -62,16 +62,16 @@ def filtered_aggregation(
         F.count_if(~hit).alias("comparison_rows"),
     ]
     if function == "median":
-        stats = rows.agg(*counts)
-        for name, part in (("result", rows.filter(hit)), ("comparison", rows.filter(~hit)), ("overall", rows)):
-            if not filters and name != "overall":
-                continue
-            q = ordered.quantiles(part, "v", [0.5], builtin_rows=builtin_rows)
-            stats = stats.withColumn(name, q.select("q0").scalar())
-        if not filters:
-            stats = stats.withColumn("result", F.col("overall")).withColumn(
-                "comparison", F.lit(None).cast("double")
-            )
+        sides = rows.select("v", "hit", (~hit).alias("rest"), F.lit(True).alias("every"))
+        medians = ordered.weighted_quantiles(
+            sides, "v", ["hit", "rest", "every"], [0.5], builtin_rows
+        )
+        stats = rows.agg(*counts).select(
+            "*",
+            medians.select("hit_q0").scalar().alias("result"),
+            medians.select("rest_q0").scalar().alias("comparison"),
+            medians.select("every_q0").scalar().alias("overall"),
+        )
     else:
         build = AGGREGATE_BUILDERS[function]
         value = F.col("v")
@@ -175,9 +175,11 @@ def compare_groups(
         aggregates.append(built.cast("double").alias(f"{m}_result"))
     stats = rows.agg(*aggregates)
     if function == "median":
-        for m in members:
-            q = ordered.quantiles(rows.filter(m), "v", [0.5], builtin_rows=builtin_rows)
-            stats = stats.withColumn(f"{m}_result", q.select("q0").scalar())
+        medians = ordered.weighted_quantiles(rows, "v", members, [0.5], builtin_rows)
+        stats = stats.select(
+            *[f"{m}_rows" for m in members],
+            *[medians.select(f"{m}_q0").scalar().alias(f"{m}_result") for m in members],
+        )
     first, second = (rounded(F.col(f"{m}_result")) for m in members[:2])
     structs = [
         F.struct(
@@ -240,14 +242,22 @@ def correlation(
 
 
 def _spearman(pairs: DataFrame, small: bool, slice_rows: int) -> DataFrame:
-    """Pearson of mid-ranks."""
-    ranked = ordered.with_mid_rank(pairs, "x", small, slice_rows)
-    ranked = ranked if small else cut(ranked)
-    ranked = ordered.with_mid_rank(ranked, "y", small, slice_rows)
-    return ranked.agg(
-        F.count(F.lit(1)).alias("n"),
-        guarded_pearson(F.col("x_rank"), F.col("y_rank")).alias("r"),
+    """Pearson of mid-ranks, over distinct pairs weighted by their count."""
+    joint = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    joint = joint if small else cut(joint)
+    ranked = ordered.with_mid_rank(joint, "x", "n", small, slice_rows)
+    ranked = ordered.with_mid_rank(ranked if small else cut(ranked), "y", "n", small, slice_rows)
+    # (n + 1) / 2 is the mean of the ranks of any n rows
+    centre = (pairs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() + 1) / 2
+    n, dx, dy = F.col("n"), F.col("x_rank") - centre, F.col("y_rank") - centre
+    sums = ranked.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"),
+        F.sum(n * dx * dy).alias("xy"),
+        F.sum(n * dx * dx).alias("xx"),
+        F.sum(n * dy * dy).alias("yy"),
     )
+    scale = F.sqrt(F.col("xx") * F.col("yy"))
+    return sums.select("n", F.try_divide(F.col("xy"), scale).alias("r"))
 
 
 def _kendall(pairs: DataFrame, small: bool, slice_rows: int) -> DataFrame:
