@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..functions.values import clean_text, dtype_of, finite, ref, rounded, share, to_number
 from . import ordered
 from .cleaning import missing_like_counts
-from .frequency import top_values, value_frequencies
+from .frequency import more_distinct_than, top_values, value_frequencies
 from .summaries import all_correlations
 
 MIN_BINS, MAX_BINS = 6, 24
@@ -84,8 +84,7 @@ def density(df: DataFrame, column: str) -> DataFrame:
     """
     values = _numbers(df, column)
     n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    # five different values: a limit over the distinct ones stops early
-    if n < 20 or values.distinct().limit(5).count() < 5:
+    if n < 20 or not more_distinct_than(values, {"v": F.col("v")}, 4):
         return _empty(df, "x double, density double")
     width = (high - low) / DENSITY_BINS
     bins = _binned(values, low, high, DENSITY_BINS).withColumn(

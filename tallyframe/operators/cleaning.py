@@ -123,7 +123,7 @@ def equal_columns(df: DataFrame) -> DataFrame:
         marks.append(
             F.struct(
                 F.bit_xor(digest).alias("x"),
-                F.sum(digest.cast("decimal(20,0)")).alias("s"),
+                F.sum(digest.cast("decimal(28,0)")).alias("s"),
             ).alias(f"f{i}")
         )
     prints = df.agg(*marks).first()

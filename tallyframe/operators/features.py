@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import dtype_of, is_moment, is_number, ref, to_number
 from . import ordered
+from .frequency import more_distinct_than
 from .summaries import long_numbers
 
 # Date-part names that are never binned.
@@ -50,22 +51,12 @@ def binnable_name(name: str) -> bool:
     return not any(part in lower for part in NO_BIN_PARTS)
 
 
-def _more_than(df: DataFrame, columns: Sequence[str], distinct: int) -> list[str]:
-    """Columns with more than ``distinct`` different numbers."""
-    if not columns:
-        return []
-    pairs = long_numbers(df, columns).filter(F.col("v").isNotNull()).groupBy("column", "v").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > distinct)
-    found = {r["column"] for r in counts.select("column").collect()}
-    return [n for n in columns if n in found]
-
-
 def bucket_columns(df: DataFrame) -> list[str]:
     """The first numeric columns worth binning."""
     named = [n for n in df.columns if is_number(dtype_of(df, n)) and binnable_name(n)]
-    return _more_than(df, named, MIN_DISTINCT)[:BUCKET_COLUMNS]
+    values = {n: to_number(ref(n), dtype_of(df, n)) for n in named}
+    varied = more_distinct_than(df, values, MIN_DISTINCT)
+    return [n for n in named if n in varied][:BUCKET_COLUMNS]
 
 
 def bucket_edges(

@@ -49,6 +49,29 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     )
 
 
+def more_distinct_than(df: DataFrame, columns: dict[str, Column], bound: int) -> set[str]:
+    """Names of expressions with more than ``bound`` different values, exactly.
+
+    A sketch settles the wide ones in one scan: ``bound`` values touch at most
+    that many of its registers, which keeps its estimate near ``bound``, so an
+    estimate of over twice as much proves more.  Only the others are counted,
+    and those collapse to a few values per task before the shuffle.
+    """
+    if not columns:
+        return set()
+    sketch = df.agg(
+        *[F.approx_count_distinct(c, 0.01).alias(f"d{i}") for i, c in enumerate(columns.values())]
+    ).first()
+    wide = {n for i, n in enumerate(columns) if sketch[f"d{i}"] > 2 * bound + 20}
+    for name, column in columns.items():
+        if name in wide:
+            continue
+        values = df.select(column.alias("v")).filter(F.col("v").isNotNull()).distinct()
+        if values.limit(bound + 1).count() > bound:
+            wide.add(name)
+    return wide
+
+
 def column_totals(freq: DataFrame, *extra: Column) -> DataFrame:
     """One row per column: rows, missing, valid and distinct counts.
 

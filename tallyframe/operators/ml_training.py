@@ -288,7 +288,7 @@ def train(
         imbalanced = min(balance.values()) / n < 0.2
         distinct = len(labels)
     else:
-        distinct = 2 if rows.select(LABEL).distinct().limit(2).count() == 2 else 1
+        distinct = 2 if rows.agg(F.min(LABEL) < F.max(LABEL)).first()[0] else 1
     if n < MIN_ROWS or distinct < 2:
         raise ValueError("Not enough usable target data to train a model")
     stratify = bool(balance) and min(balance.values()) >= 2 and len(labels) < n * 0.5
@@ -354,7 +354,7 @@ def train(
     if folds:
         method += f" + {folds}-fold cross-validation"
     n_test = test_rows.count()
-    for kept in [whole.rows, *[prepared.rows for _, prepared, _ in parts]]:
+    for kept in [placed, whole.rows, *[prepared.rows for _, prepared, _ in parts]]:
         kept.unpersist()
     summary = {
         "target": target,

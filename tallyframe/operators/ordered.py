@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from ..lineage import cut
 
 # Most rows of one group handed to the built-in percentile.
-BUILTIN_ROWS = 4_000_000
+BUILTIN_ROWS = 1_000_000
 # Rows aimed at per slice, and the most slices made.
 SLICE_ROWS = 1_000_000
 MAX_SLICES = 65_536

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise, normalise_name
 from ..functions.values import clean_text, dtype_of, ref
+from .frequency import more_distinct_than
 
 # Aggregate words and what they ask for, in order of precedence.
 AGGREGATE_WORDS = {
@@ -155,15 +156,15 @@ def numeric_predicates(df: DataFrame, key: str, question: str) -> DataFrame:
 def searchable_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Values per column to look for, columns with over 80 values left out.
 
-    The limit bounds what reaches the driver to 81 values per column.
+    Only columns checked to have that few are collected.
     """
+    texts = {n: clean_text(ref(n), dtype_of(df, n)) for n in columns}
+    wide = more_distinct_than(df, texts, MENTIONED_VALUES)
     values = {}
-    for name in columns:
-        text = clean_text(ref(name), dtype_of(df, name))
-        found = df.select(text.alias("v")).filter("v is not null").distinct().limit(MENTIONED_VALUES + 1)
-        listed = sorted(r["v"] for r in found.collect())
-        if len(listed) <= MENTIONED_VALUES:
-            values[name] = listed
+    for name, text in texts.items():
+        if name not in wide:
+            found = df.select(text.alias("v")).filter("v is not null").distinct()
+            values[name] = sorted(r["v"] for r in found.collect())
     return values
 
 

@@ -20,6 +20,11 @@ class Analysis:
     cleaned: DataFrame
     engineered: DataFrame
     charts: dict[str, DataFrame]
+    frequencies: DataFrame
+
+    def release(self) -> None:
+        """Frees the kept frequency table; the results stay computable."""
+        self.frequencies.unpersist()
 
     def corpus(self) -> DataFrame:
         """Text rows of all results, for retrieval."""
@@ -82,4 +87,4 @@ def analyse(df: DataFrame) -> Analysis:
     )
     found = chart_select.chart_candidates(cleaned, roles, small, pairs, safe_freq)
     tables["charts"] = chart_select.chart_specs(found, spark)
-    return Analysis(tables, cleaned, engineered, {c.chart_id: c.data for c in found})
+    return Analysis(tables, cleaned, engineered, {c.chart_id: c.data for c in found}, freq)

@@ -33,9 +33,10 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with header, every column as text; quoted cells may span lines.
+    """CSV with header, every column as text, one row per line.
 
-    With the names given the files are not touched before the query runs.
+    Cells that span lines would make each file one task, so they are not read
+    as such.  With the names given the files are not touched before the query runs.
     """
     names = list(columns) if columns else csv_header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])

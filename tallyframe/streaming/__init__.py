@@ -1,6 +1,6 @@
 """No streaming operator is provided: the tables analysed here are static.
 
 The stateless row operators (``functions.*``, ``operators.filters``,
-``operators.ml_schema.coerce_features``, ``operators.ml_scoring``) are narrow
+``operators.ml_schema.coerce_features``) are narrow
 projections and so also run on a streaming DataFrame unchanged.
 """
