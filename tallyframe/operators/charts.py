@@ -123,10 +123,13 @@ def box_by_group(
         F.count(F.lit(1)).alias("count"), F.min("v").alias("min"), F.max("v").alias("max")
     )
     kept = counts.filter(F.col("count") >= BOX_MIN_ROWS).orderBy("category").limit(BOX_GROUPS)
-    # ten labels at most: only their rows go through the quartiles
-    shown = rows.join(F.broadcast(kept.select("category")), "category", "left_semi")
+    # ten groups at most: kept as literal rows, and only their rows are ordered
+    found = kept.collect()
+    kept = df.sparkSession.createDataFrame(found, kept.schema)
+    shown = rows.filter(F.col("category").isin(*[r["category"] for r in found]))
+    sizes = (len(found), max((r["count"] for r in found), default=0))
     quartiles = ordered.quantiles(
-        shown, "v", [0.25, 0.5, 0.75], ["category"], builtin_rows=builtin_rows
+        shown, "v", [0.25, 0.5, 0.75], ["category"], builtin_rows, known_sizes=sizes
     )
     return kept.join(quartiles, "category").select(
         F.col("category").alias("label"),

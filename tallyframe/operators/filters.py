@@ -8,12 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import MISSING_TOKENS
 from ..functions.values import (
     clean_text,
     dtype_of,
     is_float,
     is_number,
+    is_text,
     ref,
+    strip,
     to_number,
 )
 from ..plans.specs import COMPARISONS, Filter, check_filters
@@ -67,6 +70,10 @@ def _literal(value) -> Column:
 
 def _equals_any(col, dtype, text, values) -> Column:
     words = [str(v).strip().lower() for v in values]
+    if is_text(dtype):
+        # a word that is no missing-like token matches no missing-like cell
+        words = [w for w in words if w not in MISSING_TOKENS]
+        return F.lower(strip(col)).isin(*words) if words else F.lit(False)
     if not is_number(dtype):
         return F.lower(text).isin(*words) if words else F.lit(False)
     numbers = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,9 @@ from ..lineage import spread
 NEIGHBOURS = 5
 # Fixed value: most training rows with which nearest neighbours are a candidate.
 MAX_TRAINING_ROWS = 15_000
-# Training rows a task holds at once.
+# Training rows, and rows to predict, that a task holds at once.
 BLOCK_ROWS = 15_000
+CHUNK_ROWS = 50_000
 
 
 def nearest_neighbours(
@@ -27,70 +28,105 @@ def nearest_neighbours(
     classify: bool,
     k: int = NEIGHBOURS,
     block_rows: int = BLOCK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Rows (key, prediction): majority vote or mean of the k nearest.
 
     ``features`` is an array column; ``key`` names both sides' key.  Distance
     ties go to the smaller training key and vote ties to the smaller label.
 
-    The training side reaches the tasks in blocks of a checked size, one scan
-    of ``rows`` per block.  A task forwards the k best per row and block, so
-    no pair of rows is ever emitted beyond those.
+    A training side counted to fit one block is broadcast.  A larger one meets
+    the rows block by chunk in shuffled groups of bounded size.  Either way a
+    task forwards only the k best per row and block.
     """
-    rows = spread(rows, key)
+    train = train.select(
+        ref(key).alias("key"), ref(features).alias("features"), ref(label).cast("double").alias("label")
+    )
+    rows = rows.select(ref(key).alias("key"), ref(features).alias("features"))
     n = train.count()
-    blocks = max(1, -(-n // block_rows))
-    found = None
-    for block in range(blocks):
-        part = train
-        if blocks > 1:
-            part = train.filter(F.pmod(F.xxhash64(ref(key)), F.lit(blocks)) == block)
-        near = _block_neighbours(part, rows, key, features, label, k)
-        found = near if found is None else found.unionByName(near)
-    if blocks > 1:
+    schema = "key {}, neighbour {}, distance double, label double".format(
+        rows.schema["key"].dataType.simpleString(), train.schema["key"].dataType.simpleString()
+    )
+    if n <= block_rows:
+        found = _broadcast_block(train, spread(rows, "key"), schema, k)
+    else:
+        found = _block_by_chunk(train, rows, schema, k, -(-n // block_rows), chunk_rows)
         order = W.partitionBy("key").orderBy("distance", "neighbour")
         found = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
     choice = F.mode("label", True) if classify else F.avg("label")
     return found.groupBy(F.col("key").alias(key)).agg(choice.alias("prediction"))
 
 
-def _block_neighbours(
-    train: DataFrame, rows: DataFrame, key: str, features: str, label: str, k: int
-) -> DataFrame:
-    held = train.select(ref(key), ref(features), ref(label).cast("double")).collect()
-    held.sort(key=lambda r: r[0])
-    packed = ([r[0] for r in held], [list(r[1]) for r in held], [r[2] for r in held])
-    shared = rows.sparkSession.sparkContext.broadcast(packed)
-    row_key = rows.schema[key].dataType.simpleString()
-    train_key = train.schema[key].dataType.simpleString()
+def _searcher(k: int) -> Callable:
+    """Function from rows and sorted training arrays to the nearest rows."""
 
-    def search(batches: Iterator) -> Iterator:
+    def search(part, keys, points, labels):
         import numpy as np
         import pandas as pd
 
-        keys, points, labels = (np.asarray(part) for part in shared.value)
         used = min(k, len(keys))
+        norms = (points**2).sum(axis=1)
+        for start in range(0, len(part), 512):
+            piece = part.iloc[start : start + 512]
+            x = np.stack(piece["features"].to_numpy()).astype(float)
+            squared = (x**2).sum(axis=1)[:, None] - 2 * x @ points.T + norms[None, :]
+            # rounded, so that equal distances tie whatever the summation order
+            squared = np.round(squared, 9)
+            order = np.argsort(squared, axis=1, kind="stable")[:, :used]
+            yield pd.DataFrame(
+                {
+                    "key": np.repeat(piece["key"].to_numpy(), used),
+                    "neighbour": keys[order].ravel(),
+                    "distance": np.take_along_axis(squared, order, axis=1).ravel(),
+                    "label": labels[order].ravel(),
+                }
+            )
+
+    return search
+
+
+def _broadcast_block(train: DataFrame, rows: DataFrame, schema: str, k: int) -> DataFrame:
+    held = sorted(train.collect(), key=lambda r: r["key"])
+    packed = ([r["key"] for r in held], [list(r["features"]) for r in held], [r["label"] for r in held])
+    shared = rows.sparkSession.sparkContext.broadcast(packed)
+    search = _searcher(k)
+
+    def batches_of(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        keys, points, labels = (np.asarray(part) for part in shared.value)
+        if not len(keys):
+            return
         for batch in batches:
-            if not used or not len(batch):
-                continue
-            points = points.astype(float)
-            norms = (points**2).sum(axis=1)
-            for start in range(0, len(batch), 512):
-                part = batch.iloc[start : start + 512]
-                x = np.stack(part["features"].to_numpy()).astype(float)
-                squared = (x**2).sum(axis=1)[:, None] - 2 * x @ points.T + norms[None, :]
-                # rounded, so that equal distances tie whatever the summation order
-                squared = np.round(squared, 9)
-                order = np.argsort(squared, axis=1, kind="stable")[:, :used]
-                yield pd.DataFrame(
-                    {
-                        "key": np.repeat(part["key"].to_numpy(), used),
-                        "neighbour": keys[order].ravel(),
-                        "distance": np.take_along_axis(squared, order, axis=1).ravel(),
-                        "label": labels[order].ravel(),
-                    }
-                )
-
-    return rows.select(ref(key).alias("key"), ref(features).alias("features")).mapInPandas(
-        search, f"key {row_key}, neighbour {train_key}, distance double, label double"
-    )
+            yield from search(batch, keys, points.astype(float), labels)
+
+    return rows.mapInPandas(batches_of, schema)
+
+
+def _block_by_chunk(
+    train: DataFrame, rows: DataFrame, schema: str, k: int, blocks: int, chunk_rows: int
+) -> DataFrame:
+    chunks = max(1, -(-rows.count() // chunk_rows))
+
+    def part(count: int):
+        return F.pmod(F.xxhash64("key"), F.lit(count)).cast("int")
+
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = rows.withColumn("chunk", part(chunks)).withColumn("block", every(blocks))
+    right = train.withColumn("block", part(blocks)).withColumn("chunk", every(chunks))
+    search = _searcher(k)
+
+    def meet(part, held):
+        import numpy as np
+        import pandas as pd
+
+        held = held.sort_values("key")
+        if not len(held) or not len(part):
+            return pd.DataFrame({"key": [], "neighbour": [], "distance": [], "label": []})
+        points = np.stack(held["features"].to_numpy()).astype(float)
+        return pd.concat(search(part, held["key"].to_numpy(), points, held["label"].to_numpy()))
+
+    grouped = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
+    return grouped.applyInPandas(meet, schema)

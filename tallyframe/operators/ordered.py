@@ -176,15 +176,17 @@ def quantiles(
     keys: Sequence[str] = (),
     builtin_rows: int = BUILTIN_ROWS,
     slice_rows: int = SLICE_ROWS,
+    known_sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (keys, q0, q1, ...).
 
     Uses the built-in percentile when the largest group is proven small, and
-    slices otherwise.
+    slices otherwise.  ``known_sizes`` are the number of groups and the rows
+    of the largest, where the caller has counted them already.
     """
     keys = list(keys)
     names = [f"q{i}" for i in range(len(probabilities))]
-    groups, largest = group_sizes(df, value, keys)
+    groups, largest = known_sizes or group_sizes(df, value, keys)
     if largest <= builtin_rows:
         points = F.array(*[F.lit(float(p)) for p in probabilities])
         both = df.groupBy(*keys).agg(F.percentile(value, points).alias("_q"))

@@ -111,8 +111,9 @@ def numeric_summary(
         found = _one_pass_each(wide, columns, lambda v, n: [F.percentile(v, array).alias("q")])
         quartiles = {n: r["q"] or [None] * 3 for n, r in found.items()}
     else:
+        sizes = (len(columns), max(r["n"] for r in first.values()))
         rows = ordered.quantiles(
-            long_numbers(df, columns), "v", points, ["column"], builtin_rows=builtin_rows
+            long_numbers(df, columns), "v", points, ["column"], builtin_rows, known_sizes=sizes
         ).collect()
         quartiles = {r["column"]: [r["q0"], r["q1"], r["q2"]] for r in rows}
 

@@ -57,7 +57,7 @@ def test_neighbours(spark, block_rows, classify):
     labels = rng.integers(0, 3, 90)
     df = spark.createDataFrame([(i, p.tolist(), int(c)) for i, (p, c) in enumerate(zip(points, labels))], "i int, p array<double>, c int")
     got = {r["i"]: r["prediction"] for r in
-           neighbours.nearest_neighbours(df, df, "i", "p", "c", classify, block_rows=block_rows).collect()}
+           neighbours.nearest_neighbours(df, df, "i", "p", "c", classify, block_rows=block_rows, chunk_rows=25).collect()}
     for i, point in enumerate(points):
         distance = ((points - point) ** 2).sum(axis=1)
         near = labels[np.lexsort((np.arange(90), distance))[:5]]
