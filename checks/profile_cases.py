@@ -167,6 +167,18 @@ FROM (SELECT {text_sql(c, k)} AS v FROM dirty) GROUP BY v"""
     return f"WITH {DIRTY_SQL} {parts}"
 
 
+def document_frequencies(spark, folder):
+    """Whole texts, keyed by digest where long."""
+    return frequency.value_frequencies(table(spark, folder, "documents"), ["text", "lang", "source"])
+
+
+DOCUMENT_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CASE WHEN length(v) <= 128 THEN v ELSE left(v, 60) || '#' || sha256(v) END AS value,
+ count(*) AS n, cast(max(length(v)) AS INTEGER) AS length FROM (SELECT {clean_sql(c)} AS v FROM documents) GROUP BY 2"""
+    for c in ("text", "lang", "source")
+)
+
+
 def doubled(spark, folder):
     """Lines without their keys, where some rows repeat."""
     return table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -333,6 +345,7 @@ CASES = {
  CASE WHEN flag NOT IN ({sql_list(CSV_NULL_TOKENS)}) THEN flag END AS flag FROM dirty""",
     ),
     "value_frequencies": (frequencies, frequencies_sql()),
+    "document_frequencies": (document_frequencies, DOCUMENT_SQL),
     "duplicate_rows": (
         lambda spark, folder: cleaning.duplicate_rows(doubled(spark, folder)),
         """SELECT cast(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM

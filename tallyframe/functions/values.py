@@ -31,6 +31,8 @@ DATE_PATTERNS = (
     (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 )
+# Longer texts are no token, and are not lower-cased to find out.
+LONGEST_TOKEN = max(len(token) for token in MISSING_TOKENS)
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 
 
@@ -76,7 +78,7 @@ def clean(col: Column, dtype: T.DataType) -> Column:
     """The value with missing-like content turned into null; text is trimmed."""
     if is_text(dtype):
         text = strip(col)
-        return F.when(~F.lower(text).isin(*MISSING_TOKENS), text)
+        return F.when((F.length(text) > LONGEST_TOKEN) | ~F.lower(text).isin(*MISSING_TOKENS), text)
     if is_float(dtype):
         return F.when(~F.isnan(col), col)
     return col
