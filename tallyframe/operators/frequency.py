@@ -49,27 +49,41 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     )
 
 
-def more_distinct_than(df: DataFrame, columns: dict[str, Column], bound: int) -> set[str]:
-    """Names of expressions with more than ``bound`` different values, exactly.
+def surely_wide(df: DataFrame, columns: dict[str, Column], bound: int) -> set[str]:
+    """Names of expressions that a sketch proves to have over ``bound`` values.
 
-    A sketch settles the wide ones in one scan: ``bound`` values touch at most
-    that many of its registers, which keeps its estimate near ``bound``, so an
-    estimate of over twice as much proves more.  Only the others are counted,
-    and those collapse to a few values per task before the shuffle.
+    ``bound`` values touch at most that many registers of the sketch, which
+    keeps its estimate near ``bound``: over twice as much proves more.
     """
     if not columns:
         return set()
     sketch = df.agg(
         *[F.approx_count_distinct(c, 0.01).alias(f"d{i}") for i, c in enumerate(columns.values())]
     ).first()
-    wide = {n for i, n in enumerate(columns) if sketch[f"d{i}"] > 2 * bound + 20}
+    return {n for i, n in enumerate(columns) if sketch[f"d{i}"] > 2 * bound + 20}
+
+
+def few_values(df: DataFrame, columns: dict[str, Column], bound: int) -> dict[str, list]:
+    """Sorted values of each expression that has at most ``bound``, exactly.
+
+    Only expressions the sketch leaves open are collected, up to the bound;
+    those collapse to a few values per task before the shuffle.
+    """
+    wide = surely_wide(df, columns, bound)
+    found = {}
     for name, column in columns.items():
         if name in wide:
             continue
         values = df.select(column.alias("v")).filter(F.col("v").isNotNull()).distinct()
-        if values.limit(bound + 1).count() > bound:
-            wide.add(name)
-    return wide
+        listed = [r["v"] for r in values.limit(bound + 1).collect()]
+        if len(listed) <= bound:
+            found[name] = sorted(listed)
+    return found
+
+
+def more_distinct_than(df: DataFrame, columns: dict[str, Column], bound: int) -> set[str]:
+    """Names of expressions with more than ``bound`` different values, exactly."""
+    return set(columns) - set(few_values(df, columns, bound))
 
 
 def column_totals(freq: DataFrame, *extra: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise, normalise_name
 from ..functions.values import clean_text, dtype_of, ref
-from .frequency import more_distinct_than
+from .frequency import few_values
 
 # Aggregate words and what they ask for, in order of precedence.
 AGGREGATE_WORDS = {
@@ -159,13 +159,7 @@ def searchable_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[s
     Only columns checked to have that few are collected.
     """
     texts = {n: clean_text(ref(n), dtype_of(df, n)) for n in columns}
-    wide = more_distinct_than(df, texts, MENTIONED_VALUES)
-    values = {}
-    for name, text in texts.items():
-        if name not in wide:
-            found = df.select(text.alias("v")).filter("v is not null").distinct()
-            values[name] = sorted(r["v"] for r in found.collect())
-    return values
+    return few_values(df, texts, MENTIONED_VALUES)
 
 
 def value_mentions(
