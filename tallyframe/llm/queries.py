@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces
+from . import exact, mixing, pieces, private
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,23 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_private(spark: SparkSession, folder: str) -> DataFrame:
+    return private.digests(table(spark, folder, "documents"))
+
+
+def op2_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_groups(table(spark, folder, "documents"))
+
+
+# The largest source gets the share of four others.
+WEIGHTS = {"src0": 4.0}
+SEED = 20
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"), WEIGHTS, seed=SEED)
+
+
 def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = pieces.encoded(
@@ -27,5 +44,8 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CASES = {
+    "op1_private": (op1_private, private.ORACLE),
+    "op2_exact": (op2_exact, exact.ORACLE),
+    "op4_mixing": (op4_mixing, mixing.oracle(WEIGHTS, seed=SEED)),
     "op10_pieces": (op10_pieces, None),
 }
