@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, minhash, mixing, pieces, private
+from . import exact, minhash, mixing, pieces, private, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"), WEIGHTS, seed=SEED)
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.digests(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_minmax(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_groups(table(spark, folder, "documents"), words=3, percent=85)
 
@@ -51,6 +55,7 @@ CASES = {
     "op1_private": (op1_private, private.ORACLE),
     "op2_exact": (op2_exact, exact.ORACLE),
     "op4_mixing": (op4_mixing, mixing.oracle(WEIGHTS, seed=SEED)),
+    "op7_quality": (op7_quality, None),
     "op9_minmax": (op9_minmax, None),
     "op10_pieces": (op10_pieces, None),
 }
