@@ -3,10 +3,7 @@
 Each hash function gives two signature values, its minimum and its maximum
 over a document's shingles; both agree between two documents with probability
 equal to their Jaccard similarity.  Bands of values deal documents into
-buckets.  A bucket's pairs are never written out: its members are compared
-with one centre, the member that shares most buckets with others, then those
-still apart with the next centre, until the members that could be linked are
-linked or compared.
+buckets, and buckets make groups by comparing members with few centres.
 """
 
 from __future__ import annotations
@@ -19,15 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lineage import cut
-from .shared import components, mapped, written
+from .shared import bucket_groups, mapped, written
 
 # Values to a band, and the largest chance that a pair at the threshold shares no band.
 ROWS = 4
 MISS = 1e-6
 # Keys of at most so many rows (16 bytes each) may be broadcast; more are joined by shuffle.
 FEW_KEYS = 1_000_000
-# Remaining pairs are compared at once when there are at most so many for each document.
-PAIRS_PER_DOCUMENT = 4
 
 
 def bands_for(percent: int) -> int:
@@ -174,58 +169,11 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, words: int, percent: int) ->
 
 
 def _components(signed: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows (node, root) of the token sequences that are linked to others."""
+    """Rows (node, root) of the token sequences that share a band with others."""
     spread = signed.filter("_node is not null").select("_node", "_bands").dropDuplicates(["_node"])
     spread = spread.select(F.col("_node").alias("node"), F.explode("_bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(spread.join(shared, "bucket"))
-    # the member that shares most buckets comes first; a node breaks ties
-    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = cut(members.join(degree, "node").select("bucket", "node", F.struct("degree", "node").alias("place")))
-    documents = degree.count()
-    spark = signed.sparkSession
-    tested = spark.createDataFrame([], "a binary, b binary")
-    links = tested
-    last = None
-    while True:
-        if last is None:
-            apart = members.withColumn("root", F.col("node"))
-        else:
-            roots = components(links, "a", "b")
-            apart = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # buckets of which the members are not yet one group
-        split = apart.groupBy("bucket").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.max("place").alias("centre")
-        ).filter("low <> high")
-        if last is not None:
-            split = split.drop("centre")
-            apart = cut(apart.join(split.select("bucket", "size"), "bucket"))
-            pairs_left = apart.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-                ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
-            ).agg(F.sum("pairs")).first()[0]
-            if not pairs_left:
-                break
-            if pairs_left <= PAIRS_PER_DOCUMENT * documents:
-                x = apart.select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"))
-                y = apart.select("bucket", F.col("node").alias("b"), F.col("root").alias("b_root"))
-                pairs = x.join(y, "bucket").filter("a < b and a_root <> b_root").select("a", "b").distinct()
-                pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-                links = links.unionByName(cut(_confirmed(pairs, signed, words, percent)))
-                break
-            split = apart.join(last, "bucket").filter("place < last").groupBy("bucket").agg(F.max("place").alias("centre"))
-        centres = cut(split.select("bucket", F.col("centre").alias("last"), F.col("centre.node").alias("centre")))
-        if not centres.limit(1).count():
-            break
-        pairs = apart.join(centres, "bucket").filter("node <> centre")
-        if last is not None:
-            centre_roots = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-            pairs = pairs.join(centre_roots, "centre", "left").filter("root <> coalesce(centre_root, centre)")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(cut(_confirmed(pairs, signed, words, percent)))
-        last = centres.select("bucket", "last")
-    return components(links, "a", "b")
+    return bucket_groups(spread.join(shared, "bucket"), lambda pairs: _confirmed(pairs, signed, words, percent))
 
 
 def _resolved(rows: DataFrame, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:

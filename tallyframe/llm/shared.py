@@ -82,27 +82,8 @@ def as_list(column) -> list:
 
 # A task's Python tables of text hold at most this many bytes of it.
 TABLE_BYTES = 48 << 20
-
-
-def local_forest() -> Callable:
-    """Function from edges (pairs) of one task to edges to the smallest node of each group."""
-
-    def forest(pairs):
-        parent: dict = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in pairs:
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        return [(x, r) for x in parent if (r := root(x)) != x]
-
-    return forest
+# Pairs of a bucket that are left are compared at once when there are at most so many for each node.
+PAIRS_PER_NODE = 4
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -138,3 +119,60 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.withColumn("root", F.col("node"))
     )
+
+
+def bucket_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (node, root) of the groups that links within buckets make; nodes without links may be absent.
+
+    ``members`` has bucket, node and n, the size of the bucket (over 1);
+    ``confirm`` keeps the pairs (a, b), a < b, that are linked.  A bucket's
+    pairs are not written out.  All its members are compared with one centre,
+    the member that shares most buckets with others; where that leaves a
+    bucket in several groups, members of different groups are compared: with
+    the next centre, and with each other once few such pairs remain.  Every
+    pair of a bucket ends up in one group or compared, so no link is lost.
+    """
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = cut(members.join(degree, "node").select("bucket", "node", F.struct("degree", "node").alias("place")))
+    nodes = members.select("node").distinct().count()
+    kind = members.schema["node"].dataType
+    empty = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    tested = links = members.sparkSession.createDataFrame([], empty)
+    centres = members.groupBy("bucket").agg(F.max("place").alias("place"))
+    apart, rounds = members.withColumn("root", F.col("node")), 0
+    while True:
+        centres = cut(centres)
+        if not centres.limit(1).count():
+            break
+        chosen = centres.select("bucket", F.col("place").alias("last"), F.col("place.node").alias("centre"))
+        pairs = apart.join(chosen, "bucket").filter("node <> centre")
+        if rounds:
+            own = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
+            pairs = pairs.join(own, "centre", "left").filter("root <> coalesce(centre_root, centre)")
+        tested, links = _compared(pairs.select("node", F.col("centre").alias("other")), tested, links, confirm)
+        rounds += 1
+        roots = components(links, "a", "b")
+        # buckets that are neither one group nor compared throughout
+        apart = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+        split = split.filter((F.col("low") != F.col("high")) & (F.col("size") > rounds + 1)).select("bucket")
+        apart = cut(apart.join(split, "bucket"))
+        left = apart.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
+        left = left.agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("n")).agg(F.sum("n")).first()[0]
+        if not left:
+            break
+        if left <= 2 * PAIRS_PER_NODE * nodes:
+            other = apart.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
+            pairs = apart.join(other, "bucket").filter("node < other and root <> other_root")
+            tested, links = _compared(pairs.select("node", "other"), tested, links, confirm)
+            roots = components(links, "a", "b")
+            break
+        centres = apart.join(chosen, "bucket").filter("place < last").groupBy("bucket").agg(F.max("place").alias("place"))
+    return components(links, "a", "b") if not rounds else roots
+
+
+def _compared(pairs: DataFrame, tested: DataFrame, links: DataFrame, confirm: Callable) -> tuple[DataFrame, DataFrame]:
+    """The pairs tested so far and the links among them, with those of (node, other)."""
+    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+    return tested.unionByName(pairs), links.unionByName(cut(confirm(pairs)))
