@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, minhash, mixing, pieces, private, quality
+from . import exact, lines, minhash, mixing, pieces, private, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.digests(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.deduplicated_lines(docs)
+
+
 def op9_minmax(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_groups(table(spark, folder, "documents"), words=3, percent=85)
 
@@ -56,6 +61,7 @@ CASES = {
     "op2_exact": (op2_exact, exact.ORACLE),
     "op4_mixing": (op4_mixing, mixing.oracle(WEIGHTS, seed=SEED)),
     "op7_quality": (op7_quality, None),
+    "op8_lines": (op8_lines, None),
     "op9_minmax": (op9_minmax, None),
     "op10_pieces": (op10_pieces, None),
 }
