@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, lines, minhash, mixing, pieces, private, quality
+from . import exact, lines, minhash, mixing, pieces, private, quality, vectors
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ WEIGHTS = {"src0": 4.0}
 SEED = 20
 
 
+def op3_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.linked_vectors(table(spark, folder, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"), WEIGHTS, seed=SEED)
 
@@ -59,6 +63,7 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 CASES = {
     "op1_private": (op1_private, private.ORACLE),
     "op2_exact": (op2_exact, exact.ORACLE),
+    "op3_vectors": (op3_vectors, vectors.ORACLE),
     "op4_mixing": (op4_mixing, mixing.oracle(WEIGHTS, seed=SEED)),
     "op7_quality": (op7_quality, None),
     "op8_lines": (op8_lines, None),
