@@ -23,6 +23,8 @@ ROWS = 4
 MISS = 1e-6
 # Keys of at most so many rows (16 bytes each) may be broadcast; more are joined by shuffle.
 FEW_KEYS = 1_000_000
+# Documents of either side, and shingles, of which a task compares all at once.
+BLOCK, COLUMNS = 128, 1 << 14
 
 
 def bands_for(percent: int) -> int:
@@ -134,57 +136,77 @@ def _shingle_set(sequence: bytes, words: int) -> set[bytes]:
     return {b" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)}
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of which the whole shingle sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
-    needed = cut(needed)
-    few = needed.count() <= FEW_KEYS
-    texts = signed.select("_node", "_words").join(F.broadcast(needed) if few else needed, "_node", "left_semi")
-    texts = texts.dropDuplicates(["_node"])
-    both = pairs.join(texts.select(F.col("_node").alias("a"), F.col("_words").alias("a_words")), "a")
-    both = both.join(texts.select(F.col("_node").alias("b"), F.col("_words").alias("b_words")), "b")
+def _similar_enough(shared, x, y, percent: int):
+    return 100 * shared >= percent * (x + y - shared)
 
-    def work():
-        held: dict[bytes, set] = {}
-
-        def of(sequence):
-            if sequence not in held:
-                if len(held) > 32:
-                    held.clear()
-                held[sequence] = _shingle_set(sequence, words)
-            return held[sequence]
-
-        def do(left, right):
-            out = []
-            for x, y in zip(left, right):
-                x, y = of(x), _shingle_set(y, words)
-                shared = len(x & y)
-                out.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            return [out]
 
-        return do
+def _compared(words: int, percent: int):
+    """Comparison of token sequences by their whole shingle sets: with centres, and block by block."""
+    held: dict[bytes, set] = {}
 
-    linked = mapped(both, ["a_words", "b_words"], T.StructType([T.StructField("_linked", T.BooleanType())]), work)
-    return linked.filter("_linked").select("a", "b")
+    def of(sequence):
+        if sequence not in held:
+            if len(held) > 32:
+                held.clear()
+            held[sequence] = _shingle_set(sequence, words)
+        return held[sequence]
 
+    def star(loads, centre_loads):
+        distances, linked = [], []
+        for x, y in zip(loads, centre_loads):
+            x, y = _shingle_set(x, words), of(y)
+            shared = len(x & y)
+            distances.append(1 - shared / (len(x) + len(y) - shared))
+            linked.append(_similar_enough(shared, len(x), len(y), percent))
+        return [distances, linked]
 
-def _components(signed: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows (node, root) of the token sequences that share a band with others."""
-    spread = signed.filter("_node is not null").select("_node", "_bands").dropDuplicates(["_node"])
-    spread = spread.select(F.col("_node").alias("node"), F.explode("_bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    return bucket_groups(spread.join(shared, "bucket"), lambda pairs: _confirmed(pairs, signed, words, percent))
+    def pairs(left, right):
+        import numpy as np
+
+        left, right = ([_shingle_set(x, words) for x in side] for side in (left, right))
+        both = set().union(*left) & set().union(*right)
+        places = {x: i for i, x in enumerate(both)}
+        found = [[np.fromiter((places[s] for s in x if s in places), dtype=np.int64) for x in side] for side in (left, right)]
+        shared = np.zeros((len(left), len(right)), dtype=np.float32)
+        for start in range(0, len(both), COLUMNS):
+            sides = []
+            for side in found:
+                marks = np.zeros((len(side), min(COLUMNS, len(both) - start)), dtype=np.float32)
+                for i, at in enumerate(side):
+                    marks[i, at[(at >= start) & (at < start + COLUMNS)] - start] = 1
+                sides.append(marks)
+            shared += sides[0] @ sides[1].T
+        sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+        return _similar_enough(shared.astype(np.int64), sizes[0][:, None], sizes[1][None, :], percent)
+
+    return star, pairs
 
 
 def _resolved(rows: DataFrame, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and for each token sequence its group: least key and the row that stays."""
+    """The signed rows, and for each token sequence its group: least key and the row that stays.
+
+    The first row of a token sequence stands for it; its number is the node.
+    """
     signed = written(_signed(rows.withColumn("_row", F.monotonically_increasing_id()), text, words, percent), "signed-documents")
     best = F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "_row"))
-    nodes = signed.filter("_node is not null").groupBy("_node").agg(best.alias("best"))
-    roots = _components(signed, words, percent).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    nodes = cut(nodes.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node")))
-    groups = nodes.groupBy("_root").agg(F.min("best").alias("stays"))
-    return signed, nodes.join(groups, "_root").select("_node", "stays")
+    nodes = signed.filter("_node is not null").groupBy("_node").agg(F.min("_row").alias("node"), best.alias("best"))
+    nodes = written(nodes, "token-sequences")
+    firsts = signed.join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
+    spread = firsts.select(F.col("_row").alias("node"), F.explode("_bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+
+    def attach(wanted: DataFrame) -> DataFrame:
+        wanted = cut(wanted.select(F.col("node").alias("_row")))
+        few = wanted.count() <= FEW_KEYS
+        texts = signed.select("_row", "_words").join(F.broadcast(wanted) if few else wanted, "_row", "left_semi")
+        return texts.select(F.col("_row").alias("node"), F.col("_words").alias("load"))
+
+    star, pairs = _compared(words, percent)
+    roots = bucket_groups(spread.join(shared, "bucket"), attach, star, pairs, 1 - percent / 100, BLOCK)
+    roots = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = written(roots, "sequence-groups")
+    groups = roots.groupBy("root").agg(F.min("best").alias("stays"))
+    return signed, roots.join(groups, "root").select("_node", "stays")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -82,8 +82,6 @@ def as_list(column) -> list:
 
 # A task's Python tables of text hold at most this many bytes of it.
 TABLE_BYTES = 48 << 20
-# Pairs of a bucket that are left are compared at once when there are at most so many for each node.
-PAIRS_PER_NODE = 4
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -121,58 +119,96 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def bucket_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows (node, root) of the groups that links within buckets make; nodes without links may be absent.
+def blocked(cells: DataFrame, block: int) -> DataFrame:
+    """Rows of cells dealt into blocks: adds a, b, left and right, a group being (cluster, cell, a, b).
 
-    ``members`` has bucket, node and n, the size of the bucket (over 1);
-    ``confirm`` keeps the pairs (a, b), a < b, that are linked.  A bucket's
-    pairs are not written out.  All its members are compared with one centre,
-    the member that shares most buckets with others; where that leaves a
-    bucket in several groups, members of different groups are compared: with
-    the next centre, and with each other once few such pairs remain.  Every
-    pair of a bucket ends up in one group or compared, so no link is lost.
+    Every core of a cell (column core) meets every other row of the cell in
+    exactly one group as left against right; a group has about ``block`` rows
+    of either side, however large the cell.  Cells of a single row are left out.
     """
-    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = cut(members.join(degree, "node").select("bucket", "node", F.struct("degree", "node").alias("place")))
-    nodes = members.select("node").distinct().count()
-    kind = members.schema["node"].dataType
-    empty = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    tested = links = members.sparkSession.createDataFrame([], empty)
-    centres = members.groupBy("bucket").agg(F.max("place").alias("place"))
-    apart, rounds = members.withColumn("root", F.col("node")), 0
-    while True:
-        centres = cut(centres)
-        if not centres.limit(1).count():
-            break
-        chosen = centres.select("bucket", F.col("place").alias("last"), F.col("place.node").alias("centre"))
-        pairs = apart.join(chosen, "bucket").filter("node <> centre")
-        if rounds:
-            own = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-            pairs = pairs.join(own, "centre", "left").filter("root <> coalesce(centre_root, centre)")
-        tested, links = _compared(pairs.select("node", F.col("centre").alias("other")), tested, links, confirm)
-        rounds += 1
-        roots = components(links, "a", "b")
-        # buckets that are neither one group nor compared throughout
-        apart = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-        split = split.filter((F.col("low") != F.col("high")) & (F.col("size") > rounds + 1)).select("bucket")
-        apart = cut(apart.join(split, "bucket"))
-        left = apart.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
-        left = left.agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("n")).agg(F.sum("n")).first()[0]
-        if not left:
-            break
-        if left <= 2 * PAIRS_PER_NODE * nodes:
-            other = apart.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            pairs = apart.join(other, "bucket").filter("node < other and root <> other_root")
-            tested, links = _compared(pairs.select("node", "other"), tested, links, confirm)
-            roots = components(links, "a", "b")
-            break
-        centres = apart.join(chosen, "bucket").filter("place < last").groupBy("bucket").agg(F.max("place").alias("place"))
-    return components(links, "a", "b") if not rounds else roots
+    sizes = cells.groupBy("cluster", "cell").agg(F.sum(F.col("core").cast("long")).alias("cores"), F.count("*").alias("rows"))
+    sizes = sizes.filter("cores > 0 and rows > 1").select(
+        "cluster", "cell", F.ceil(F.col("cores") / block).alias("lefts"), F.ceil(F.col("rows") / block).alias("rights")
+    )
+    place = F.xxhash64("node")
+    rows = cells.join(sizes, ["cluster", "cell"]).withColumn("_a", F.pmod(place, "lefts")).withColumn("_b", F.pmod(place, "rights"))
+    # a core meets every block of the cell's rows, every row meets each block of cores
+    parts = F.expr(
+        """concat(transform(filter(sequence(0, lefts - 1), x -> NOT core OR x <> _a), x -> struct(x AS a, _b AS b, false AS left, true AS right)),
+        if(core, transform(sequence(0, rights - 1), y -> struct(_a AS a, y AS b, true AS left, y = _b AS right)), array()))"""
+    )
+    rows = rows.withColumn("p", F.explode(parts)).drop("lefts", "rights", "_a", "_b", "core")
+    return rows.select(*[c for c in rows.columns if c != "p"], "p.a", "p.b", "p.left", "p.right")
 
 
-def _compared(pairs: DataFrame, tested: DataFrame, links: DataFrame, confirm: Callable) -> tuple[DataFrame, DataFrame]:
-    """The pairs tested so far and the links among them, with those of (node, other)."""
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-    return tested.unionByName(pairs), links.unionByName(cut(confirm(pairs)))
+def spread_least(size: int, left, right, linked):
+    """Places 0 to size - 1, each replaced by the least place that links lead to.
+
+    ``linked`` is a boolean matrix between the places ``left`` and ``right``.
+    """
+    import numpy as np
+
+    least = np.arange(size)
+    used = linked.any(axis=1)
+    left, linked = left[used], linked[used]
+    while True:
+        before = least.copy()
+        for i in range(0, len(left), 256):
+            rows, at = linked[i : i + 256], left[i : i + 256]
+            least[at] = np.minimum(least[at], np.where(rows, least[right][None, :], size).min(axis=1))
+            least[right] = np.minimum(least[right], np.where(rows, least[at][:, None], size).min(axis=0))
+        if (before == least).all():
+            return least
+
+
+def bucket_groups(members: DataFrame, attach: Callable, star: Callable, pairs: Callable, reach: float, block: int) -> DataFrame:
+    """Rows (node, root) of the groups that links between members of buckets make.
+
+    ``members`` has bucket, node (a number) and n, the size of the bucket (over
+    1).  ``attach`` gives rows (node, load) with what nodes are compared by,
+    ``star`` the distances of loads from those of their centres and whether
+    they are linked, ``pairs`` the matrix of links between two lists of loads.
+    Distances are a metric in which linked loads are at most ``reach`` apart.
+
+    Buckets that share members make a cluster.  All members are compared with
+    the cluster's centre, the one that shares most buckets with others; where
+    most are copies of one text that settles nearly all.  Those not linked to
+    it are compared with the other members, but by the triangle inequality
+    only with those about as far from the centre, in blocks of bounded size.
+    """
+    members = cut(members)
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    least = members.groupBy("bucket").agg(F.min("node").alias("least"))
+    clusters = components(members.join(least, "bucket").select("node", "least"), "node", "least")
+    clusters = clusters.join(degree, "node").select("node", F.col("root").alias("cluster"), "degree")
+    clusters = cut(clusters)
+    centres = clusters.groupBy("cluster").agg(F.max(F.struct("degree", "node")).alias("c"), F.count("*").alias("size"))
+    centres = centres.select("cluster", "size", F.col("c.node").alias("centre"))
+    loads = written(attach(clusters.select("node")), "loads")
+    rows = clusters.join(centres, "cluster").join(loads, "node")
+    rows = rows.join(loads.select(F.col("node").alias("centre"), F.col("load").alias("centre_load")), "centre")
+    adds = T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("linked", T.BooleanType())])
+    rows = mapped(rows, ["load", "centre_load"], adds, lambda: star).drop("load", "centre_load", "degree")
+    rows = written(rows.filter("node <> centre"), "compared-with-centres")
+    # a cluster of which all are linked, or of a centre and one other, is settled
+    open_clusters = rows.filter("size > 2 and not linked").select("cluster").distinct()
+    home = F.floor(F.col("distance") / (reach + 1e-9))
+    near = rows.join(open_clusters, "cluster").withColumn("home", home)
+    near = near.withColumn("cell", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1)))
+    near = near.withColumn("core", ~F.col("linked") & (F.col("cell") == F.col("home"))).select("cluster", "cell", "core", "node")
+    dealt = blocked(near, block).join(loads, "node")
+
+    def join(part):
+        import numpy as np
+        import pandas as pd
+
+        part = part.sort_values("node", ignore_index=True)
+        left, right = (np.flatnonzero(part[side].to_numpy(dtype=bool)) for side in ("left", "right"))
+        load, node = part["load"].to_numpy(), part["node"].to_numpy()
+        least = spread_least(len(part), left, right, pairs(load[left], load[right]))
+        told = least != np.arange(len(part))
+        return pd.DataFrame({"node": node[told], "root": node[least[told]]})
+
+    found = dealt.groupBy("cluster", "cell", "a", "b").applyInPandas(join, "node bigint, root bigint")
+    links = rows.filter("linked").select("node", F.col("centre").alias("root")).unionByName(found)
+    return components(links, "node", "root")

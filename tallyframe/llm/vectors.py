@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_list, components, mapped, written
+from .shared import as_list, blocked, components, mapped, spread_least, written
 
 # Vectors to a pivot, and pivots (they are broadcast) at most; larger cells are joined in more blocks.
 CELL = 512
@@ -57,7 +57,7 @@ def _units(rows: DataFrame) -> DataFrame:
 
 
 def _cells(nodes: DataFrame, pivots: list, radius: float) -> DataFrame:
-    """Rows (label, cell, core, node, n, unit): each vector in its own cell and those it may have neighbours in."""
+    """Rows (cluster, cell, core, node, n, unit): each vector in its own cell and those it may have neighbours in."""
     import numpy as np
 
     by_label: dict = {}
@@ -96,28 +96,17 @@ def _cells(nodes: DataFrame, pivots: list, radius: float) -> DataFrame:
                         [pa.array([label[i].decode() for i in at]), pa.array(cell, pa.int64()), pa.array(core),
                          pa.array([node[i] for i in at], pa.binary()), pa.array([n[i] for i in at], pa.int64()),
                          pa.array([unit[i] for i in at], pa.binary())],
-                        ["label", "cell", "core", "node", "n", "unit"],
+                        ["cluster", "cell", "core", "node", "n", "unit"],
                     )
 
     return nodes.select("label", "node", "n", "unit").mapInArrow(
-        assign, "label string, cell bigint, core boolean, node binary, n bigint, unit binary"
+        assign, "cluster string, cell bigint, core boolean, node binary, n bigint, unit binary"
     )
 
 
 def _joined(cells: DataFrame, cosine: float) -> DataFrame:
     """Rows (node, links, root): copies that a vector is linked with, and the least node of its group, per block."""
-    sizes = cells.groupBy("label", "cell").agg(F.sum(F.col("core").cast("long")).alias("cores"), F.count("*").alias("rows"))
-    sizes = sizes.select("label", "cell", F.ceil(F.col("cores") / BLOCK).alias("lefts"), F.ceil(F.col("rows") / BLOCK).alias("rights"))
-    place = F.xxhash64("node")
-    rows = cells.join(sizes.filter("lefts > 0"), ["label", "cell"])
-    rows = rows.withColumn("a", F.pmod(place, "lefts")).withColumn("b", F.pmod(place, "rights"))
-    # a core meets every block of the cell's rows, every row meets each block of cores
-    parts = F.expr(
-        """concat(transform(filter(sequence(0, lefts - 1), x -> NOT core OR x <> a), x -> struct(x AS a, b AS b, false AS left, true AS right)),
-        if(core, transform(sequence(0, rights - 1), y -> struct(a AS a, y AS b, true AS left, y = b AS right)), array()))"""
-    )
-    rows = rows.select("label", "cell", "node", "n", "unit", F.explode(parts).alias("p"))
-    rows = rows.select("label", "cell", "node", "n", "unit", "p.a", "p.b", "p.left", "p.right")
+    rows = blocked(cells, BLOCK)
 
     def join(part):
         import numpy as np
@@ -133,26 +122,13 @@ def _joined(cells: DataFrame, cosine: float) -> DataFrame:
             linked[i : i + 1024] = unit[left[i : i + 1024]] @ unit[right].T >= cosine
         linked[left[:, None] == right[None, :]] = False
         links = linked @ part["n"].to_numpy()[right] if len(right) else np.zeros(len(left), dtype=np.int64)
-        # groups of the block: the least place spreads along the links
-        least = np.arange(len(part))
-        used = linked.any(axis=1)
-        left_used, linked = left[used], linked[used]
-        while True:
-            before = least.copy()
-            for i in range(0, len(left_used), 256):
-                rows_of = linked[i : i + 256]
-                at = left_used[i : i + 256]
-                least[at] = np.minimum(least[at], np.where(rows_of, least[right][None, :], len(part)).min(axis=1))
-                down = np.where(rows_of, least[at][:, None], len(part)).min(axis=0)
-                least[right] = np.minimum(least[right], down)
-            if (before == least).all():
-                break
+        least = spread_least(len(part), left, right, linked)
         counts = np.zeros(len(part), dtype=np.int64)
         counts[left] = links
         told = (counts > 0) | (least != np.arange(len(part)))
         return pd.DataFrame({"node": node[told], "links": counts[told], "root": node[least[told]]})
 
-    grouped = rows.groupBy("label", "cell", "a", "b")
+    grouped = rows.groupBy("cluster", "cell", "a", "b")
     return grouped.applyInPandas(join, "node binary, links bigint, root binary")
 
 
