@@ -29,6 +29,17 @@ FEW_SYMBOLS = 48
 NO_PAIR = float("inf")
 
 
+def words_of(text: bytes) -> list[str]:
+    """What stands between the spaces of a text; of several spaces in a row, all but one lead a word.
+
+    A word start counts as a space.
+    """
+    text = text.decode("utf-8", "replace").replace(SPACE, " ")
+    if "  " in text or text[0] == " ":
+        return [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
+    return text.split(" ")
+
+
 class Vocabulary:
     """Pieces and scores of a model with byte fallback and plain normalisation."""
 
@@ -51,6 +62,7 @@ class Vocabulary:
         self.start = lib.encode("")
         self.units = re.compile(self.unit_pattern())
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.library_words: dict[str, bytes] = {}
 
     def unit_pattern(self) -> str:
         """Pattern of the stretches of text that no merge leaves.
@@ -143,14 +155,8 @@ class Vocabulary:
             if not text:
                 out.append((b"", b""))
                 continue
-            # a word start counts as a space, and one is put before the text
-            text = text.decode("utf-8", "replace").replace(SPACE, " ")
-            if "  " in text or text[0] == " ":
-                words = [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
-            else:
-                words = text.split(" ")
             each = []
-            for w in words:
+            for w in words_of(text):
                 e = known.get(w) or met.get(w)
                 if e is None:
                     e = met[w] = self.word(w, merged)
@@ -163,6 +169,22 @@ class Vocabulary:
         self.check(list(merged), list(merged.values()))
         return out
 
+    def ids_of(self, texts: list[bytes | None]) -> list:
+        """Ids of each text as arrays, ends not included; new words are encoded by the library."""
+        import numpy as np
+
+        held = self.library_words
+        found = [words_of(text) if text else [] for text in texts]
+        news = list({w for words in found for w in words if w not in held})
+        new_ids = self.library.encode(news, num_threads=1) if news else []
+        # the library gives no ids for an empty text, not even its word start
+        met = {w: struct.pack(f"<{len(m)}I", *m) if w else struct.pack("<I", self.pieces[SPACE]) for w, m in zip(news, new_ids)}
+        out = [np.frombuffer(b"".join([held.get(w) or met[w] for w in words]), dtype="<u4") for words in found]
+        for w, packed in met.items():
+            if len(held) < REMEMBERED_WORDS and len(w) <= REMEMBERED_LENGTH:
+                held[w] = packed
+        return out
+
     def word(self, word: str, merged: dict[str, list[int]]) -> tuple[bytes, bytes]:
         """Packed ids and surface of a word and the space before it; ``merged`` gets its units."""
         ids = []

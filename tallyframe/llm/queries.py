@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context, exact, lines, minhash, mixing, pieces, private, quality, vectors
+from . import context, exact, lines, minhash, mixing, pieces, private, quality, shards, vectors
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"), WEIGHTS, seed=SEED)
 
 
+def op5_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.training_order(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"), seed=SEED)
+
+
 def op6_context(spark: SparkSession, folder: str) -> DataFrame:
     return context.scores(table(spark, folder, "documents"))
 
@@ -69,6 +73,7 @@ CASES = {
     "op2_exact": (op2_exact, exact.ORACLE),
     "op3_vectors": (op3_vectors, vectors.ORACLE),
     "op4_mixing": (op4_mixing, mixing.oracle(WEIGHTS, seed=SEED)),
+    "op5_shards": (op5_shards, None),
     "op6_context": (op6_context, None),
     "op7_quality": (op7_quality, None),
     "op8_lines": (op8_lines, None),
