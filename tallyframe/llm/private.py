@@ -20,7 +20,6 @@ EMAIL = r"(?=[A-Za-z0-9._%+-])(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
 CARD_BLOCK = r"(?<![0-9])[0-9]{13,19}+(?![0-9])"
 PART = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 # Lengths of account numbers by country.
@@ -28,6 +27,8 @@ IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22,
     "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
 }
+ACCOUNTS = "|".join(f"{c}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items())
+IBAN = f"(?<![A-Za-z0-9])(?:{ACCOUNTS})(?![A-Za-z0-9])"
 # Characters before and after a span in which context words count.
 CONTEXT = 40
 
@@ -62,14 +63,13 @@ TURNED = f"concat(substr({COMPACT}, 5), substr({COMPACT}, 1, 4))"
 MOD97 = f"""aggregate(sequence(1, length({TURNED})), 0, (r, i) -> CASE
  WHEN ascii(substr({TURNED}, i, 1)) >= 65 THEN (r * 100 + ascii(substr({TURNED}, i, 1)) - 55) % 97
  ELSE (r * 10 + ascii(substr({TURNED}, i, 1)) - 48) % 97 END) = 1"""
-IBAN_SIZE = " ".join(f"WHEN '{c}' THEN {n}" for c, n in IBAN_LENGTHS.items())
 
 KINDS = (
     Kind("email", EMAIL, "@", "true", True, 0.8, "(?i)mail|contact|kontakt|correo|courriel"),
     Kind("ip", IP, ".", f"m RLIKE r'^{PART}(?:\\.{PART}){{3}}$'", True, 0.6, "(?i)address|host|server|client|login"),
     Kind("card", CARD, "", f"length({DIGITS}) BETWEEN 16 AND 19 AND {LUHN.format(d=DIGITS)}", True, 0.9, "(?i)card|visa|karte|tarjeta|carte|payment"),
     Kind("phone", PHONE, "+", r"length(regexp_replace(m, '[^0-9]', '')) BETWEEN 8 AND 15", True, 0.6, "(?i)phone|call|tel|fax|mobile"),
-    Kind("iban", IBAN, "", f"length({COMPACT}) = CASE substr(m, 1, 2) {IBAN_SIZE} ELSE 0 END AND {MOD97}", False, 0.8, "(?i)iban|konto|account|bank|cuenta|compte"),
+    Kind("iban", IBAN, "", MOD97, False, 0.8, "(?i)iban|konto|account|bank|cuenta|compte"),
     Kind("card_block", CARD_BLOCK, "", LUHN.format(d="m"), False, 0.7, "(?i)card|visa|karte|tarjeta|carte|payment"),
 )
 # Least score of a span that is not of a base kind.
@@ -171,7 +171,7 @@ def _oracle_luhn(d: str) -> str:
 
 
 _ORACLE_TEXT = "concat_ws(':', x.kind, x.b::BIGINT, (x.b + x.n)::BIGINT)"
-_ORACLE_IBAN = "regexp_extract(substr(t, b + 1, 70), '^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}')"
+_ORACLE_IBAN = "regexp_extract(substr(t, b + 1, 70), '^(?:" + ACCOUNTS + ")')"
 _ORACLE_TURNED = "(c[5:] || c[1:4])"
 _ORACLE_AGAINST = "regexp_matches(right(substr(t, 1, b::BIGINT), 40), '(?i)version|isbn|invoice|serial')"
 ORACLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -186,8 +186,7 @@ blocks AS (SELECT *, x.b AS b FROM (SELECT doc_id, t, unnest(list_filter(b.xs, l
 ibans AS (SELECT doc_id, b, m, replace(m, ' ', '') AS c FROM (SELECT doc_id, t, b, {_ORACLE_IBAN} AS m FROM (SELECT doc_id, t, unnest(xs).b::BIGINT AS b FROM code_x JOIN d USING (doc_id)))
  WHERE m <> '' AND NOT regexp_matches(substr(t, b, 1), '[A-Za-z0-9]') AND NOT regexp_matches(substr(t, b + len(m) + 1, 1), '[A-Za-z0-9]')),
 more AS (SELECT doc_id, 1 AS k, x.b AS b, {_ORACLE_TEXT} AS span FROM blocks WHERE NOT {_ORACLE_AGAINST}
- UNION ALL SELECT doc_id, 0, b, concat_ws(':', 'iban', b, b + len(m)) FROM ibans WHERE len(c) = CASE c[1:2] {IBAN_SIZE} ELSE 0 END
- AND list_reduce(list_prepend(0, list_transform(range(1, len(c) + 1), lambda i: ascii({_ORACLE_TURNED}[i]))), lambda r, v: CASE WHEN v >= 65 THEN (r * 100 + v - 55) % 97 ELSE (r * 10 + v - 48) % 97 END) = 1),
+ UNION ALL SELECT doc_id, 0, b, concat_ws(':', 'iban', b, b + len(m)) FROM ibans WHERE list_reduce(list_prepend(0, list_transform(range(1, len(c) + 1), lambda i: ascii({_ORACLE_TURNED}[i]))), lambda r, v: CASE WHEN v >= 65 THEN (r * 100 + v - 55) % 97 ELSE (r * 10 + v - 48) % 97 END) = 1),
 extra AS (SELECT doc_id, list(span ORDER BY k, b) AS spans FROM more GROUP BY 1),
 base AS (SELECT doc_id, len(email_x.xs) AS n_email, len(ip_x.xs) AS n_ip, len(card_x.xs) AS n_card, len(phone_x.xs) AS n_phone,
  list_transform(email_x.xs || ip_x.xs || card_x.xs || phone_x.xs, lambda x: {_ORACLE_TEXT}) AS spans
