@@ -20,7 +20,7 @@ from .shared import bucket_groups, mapped, written
 
 # Values to a band, and the largest chance that a pair at the threshold shares no band.
 ROWS = 4
-MISS = 1e-6
+MISS = 1e-5
 # Keys of at most so many rows (16 bytes each) may be broadcast; more are joined by shuffle.
 FEW_KEYS = 1_000_000
 # Documents of either side, and shingles, of which a task compares all at once.
@@ -196,10 +196,10 @@ def _resolved(rows: DataFrame, text: str, words: int, percent: int) -> tuple[Dat
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
 
     def attach(wanted: DataFrame) -> DataFrame:
-        wanted = cut(wanted.select(F.col("node").alias("_row")))
+        wanted = cut(wanted)
         few = wanted.count() <= FEW_KEYS
-        texts = signed.select("_row", "_words").join(F.broadcast(wanted) if few else wanted, "_row", "left_semi")
-        return texts.select(F.col("_row").alias("node"), F.col("_words").alias("load"))
+        texts = signed.select(F.col("_row").alias("node"), F.col("_words").alias("load"))
+        return texts.join(F.broadcast(wanted) if few else wanted, "node")
 
     star, pairs = _compared(words, percent)
     roots = bucket_groups(spread.join(shared, "bucket"), attach, star, pairs, 1 - percent / 100, BLOCK)

@@ -165,7 +165,7 @@ def bucket_groups(members: DataFrame, attach: Callable, star: Callable, pairs: C
     """Rows (node, root) of the groups that links between members of buckets make.
 
     ``members`` has bucket, node (a number) and n, the size of the bucket (over
-    1).  ``attach`` gives rows (node, load) with what nodes are compared by,
+    1).  ``attach`` adds to rows with a node its load, what it is compared by,
     ``star`` the distances of loads from those of their centres and whether
     they are linked, ``pairs`` the matrix of links between two lists of loads.
     Distances are a metric in which linked loads are at most ``reach`` apart.
@@ -184,11 +184,10 @@ def bucket_groups(members: DataFrame, attach: Callable, star: Callable, pairs: C
     clusters = cut(clusters)
     centres = clusters.groupBy("cluster").agg(F.max(F.struct("degree", "node")).alias("c"), F.count("*").alias("size"))
     centres = centres.select("cluster", "size", F.col("c.node").alias("centre"))
-    loads = written(attach(clusters.select("node")), "loads")
-    rows = clusters.join(centres, "cluster").join(loads, "node")
-    rows = rows.join(loads.select(F.col("node").alias("centre"), F.col("load").alias("centre_load")), "centre")
+    loads = written(attach(clusters.drop("degree").join(centres, "cluster")), "loads")
+    rows = loads.join(loads.filter("node = centre").select("centre", F.col("load").alias("centre_load")), "centre")
     adds = T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("linked", T.BooleanType())])
-    rows = mapped(rows, ["load", "centre_load"], adds, lambda: star).drop("load", "centre_load", "degree")
+    rows = mapped(rows, ["load", "centre_load"], adds, lambda: star).drop("load", "centre_load")
     rows = written(rows.filter("node <> centre"), "compared-with-centres")
     # a cluster of which all are linked, or of a centre and one other, is settled
     open_clusters = rows.filter("size > 2 and not linked").select("cluster").distinct()
@@ -196,7 +195,7 @@ def bucket_groups(members: DataFrame, attach: Callable, star: Callable, pairs: C
     near = rows.join(open_clusters, "cluster").withColumn("home", home)
     near = near.withColumn("cell", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1)))
     near = near.withColumn("core", ~F.col("linked") & (F.col("cell") == F.col("home"))).select("cluster", "cell", "core", "node")
-    dealt = blocked(near, block).join(loads, "node")
+    dealt = blocked(near, block).join(loads.select("node", "load"), "node")
 
     def join(part):
         import numpy as np
