@@ -168,12 +168,12 @@ FROM (SELECT {text_sql(c, k)} AS v FROM dirty) GROUP BY v"""
 
 
 def document_frequencies(spark, folder):
-    """Whole texts, keyed by digest where long."""
+    """Whole texts."""
     return frequency.value_frequencies(table(spark, folder, "documents"), ["text", "lang", "source"])
 
 
 DOCUMENT_SQL = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", CASE WHEN length(v) <= 128 THEN v ELSE left(v, 60) || '#' || sha256(v) END AS value,
+    f"""SELECT '{c}' AS "column", v AS value,
  count(*) AS n, cast(max(length(v)) AS INTEGER) AS length FROM (SELECT {clean_sql(c)} AS v FROM documents) GROUP BY 2"""
     for c in ("text", "lang", "source")
 )

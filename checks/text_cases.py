@@ -62,19 +62,18 @@ def predicates_sql():
     return f"WITH {ASKED_SQL}, w AS (SELECT p_partkey, replace(q, 'no more than', 'at most') AS r FROM asked) SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)})"
 
 
-VALUES_SQL = f"""vals AS (SELECT 'p_type' AS col, 1 AS o, p_type AS v FROM part GROUP BY 3 UNION ALL SELECT 'p_brand', 2, p_brand FROM part GROUP BY 3),
-few AS (SELECT * FROM vals WHERE col IN (SELECT col FROM vals GROUP BY col HAVING count(*) <= 80)),
-hit AS (SELECT p_partkey, col, o, v, strpos({NORM.format('question')}, {NORM.format('v')}) AS spot FROM asked, few WHERE {NORM.format('v')} <> '' AND contains({NORM.format('question')}, {NORM.format('v')}))"""
+VALUES_SQL = f"""vals AS (SELECT 'p_type' AS col, 1 AS o, p_type AS v FROM part GROUP BY 3 UNION ALL SELECT 'p_brand', 2, p_brand FROM part GROUP BY 3 UNION ALL SELECT 'p_name', 3, p_name FROM part GROUP BY 3),
+hit AS (SELECT p_partkey, col, o, v, strpos({NORM.format('question')}, {NORM.format('v')}) AS spot FROM asked, vals WHERE {NORM.format('v')} <> '' AND contains({NORM.format('question')}, {NORM.format('v')}))"""
 
 
 def mentions(spark, folder):
     parts = table(spark, folder, "part")
-    return questions.value_mentions(asked(spark, folder), "p_partkey", "question", parts, ["p_type", "p_brand"])
+    return questions.value_mentions(asked(spark, folder), "p_partkey", "question", parts, ["p_type", "p_brand", "p_name"])
 
 
 def group_mentions(spark, folder):
     parts = table(spark, folder, "part")
-    return questions.group_mentions(asked(spark, folder), "p_partkey", "question", parts, ["p_type", "p_brand"])
+    return questions.group_mentions(asked(spark, folder), "p_partkey", "question", parts, ["p_type", "p_brand", "p_name"])
 
 
 GROUPS_SQL = f"""WITH {ASKED_SQL}, {VALUES_SQL}, g AS (SELECT p_partkey, col, o, list(v ORDER BY spot, v) AS vs FROM hit GROUP BY 1, 2, 3 HAVING count(*) >= 2)
@@ -136,6 +135,10 @@ CASES = {
         mentions,
         f"""WITH {ASKED_SQL}, {VALUES_SQL} SELECT p_partkey, col AS "column", min(v) AS value FROM hit WHERE length({NORM.format('v')}) >= 2 GROUP BY 1, 2""",
     ),
+    "value_mentions_none": (
+        lambda spark, folder: questions.value_mentions(asked(spark, folder), "p_partkey", "question", table(spark, folder, "part").limit(0), ["p_type"]),
+        'SELECT p_partkey, p_type AS "column", p_type AS value FROM part WHERE false',
+    ),
     "group_mentions": (group_mentions, GROUPS_SQL),
     "column_match": (matched, match_sql()),
     "term_retrieval": (retrieved, RETRIEVED_SQL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,25 +11,28 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints to the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where no folder is configured, as in tests, is a temporary one set.
+    A local master, as in tests, may go without: it then has a temporary one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyframe-"))
     return df.checkpoint()
 
 
-# Tables of at most this many scan partitions (of 128 MB or less) are spread.
-FEW_PARTITIONS = 16
+# Tables that the plan puts below this size are spread.
+SMALL_BYTES = 256 << 20
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """One partition per core for a small table that a scan leaves in few.
+    """A small table over all shuffle partitions, where a scan leaves it in few.
 
-    Larger tables stay as they are, so no big table is ever shuffled for it.
+    The plan's own estimate decides, so nothing is run for it, and larger
+    tables stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(cores, FEW_PARTITIONS):
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if estimate > SMALL_BYTES:
         return df
-    return df.repartition(min(cores, FEW_PARTITIONS), *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -57,7 +57,9 @@ def _binned(values: DataFrame, low: float, high: float, bins: int) -> DataFrame:
 
 
 def _fixed(col: Column) -> Column:
-    return F.round(col, 2).cast("decimal(38,2)").cast("string")
+    # values beyond the range of decimals are written as doubles
+    shown = F.round(col, 2)
+    return F.coalesce(shown.try_cast("decimal(38,2)").cast("string"), shown.cast("string"))
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
@@ -115,19 +117,23 @@ def _grouped(df: DataFrame, category: str, value: str) -> DataFrame:
 
 
 def box_by_group(
-    df: DataFrame, category: str, value: str, builtin_rows: int = ordered.BUILTIN_ROWS
+    df: DataFrame, category: str, value: str, builtin_rows: int = ordered.BUILTIN_ROWS, groups: int | None = BOX_GROUPS
 ) -> DataFrame:
-    """Five numbers and a count per group with five or more rows."""
+    """Five numbers and a count per group with five or more rows: of the first
+    ``groups`` in order of their names, or of all if None."""
     rows = _grouped(df, category, value)
     counts = rows.groupBy("category").agg(
         F.count(F.lit(1)).alias("count"), F.min("v").alias("min"), F.max("v").alias("max")
     )
-    kept = counts.filter(F.col("count") >= BOX_MIN_ROWS).orderBy("category").limit(BOX_GROUPS)
-    # ten groups at most: kept as literal rows, and only their rows are ordered
-    found = kept.collect()
-    kept = df.sparkSession.createDataFrame(found, kept.schema)
-    shown = rows.filter(F.col("category").isin(*[r["category"] for r in found]))
-    sizes = (len(found), max((r["count"] for r in found), default=0))
+    kept = counts.filter(F.col("count") >= BOX_MIN_ROWS)
+    if groups is None:
+        shown, sizes = rows.join(kept.select("category"), "category", "left_semi"), None
+    else:
+        # few groups: kept as literal rows, and only their rows are ordered
+        found = kept.orderBy("category").limit(groups).collect()
+        kept = df.sparkSession.createDataFrame(found, kept.schema)
+        shown = rows.filter(F.col("category").isin(*[r["category"] for r in found]))
+        sizes = (len(found), max((r["count"] for r in found), default=0))
     quartiles = ordered.quantiles(
         shown, "v", [0.25, 0.5, 0.75], ["category"], builtin_rows, known_sizes=sizes
     )
@@ -193,11 +199,11 @@ def _level_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"))
 
 
-def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+def crosstab(df: DataFrame, a: str, b: str, levels: int | None = None) -> DataFrame:
     """Counts and row shares of two categories, zero cells included.
 
-    Rows (category, series, count, percent).  Empty unless both have two to
-    eight levels over at least ten rows.
+    Rows (category, series, count, percent).  Empty unless both have two levels
+    or more, over at least ten rows; with ``levels``, at most so many levels.
     """
     counts = _level_counts(df, a, b)
     size = counts.agg(
@@ -207,14 +213,14 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     )
     rows, levels_a, levels_b = size.first()
     fits = (rows or 0) >= CROSSTAB_MIN_ROWS and all(
-        2 <= n <= CROSSTAB_LEVELS for n in (levels_a, levels_b)
+        2 <= n and (levels is None or n <= levels) for n in (levels_a, levels_b)
     )
     if not fits:
         return _empty(df, "category string, series string, count bigint, percent double")
-    # at most eight levels each, so the grid has at most 64 cells
-    levels = counts.agg(F.collect_set("b").alias("bs"))
+    # the result has a row for each pair of levels, and so each task the levels of b
+    series = counts.agg(F.collect_set("b").alias("bs"))
     grid = counts.groupBy("a").agg(F.sum("count").alias("total")).select(
-        "a", "total", F.explode(levels.select("bs").scalar()).alias("b")
+        "a", "total", F.explode(series.select("bs").scalar()).alias("b")
     )
     return grid.join(counts, ["a", "b"], "left").select(
         F.col("a").alias("category"),
@@ -288,9 +294,9 @@ def category_chart(
     )
 
 
-def correlation_heatmap(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All cells of the correlation matrix of the first eight columns."""
-    names = list(dict.fromkeys(columns))[:HEATMAP_COLUMNS]
+def correlation_heatmap(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """All cells of the correlation matrix, of the first ``limit`` columns if that is given."""
+    names = list(dict.fromkeys(columns))[:limit]
     schema = "x int, y int, x_label string, y_label string, value double"
     if len(names) < 3:
         return _empty(df, schema)

@@ -20,7 +20,6 @@ from ..functions.values import (
     parse_moment,
     ref,
 )
-from .frequency import KEY_LENGTH
 
 
 def clean_table(df: DataFrame, profile_rows: Sequence[Row]) -> tuple[DataFrame, list[dict]]:
@@ -47,15 +46,11 @@ def clean_table(df: DataFrame, profile_rows: Sequence[Row]) -> tuple[DataFrame,
 
 
 def row_key(df: DataFrame) -> list[Column]:
-    """Columns that identify a row; long texts stand for themselves by digest."""
+    """Columns that identify a row; NaN counts as null."""
     keys = []
     for field in df.schema.fields:
         col = ref(field.name)
-        if is_text(field.dataType):
-            col = F.when(F.length(col) <= KEY_LENGTH, col).otherwise(
-                F.concat(F.lit("#"), F.sha2(col, 256))
-            )
-        elif is_float(field.dataType):
+        if is_float(field.dataType):
             col = F.when(~F.isnan(col), col)
         keys.append(col.alias(field.name))
     return keys

@@ -8,24 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.values import clean_text, dtype_of, is_text, ref
+from ..functions.values import clean_text, dtype_of, ref
 from ..lineage import spread
 
-# Longer texts are keyed by their first characters and a SHA-256 digest, so
-# that no shuffle carries whole documents.
-KEY_LENGTH = 128
-KEY_PREFIX = 60
-
-
-def value_key(col: Column, dtype) -> Column:
-    """Bounded identity of a cleaned value, null when missing-like."""
-    text = clean_text(col, dtype)
-    if not is_text(dtype):
-        return text
-    digest = F.concat(F.left(text, F.lit(KEY_PREFIX)), F.lit("#"), F.sha2(text, 256))
-    return F.when(F.length(text) <= KEY_LENGTH, text).otherwise(digest)
-
-
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows (column, value, n, length); the null value counts missing cells.
 
@@ -39,7 +24,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         dtype = dtype_of(df, name)
         cells.append(
             F.struct(
-                value_key(ref(name), dtype).alias("value"),
+                clean_text(ref(name), dtype).alias("value"),
                 F.length(clean_text(ref(name), dtype)).alias("length"),
             ).alias(name)
         )

@@ -26,7 +26,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,7 @@ from ..functions.values import clean_text, dtype_of, ref, to_number
 from ..lineage import spread
 from . import ml_metrics, ml_schema, ml_split
 from .frequency import top_values, value_frequencies
-from .neighbours import MAX_TRAINING_ROWS, nearest_neighbours
+from .neighbours import nearest_neighbours
 from .tools import rank_auc
 
 LABEL, FEATURES, INDEX, KEY, POINT = "_label", "_features", "_index", "_key", "_point_key"
@@ -110,7 +110,7 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def candidate_models(task: str, mode: str, rows: int, classes: int = 2) -> list[tuple[str, object]]:
+def candidate_models(task: str, mode: str, rows: int, classes: int = 2, neighbours: bool = True) -> list[tuple[str, object]]:
     """Names and estimators; nearest neighbours are marked by their name."""
     trees, depth, seed = TREES[mode], DEPTH[mode], ml_split.SEED
     common = {"featuresCol": FEATURES, "seed": seed}
@@ -156,7 +156,7 @@ def candidate_models(task: str, mode: str, rows: int, classes: int = 2) -> list[
                 GBTRegressor(labelCol=LABEL, maxIter=100, maxDepth=3, stepSize=0.1, **common),
             ),
         ]
-    if rows <= MAX_TRAINING_ROWS:
+    if neighbours:
         models.append((f"{KNN} {'Classifier' if task == 'classification' else 'Regressor'}", None))
     return models[: CANDIDATES[mode]]
 
@@ -171,11 +171,16 @@ def prepare(
     dtype = dtype_of(df, target)
     label = clean_text(ref(target), dtype) if task == "classification" else to_number(ref(target), dtype)
     hashed = keys or [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    content = df.withColumn(LABEL, label).withColumn(KEY, F.xxhash64(*[ref(k) for k in hashed]))
+    content = df.withColumn(LABEL, label).withColumn(KEY, content_key(hashed))
     rows = ml_schema.coerce_features(content, features, keep=[LABEL, KEY])
     return rows.filter(F.col(LABEL).isNotNull())
 
 
+def content_key(columns: Sequence[str]) -> Column:
+    """Digest of a row's values in which a null is a value of its own."""
+    return F.sha2(F.to_json(F.struct(*[ref(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
+
+
 @dataclass
 class _Prepared:
     """Fitted preprocessing and the transformed training rows, kept in memory."""
@@ -221,18 +226,18 @@ def _apply_neighbours(trained: TrainedModel, rows: DataFrame) -> DataFrame:
     classify = trained.task == "classification"
     names = {label: i for i, label in enumerate(trained.labels)}
     train = trained.model.transform(trained.training_rows)
+    names_of = [f["feature_name"] for f in trained.features]
     label = F.col(LABEL)
     if classify:
         label = F.element_at(F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(float(v)))]), label)
     train = train.select(
-        F.xxhash64(*[ref(f["feature_name"]) for f in trained.features]).alias(POINT),
+        content_key(names_of).alias(POINT),
         vector_to_array(FEATURES).alias("_point"),
         label.alias("_y"),
     )
     scored = trained.model.transform(rows)
     # equal feature rows have equal predictions, so one per feature row is enough
-    key = F.xxhash64(*[ref(f["feature_name"]) for f in trained.features])
-    scored = scored.withColumn(POINT, key)
+    scored = scored.withColumn(POINT, content_key(names_of))
     points = scored.select(POINT, vector_to_array(FEATURES).alias("_point")).dropDuplicates([POINT])
     found = nearest_neighbours(train, points, POINT, "_point", "_y", classify)
     joined = scored.drop("prediction").join(found, POINT)
@@ -261,13 +266,14 @@ def _metrics_text(metrics: dict) -> str:
 
 
 def train(
-    df: DataFrame, target: str, mode: str = "balanced", keys: Sequence[str] = ()
+    df: DataFrame, target: str, mode: str = "balanced", keys: Sequence[str] = (), neighbours: bool = True
 ) -> TrainingResult:
     """Trains all candidates of a mode and keeps the best.
 
     ``keys`` name the columns that decide the split; by default all of
-    them do, which keeps equal rows on one side.  A model that fails is
-    recorded and skipped.
+    them do, which keeps equal rows on one side.  ``neighbours`` says whether
+    nearest neighbours are among the candidates, however many rows there are.
+    A model that fails is recorded and skipped.
     """
     if mode not in MODES:
         raise ValueError(f"Unknown mode: {mode}")
@@ -314,7 +320,7 @@ def train(
             part = placed.filter(F.col("fold") != fold)
             parts.append((part, _prepared(part, features, task, labels), placed.filter(F.col("fold") == fold)))
     compared, best, best_metrics = [], None, None
-    for name, estimator in candidate_models(task, mode, n, len(labels)):
+    for name, estimator in candidate_models(task, mode, n, len(labels), neighbours):
         started = time.time()
 
         def fit(part: DataFrame, prepared: _Prepared) -> TrainedModel:
@@ -336,7 +342,7 @@ def train(
                 metrics.update(cv_scores=scores, cv_mean=round(mean, 4), cv_std=round(deviation, 4))
                 score = mean
         except Exception as error:  # a failed candidate must not end the comparison
-            compared.append((name, "failed", None, None, None, None, str(error)[:500]))
+            compared.append((name, "failed", None, None, None, None, str(error)))
             continue
         took = round(time.time() - started, 3)
         compared.append((name, "complete", selected, round(score, 4), _metrics_text(metrics), took, None))

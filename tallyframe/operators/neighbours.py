@@ -12,8 +12,6 @@ from ..functions.values import ref
 from ..lineage import spread
 
 NEIGHBOURS = 5
-# Fixed value: most training rows with which nearest neighbours are a candidate.
-MAX_TRAINING_ROWS = 15_000
 # Training rows, and rows to predict, that a task holds at once.
 BLOCK_ROWS = 15_000
 CHUNK_ROWS = 50_000
@@ -42,7 +40,10 @@ def nearest_neighbours(
     train = train.select(
         ref(key).alias("key"), ref(features).alias("features"), ref(label).cast("double").alias("label")
     )
-    rows = rows.select(ref(key).alias("key"), ref(features).alias("features"))
+    given = rows.select(ref(key).alias("key"), ref(features).alias("features"))
+    # rows without features, and training rows without features or label, have no neighbours
+    rows = given.filter(F.col("features").isNotNull())
+    train = train.na.drop()
     n = train.count()
     schema = "key {}, neighbour {}, distance double, label double".format(
         rows.schema["key"].dataType.simpleString(), train.schema["key"].dataType.simpleString()
@@ -54,7 +55,9 @@ def nearest_neighbours(
         order = W.partitionBy("key").orderBy("distance", "neighbour")
         found = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
     choice = F.mode("label", True) if classify else F.avg("label")
-    return found.groupBy(F.col("key").alias(key)).agg(choice.alias("prediction"))
+    chosen = found.groupBy("key").agg(choice.alias("prediction"))
+    # a row that meets no training row stays, without a prediction
+    return given.select("key").join(chosen, "key", "left").select(F.col("key").alias(key), "prediction")
 
 
 def _searcher(k: int) -> Callable:

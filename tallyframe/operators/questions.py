@@ -153,13 +153,25 @@ def numeric_predicates(df: DataFrame, key: str, question: str) -> DataFrame:
     return df.select(ref(key), F.inline(every))
 
 
-def searchable_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Values per column to look for, columns with over 80 values left out.
+# Lengths of the pieces of text by which values of wide columns meet questions.
+PIECES = (2, 3, 4)
 
-    Only columns checked to have that few are collected.
+
+def _wide_hits(questions: DataFrame, key: str, question: str, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (key, column, value, at): values of columns with many values, found in questions.
+
+    A value meets the questions that have its first characters somewhere; all
+    pieces of a question are tried, so none is missed.
     """
-    texts = {n: clean_text(ref(n), dtype_of(df, n)) for n in columns}
-    return few_values(df, texts, MENTIONED_VALUES)
+    cells = [F.struct(F.lit(n).alias("column"), clean_text(ref(n), dtype_of(table, n)).alias("value")) for n in columns]
+    values = table.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull()).distinct()
+    values = values.withColumn("wanted", normalise(F.col("value"))).filter("wanted <> ''")
+    values = values.withColumn("piece", F.left("wanted", F.lit(PIECES[-1])))
+    asked = questions.select(ref(key).alias("_key"), normalise(ref(question)).alias("q"))
+    cut = [F.expr(f"transform(sequence(1, greatest(1, length(q) - {n - 1})), i -> substring(q, i, {n}))") for n in (1, *PIECES)]
+    asked = asked.withColumn("piece", F.explode(F.array_distinct(F.concat(*cut))))
+    met = asked.join(values, "piece").filter(F.col("q").contains(F.col("wanted")))
+    return met.select("_key", "column", "value", "wanted", F.expr("locate(wanted, q)").alias("at"))
 
 
 def value_mentions(
@@ -168,19 +180,27 @@ def value_mentions(
     """Rows (key, column, value): the first value of each column, in value
     order, that a question mentions in normalised form.
 
-    The few values become literals, so questions are matched in one scan.
+    Few values become literals, so questions are matched in one scan; columns
+    with more values meet the questions in a join.
     """
     q = normalise(ref(question))
     hits = []
-    for name, values in searchable_values(table, columns).items():
-        choice = F.when(F.lit(False), F.lit(None).cast("string"))
-        for value in values:
+    few = few_values(table, {n: clean_text(ref(n), dtype_of(table, n)) for n in columns}, MENTIONED_VALUES)
+    for name, values in few.items():
+        choice = F.lit(None).cast("string")
+        for value in reversed(values):
             wanted = normalise_name(value)
             if len(wanted) >= 2:
-                choice = choice.when(q.contains(wanted), value)
+                choice = F.when(q.contains(wanted), value).otherwise(choice)
         hits.append(F.struct(F.lit(name).alias("column"), choice.alias("value")))
-    rows = questions.select(ref(key), F.inline(F.array(*hits)))
-    return rows.filter(F.col("value").isNotNull())
+    none = F.expr("cast(array() as array<struct<column: string, value: string>>)")
+    rows = questions.select(ref(key), F.inline(F.array(*hits) if hits else none)).filter(F.col("value").isNotNull())
+    wide = [n for n in columns if n not in few]
+    if wide:
+        met = _wide_hits(questions, key, question, table, wide).filter(F.length("wanted") >= 2)
+        met = met.groupBy("_key", "column").agg(F.min("value").alias("value"))
+        rows = rows.unionByName(met.withColumnRenamed("_key", key))
+    return rows
 
 
 def group_mentions(
@@ -189,29 +209,28 @@ def group_mentions(
     """Rows (key, column, first, second): the first column of which a question
     mentions two or more values, with the two mentioned first."""
     q = normalise(ref(question))
-    choices = []
-    for name, values in searchable_values(table, columns).items():
-        spots = []
-        for value in values:
-            wanted = normalise_name(value)
-            if wanted:
-                spot = F.locate(wanted, q)
-                spots.append(F.when(spot > 0, F.struct(spot.alias("at"), F.lit(value).alias("value"))))
-        if len(spots) < 2:
-            continue
-        found = F.array_sort(F.array_compact(F.array(*spots)))
-        choices.append(
-            F.when(
-                F.size(found) >= 2,
-                F.struct(
-                    F.lit(name).alias("column"),
-                    found[0]["value"].alias("first"),
-                    found[1]["value"].alias("second"),
-                ),
-            )
-        )
-    rows = questions.select(ref(key), F.coalesce(*choices).alias("g"))
-    return rows.filter(F.col("g").isNotNull()).select(ref(key), "g.column", "g.first", "g.second")
+    found = []
+    few = few_values(table, {n: clean_text(ref(n), dtype_of(table, n)) for n in columns}, MENTIONED_VALUES)
+    none = F.expr("cast(array() as array<struct<at: int, value: string>>)")
+    for name, values in few.items():
+        spots = [(F.locate(wanted, q), value) for value in values if (wanted := normalise_name(value))]
+        marked = [F.when(spot > 0, F.struct(spot.alias("at"), F.lit(value).alias("value"))) for spot, value in spots]
+        each = F.array_compact(F.array(*marked)) if marked else none
+        found.append(F.struct(F.lit(columns.index(name)).alias("place"), F.lit(name).alias("column"), F.array_sort(each).alias("spots")))
+    shape = "array<struct<place: int, column: string, spots: array<struct<at: int, value: string>>>>"
+    rows = questions.select(ref(key).alias("_key"), F.inline(F.array(*found).cast(shape) if found else F.expr(f"cast(array() as {shape})")))
+    wide = [n for n in columns if n not in few]
+    if wide:
+        met = _wide_hits(questions, key, question, table, wide).groupBy("_key", "column")
+        # no longer than the question is
+        met = met.agg(F.array_sort(F.collect_set(F.struct("at", "value"))).alias("spots"))
+        places = F.create_map(*[x for i, n in enumerate(columns) for x in (F.lit(n), F.lit(i))])
+        rows = rows.unionByName(met.select("_key", F.element_at(places, F.col("column")).alias("place"), "column", "spots"))
+    rows = rows.filter(F.size("spots") >= 2)
+    best = rows.groupBy("_key").agg(F.min(F.struct("place", "column", "spots")).alias("g"))
+    return best.select(
+        F.col("_key").alias(key), "g.column", F.col("g.spots")[0]["value"].alias("first"), F.col("g.spots")[1]["value"].alias("second")
+    )
 
 
 def column_scores(phrase: Column, columns: Sequence[str]) -> Column:

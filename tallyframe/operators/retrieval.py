@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.values import ref
-from ..lineage import spread
 
 TOP_CHUNKS = 5
-# Characters of query text held by a task at once; more queries take more passes.
-QUERY_CHARS_PER_PASS = 2_000_000
 # Query words that favour chart chunks.
 CHART_TERMS = (
     "chart", "charts", "visual", "visuals", "visualization", "visualizations",
     "pattern", "patterns", "useful", "important",
 )
-# Titles set back for such queries.
+# How titles of charts start, and titles set back for such queries.
+CHART_TITLE = "chart:"
 SET_BACK_TITLES = ("feature engineering", "schema summary")
+TABLE_TITLES = {"features": "Feature engineering", "profile": "Schema summary"}
 CHART_BONUS, SET_BACK = 6, 2
 MIN_TERM_LENGTH = 3
 
@@ -34,36 +31,52 @@ def retrieve(
     question: str,
     limit: int = TOP_CHUNKS,
     title: str | None = None,
-    fallback: bool = False,
+    fallback: bool = True,
 ) -> DataFrame:
     """Rows (query, chunk, score, rank): the best chunks per query.
 
     A chunk scores, for every query word of three or more letters, the number
     of times the word stands in it plus one if its text contains the word
-    anywhere.  Ties go to the smaller chunk key.  Every chunk is read once per
-    pass, whole; each task keeps the best rows it has seen per query, so that
-    only ``limit`` rows per query and task are shuffled, never the pairs.
+    anywhere.  Ties go to the smaller chunk key.  A query without any hit is
+    given the first chunks, unless ``fallback`` is false.
+
+    A word has no white space, so a text contains it exactly if one of its
+    tokens does: words are matched with the different tokens once, tokens with
+    chunks by equality, and all that is left is to add up.
     """
-    terms = F.filter(
-        F.split(F.lower(ref(question)), r"\s+"), lambda t: F.length(t) >= MIN_TERM_LENGTH
-    )
-    asked = queries.select(ref(query_key).alias("query"), terms.alias("terms"))
-    size = queries.agg(F.sum(F.length(ref(question)))).first()[0] or 0
-    passes = -(-size // QUERY_CHARS_PER_PASS) or 1
-    head = F.lower(ref(title)) if title else F.lit("")
+    head = F.coalesce(F.lower(ref(title)), F.lit("")) if title else F.lit("")
     body = F.lower(ref(text)) if not title else F.concat(head, F.lit(" "), F.lower(ref(text)))
-    chunks = spread(chunks, chunk_key)
-    rows = chunks.select(ref(chunk_key).alias("chunk"), head.alias("head"), body.alias("body"))
-    result = None
-    for index in range(passes):
-        part = asked.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == index)
-        scored = _score(rows, part, limit)
-        result = scored if result is None else result.unionByName(scored)
+    rows = chunks.select(
+        ref(chunk_key).alias("chunk"), body.alias("body"),
+        (F.when(head.startswith(CHART_TITLE), CHART_BONUS).when(head.isin(*SET_BACK_TITLES), -SET_BACK).otherwise(0)).alias("bonus"),
+    )
+    split = F.filter(F.split(F.lower(ref(question)), r"\s+"), lambda t: F.length(t) >= MIN_TERM_LENGTH)
+    asked = queries.select(ref(query_key).alias("query"), split.alias("terms"))
+    asked = asked.withColumn("charts", F.arrays_overlap("terms", F.array(*[F.lit(t) for t in CHART_TERMS])).cast("int"))
+    said = asked.select("query", "charts", F.explode("terms").alias("term"))
+    said = said.groupBy("query", "charts", "term").agg(F.count("*").alias("times"))
+
+    tokens = rows.select("chunk", "bonus", F.explode(F.split("body", r"\s+")).alias("token"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("token") - MIN_TERM_LENGTH + 1), lambda i: F.substring("token", i, F.lit(MIN_TERM_LENGTH)))
+    words = tokens.filter(F.length("token") >= MIN_TERM_LENGTH).select("token").distinct()
+    words = words.withColumn("piece", F.explode(F.array_distinct(pieces)))
+    terms = said.select("term").distinct().withColumn("piece", F.left("term", F.lit(MIN_TERM_LENGTH)))
+    hits = words.join(terms, "piece").filter(F.col("token").contains(F.col("term")))
+    hits = hits.select("token", "term", (F.col("token") == F.col("term")).cast("int").alias("exact"))
+    weights = tokens.join(hits, "token").groupBy("chunk", "bonus", "term").agg((F.sum("exact") + 1).alias("weight"))
+    scored = weights.join(said, "term").groupBy("query", "chunk").agg(
+        (F.sum(F.col("times") * F.col("weight")) + F.max(F.col("bonus") * F.col("charts"))).alias("score")
+    )
+    if title:
+        # charts that a question about charts does not name: the first ones are enough
+        charts = first_chunks(rows.filter(F.col("bonus") > 0), "chunk", limit).select("chunk", F.col("bonus").cast("bigint").alias("score"))
+        given = asked.filter("charts = 1").select("query", F.lit(1).alias("one"))
+        given = given.join(charts.withColumn("one", F.lit(1)), "one").select("query", "chunk", "score")
+        scored = scored.unionByName(given.join(scored.select("query", "chunk"), ["query", "chunk"], "left_anti"))
     order = W.partitionBy("query").orderBy(F.desc("score"), F.asc("chunk"))
-    found = result.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    found = scored.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     if not fallback:
         return found
-    # a query without any hit is given the first chunks
     heads = first_chunks(rows, "chunk", limit).agg(F.array_sort(F.collect_list("chunk")).alias("c"))
     unmatched = asked.select("query").join(found.select("query").distinct(), "query", "left_anti")
     given = unmatched.select("query", F.posexplode(heads.select("c").scalar()).alias("p", "chunk"))
@@ -73,101 +86,6 @@ def retrieve(
     return found.unionByName(given)
 
 
-def _score(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
-    """Best rows per query and task; ``asked`` has a checked size."""
-    listed = [(r["query"], list(r["terms"])) for r in asked.collect()]
-    shared = rows.sparkSession.sparkContext.broadcast(listed)
-    chart_terms, set_back_titles = set(CHART_TERMS), set(SET_BACK_TITLES)
-    bonus, set_back = CHART_BONUS, SET_BACK
-    query_type = asked.schema["query"].dataType.simpleString()
-    chunk_type = rows.schema["chunk"].dataType.simpleString()
-
-    def best_rows(batches: Iterator) -> Iterator:
-        from collections import Counter
-
-        import numpy as np
-        import pandas as pd
-
-        listed = shared.value
-        words = sorted({t for _, terms in listed for t in terms})
-        # which queries say a word, and how often, word after word
-        said: dict = {w: Counter() for w in words}
-        for q, (_, terms) in enumerate(listed):
-            for term in terms:
-                said[term][q] += 1
-        lengths = np.array([len(said[w]) for w in words], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1] if words else lengths
-        sayers = np.array([q for w in words for q in said[w]], dtype=np.int64)
-        times = np.array([n for w in words for n in said[w].values()], dtype=float)
-        charts = np.array([bool(chart_terms.intersection(t)) for _, t in listed], dtype=bool)
-        find = _finder(words)
-        kept: list = []
-        for batch in batches:
-            if not listed or not len(batch):
-                continue
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                scores = np.zeros((len(part), len(listed)))
-                for i, body in enumerate(part["body"]):
-                    found = find(body) if body is not None else []
-                    if not found:
-                        continue
-                    counts = Counter(body.split())
-                    weight = np.array([1 + counts.get(words[w], 0) for w in found], dtype=float)
-                    span = lengths[found]
-                    shift = np.repeat(starts[found] - np.concatenate([[0], np.cumsum(span)[:-1]]), span)
-                    at = shift + np.arange(span.sum())
-                    scores[i] = np.bincount(
-                        sayers[at], weights=times[at] * np.repeat(weight, span), minlength=len(listed)
-                    )
-                heads = part["head"].to_numpy()
-                is_chart = np.array([str(h).startswith("chart:") for h in heads])
-                behind = np.array([h in set_back_titles for h in heads])
-                scores += bonus * np.outer(is_chart, charts)
-                scores -= set_back * np.outer(behind, charts)
-                keys = part["chunk"].to_numpy()
-                for q in range(len(listed)):
-                    column = scores[:, q]
-                    some = np.flatnonzero(column > 0)
-                    if len(some) > limit:
-                        # everything that could reach the top, ties included
-                        bar = np.partition(column[some], -limit)[-limit]
-                        some = some[column[some] >= bar]
-                    kept += [(listed[q][0], keys[i], int(column[i])) for i in some]
-                if len(kept) > 50_000:
-                    kept = _trim(kept)
-        kept = _trim(kept)
-        yield pd.DataFrame(kept, columns=["query", "chunk", "score"])
-
-    def _trim(kept: list) -> list:
-        kept.sort(key=lambda r: (r[0], -r[2], r[1]))
-        result, last, count = [], object(), 0
-        for row in kept:
-            count = count + 1 if row[0] == last else 1
-            last = row[0]
-            if count <= limit:
-                result.append(row)
-        return result
-
-    def _finder(words: list):
-        """Function from a text to the numbers of the words it contains."""
-        try:
-            import ahocorasick
-        except ImportError:
-            return lambda text: [i for i, w in enumerate(words) if w in text]
-        machine = ahocorasick.Automaton()
-        for i, word in enumerate(words):
-            machine.add_word(word, i)
-        if not words:
-            return lambda text: []
-        machine.make_automaton()
-        return lambda text: sorted({i for _, i in machine.iter(text)})
-
-    return rows.mapInPandas(
-        best_rows, f"query {query_type}, chunk {chunk_type}, score bigint"
-    )
-
-
 def first_chunks(chunks: DataFrame, chunk_key: str, limit: int = TOP_CHUNKS) -> DataFrame:
     """What a query without any hit is given: the first chunks by key."""
     return chunks.orderBy(chunk_key).limit(limit)
@@ -176,12 +94,14 @@ def first_chunks(chunks: DataFrame, chunk_key: str, limit: int = TOP_CHUNKS) ->
 def artifact_corpus(tables: dict[str, DataFrame]) -> DataFrame:
     """Text rows (title, text) from result tables, one per row of each.
 
-    A table with a ``title`` column names its rows; other rows take the
-    table's own title.
+    Charts are titled as such; other tables with a ``title`` column name their
+    rows, and the rest take the table's own title.
     """
     corpus = None
     for name, table in tables.items():
-        title = F.col("title") if "title" in table.columns else F.lit(name)
+        title = F.col("title") if "title" in table.columns else F.lit(TABLE_TITLES.get(name, name))
+        if name == "charts":
+            title = F.concat(F.lit("Chart: "), title)
         text = F.to_json(F.struct(*[ref(c) for c in table.columns if c != "title"]))
         rows = table.select(title.cast("string").alias("title"), text.alias("text"))
         corpus = rows if corpus is None else corpus.unionByName(rows)

@@ -339,10 +339,11 @@ def _variation(value: Column, scale: Column) -> Column:
     return F.when(value > scale * 1e-13, value).otherwise(0.0)
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str], limit: int = TOP_PAIRS) -> DataFrame:
-    """The strongest pairs, ties by name."""
+def correlation_pairs(df: DataFrame, columns: Sequence[str], limit: int | None = TOP_PAIRS) -> DataFrame:
+    """The strongest pairs, ties by name; all of them if ``limit`` is None."""
     strong = all_correlations(df, columns).filter(F.col("correlation").isNotNull())
-    return strong.orderBy(F.desc(F.abs("correlation")), "x", "y").limit(limit)
+    strong = strong.orderBy(F.desc(F.abs("correlation")), "x", "y")
+    return strong if limit is None else strong.limit(limit)
 
 
 def dataset_quality(df: DataFrame) -> DataFrame:

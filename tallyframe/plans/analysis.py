@@ -72,9 +72,10 @@ def analyse(df: DataFrame) -> Analysis:
         tables[name] = spark.createDataFrame(rows, table.schema)
     if roles.datetime:
         tables["datetime"] = summaries.datetime_summary(cleaned, roles.datetime)
-    strongest = summaries.correlation_pairs(cleaned, roles.numeric)
-    pairs = spark.createDataFrame(strongest.collect(), strongest.schema)
-    tables["correlations"] = pairs
+    # one row for each pair of columns; all are scored, as the strongest may all be redundant
+    every = summaries.correlation_pairs(cleaned, roles.numeric, limit=None)
+    pairs = spark.createDataFrame(every.collect(), every.schema)
+    tables["correlations"] = pairs.orderBy(F.desc(F.abs("correlation")), "x", "y").limit(summaries.TOP_PAIRS)
     engineered, report = features.engineer_features(cleaned)
     tables["features"] = report
 

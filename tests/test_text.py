@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tallyframe.operators import neighbours, questions, retrieval
+from tallyframe.plans.analysis import analyse
 
 
 def brute_force(chunks, asked, limit):
@@ -34,21 +35,29 @@ CHUNKS = [
 ASKED = [(10, "price of the charts price"), (11, "SIZE"), (12, "zzz"), (13, "price columns and size brand"), (14, "a of")]
 
 
-@pytest.mark.parametrize("chars", [20, 10**6])
-def test_retrieval(spark, monkeypatch, chars):
-    monkeypatch.setattr(retrieval, "QUERY_CHARS_PER_PASS", chars)
+def test_retrieval(spark):
     chunks = spark.createDataFrame(CHUNKS, "id int, title string, text string").repartition(3)
     asked = spark.createDataFrame(ASKED, "q int, question string")
-    rows = retrieval.retrieve(chunks, asked, "id", "text", "q", "question", limit=3, title="title").collect()
+    rows = retrieval.retrieve(chunks, asked, "id", "text", "q", "question", limit=3, title="title", fallback=False).collect()
     got = {q: [] for q, _ in ASKED}
     for row in sorted(rows, key=lambda r: r["rank"]):
         got[row["query"]].append((row["chunk"], row["score"]))
     assert got == brute_force(CHUNKS, ASKED, 3)
-    full = retrieval.retrieve(chunks, asked, "id", "text", "q", "question", 3, "title", fallback=True)
+    full = retrieval.retrieve(chunks, asked, "id", "text", "q", "question", 3, "title")
     given = sorted((r["rank"], r["chunk"]) for r in full.filter("query = 12").collect())
     assert given == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_retrieval_over_an_analysis(spark):
+    rows = [("a" if i % 3 else "b", float(i % 17), float((i % 3) * 50 + i % 5)) for i in range(120)]
+    corpus = analyse(spark.createDataFrame(rows, "city string, price double, score double")).corpus()
+    titles = {r["title"] for r in corpus.collect()}
+    assert {"Feature engineering", "Schema summary"} <= titles and any(t.startswith("Chart: ") for t in titles)
+    asked = spark.createDataFrame([(1, "which charts show the price")], "q int, question string")
+    best = retrieval.retrieve(corpus, asked, "title", "text", "q", "question", title="title")
+    assert all(r["chunk"].startswith("Chart: ") for r in best.collect())
+
+
 @pytest.mark.parametrize("block_rows", [17, 10**6])
 @pytest.mark.parametrize("classify", [True, False])
 def test_neighbours(spark, block_rows, classify):
@@ -91,10 +100,12 @@ def test_intents_and_columns(spark):
     assert rows == {1: "Screen_Time_Hours", 2: "Previous_Semester_GPA", 3: None, 4: None}
 
 
-def test_columns_with_many_values_are_not_searched(spark):
+def test_columns_with_many_values_are_searched(spark):
     df = spark.range(200).selectExpr("concat('v', id) AS many", "concat('w', id % 3) AS few")
     asked = spark.createDataFrame([(1, "v17 and w2 or w0")], "i int, q string")
     rows = questions.value_mentions(asked, "i", "q", df, ["many", "few"]).collect()
-    assert [(r["column"], r["value"]) for r in rows] == [("few", "w0")]
+    assert sorted((r["column"], r["value"]) for r in rows) == [("few", "w0"), ("many", "v1")]
     groups = questions.group_mentions(asked, "i", "q", df, ["many", "few"]).collect()
+    assert [(r["column"], r["first"], r["second"]) for r in groups] == [("many", "v1", "v17")]
+    groups = questions.group_mentions(asked, "i", "q", df, ["few", "many"]).collect()
     assert [(r["column"], r["first"], r["second"]) for r in groups] == [("few", "w2", "w0")]
