@@ -21,7 +21,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CARD_BLOCK = r"(?<![0-9])[0-9]{13,19}+(?![0-9])"
-PART = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 # Lengths of account numbers by country.
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22,
