@@ -156,7 +156,7 @@ def read_shards(spark: SparkSession, path: str, stride: int, shard_records: int
     """Rows (slot, record) from slot ``start`` on; earlier shards are not opened. ``stride``: bytes of a record."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     files = files.filter(F.col("shard") >= start // shard_records).select("shard", "content")
-    rows = files.select("shard", "content", F.posexplode(F.sequence(F.lit(0), F.length("content") / (stride + 1) - 1)).alias("i", "place"))
+    rows = files.select("shard", "content", F.explode(F.expr(f"sequence(0, cast(length(content) / {stride + 1} as int) - 1)")).alias("i"))
     rows = rows.select(
         (F.col("shard") * shard_records + F.col("i")).cast("long").alias("slot"), F.substring("content", F.col("i") * (stride + 1) + 1, F.lit(stride)).alias("record")
     )
