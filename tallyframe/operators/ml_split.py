@@ -88,4 +88,4 @@ def with_class_weight(df: DataFrame, label: str) -> DataFrame:
     stats = sizes.agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("k"))
     total, classes = stats.select("t").scalar(), stats.select("k").scalar()
     weights = sizes.select("_class", (total / (classes * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(weights), ref(label) == F.col("_class"), "left").drop("_class")
+    return df.join(weights, ref(label) == F.col("_class"), "left").drop("_class")

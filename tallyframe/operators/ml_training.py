@@ -49,6 +49,10 @@ MIN_ROWS = 10
 KNN = "KNN"
 
 
+# Classes that models and the driver hold a row each of.
+MOST_CLASSES = 10_000
+
+
 @dataclass
 class TrainedModel:
     """The selected model with everything scoring needs."""
@@ -289,7 +293,10 @@ def train(
     balance, labels, imbalanced = None, [], False
     n = rows.count()
     if task == "classification":
-        balance = {r["label"]: r["count"] for r in ml_schema.class_balance(rows, LABEL).collect()}
+        sizes = ml_schema.class_balance(rows, LABEL)
+        if sizes.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+            raise ValueError(f"A target with more than {MOST_CLASSES} classes cannot be learned")
+        balance = {r["label"]: r["count"] for r in sizes.collect()}
         labels = sorted(balance)
         imbalanced = min(balance.values()) / n < 0.2
         distinct = len(labels)
