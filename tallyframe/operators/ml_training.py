@@ -115,7 +115,7 @@ def _sql_text(text: str) -> str:
 
 
 def candidate_models(task: str, mode: str, rows: int, classes: int = 2, neighbours: bool = True) -> list[tuple[str, object]]:
-    """Names and estimators; nearest neighbours are marked by their name."""
+    """Names and estimators for ``rows`` rows to fit; nearest neighbours are marked by their name."""
     trees, depth, seed = TREES[mode], DEPTH[mode], ml_split.SEED
     common = {"featuresCol": FEATURES, "seed": seed}
     if task == "classification":
@@ -327,7 +327,7 @@ def train(
             part = placed.filter(F.col("fold") != fold)
             parts.append((part, _prepared(part, features, task, labels), placed.filter(F.col("fold") == fold)))
     compared, best, best_metrics = [], None, None
-    for name, estimator in candidate_models(task, mode, n, len(labels), neighbours):
+    for name, estimator in candidate_models(task, mode, train_rows.count(), len(labels), neighbours):
         started = time.time()
 
         def fit(part: DataFrame, prepared: _Prepared) -> TrainedModel:
@@ -396,7 +396,7 @@ def batch_score(trained: TrainedModel, df: DataFrame) -> DataFrame:
     names = [f["feature_name"] for f in trained.features]
     absent = [n for n in names if n not in df.columns]
     if absent:
-        raise ValueError(f"Batch CSV is missing columns: {', '.join(absent)}")
+        raise ValueError(f"Required columns not found: {', '.join(absent)}")
     typed = {f"_in{i}": c for i, c in enumerate(df.columns)}
     kept = df.select(*[ref(c).alias(i) for i, c in typed.items()], *[ref(n) for n in names])
     rows = ml_schema.coerce_features(kept, trained.features, keep=list(typed))

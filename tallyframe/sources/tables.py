@@ -32,15 +32,22 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with header, every column as text, one row per line.
-
-    Cells that span lines would make each file one task, so they are not read
-    as such.  With the names given the files are not touched before the query runs.
+def read_csv(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV with header, every column as text.
+
+    With ``multi_line``, quoted cells may hold line breaks, and each file is
+    one task.  Without it a line is a row and large files are split; a line
+    whose quotes do not match up then raises, since it would make wrong rows.
     """
     names = list(columns) if columns else csv_header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+    if not multi_line:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        if spark.read.text(path).filter(quotes % 2 == 1).limit(1).count():
+            raise ValueError(f"Cells of {path} hold line breaks or single quotes: read it with multi_line=True")
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line)
     return null_tokens(reader.csv(path))
 
 
@@ -83,7 +90,7 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """The table itself; raises listing the required columns it lacks."""
     absent = [name for name in required if name not in df.columns]
     if absent:
-        raise ValueError(f"Batch CSV is missing columns: {', '.join(absent)}")
+        raise ValueError(f"Required columns not found: {', '.join(absent)}")
     return df
 
 

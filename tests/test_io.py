@@ -15,10 +15,19 @@ def test_csv_null_tokens_and_quotes(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [('a "b", c', "1", None), ("x", "2.5", None), ("y", None, "missing")]
     typed = tables.typed_numbers(df)
     assert dict(typed.dtypes) == {"name": "string", "price": "double", "note": "string"}
-    with pytest.raises(ValueError, match="missing columns: z"):
+    with pytest.raises(ValueError, match="not found: z"):
         tables.require_columns(df, ["name", "z"])
 
 
+def test_csv_cells_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('name,price\n"two\nlines",1\nx,2\n')
+    with pytest.raises(ValueError, match="multi_line"):
+        tables.read_csv(spark, str(path))
+    df = tables.read_csv(spark, str(path), multi_line=True)
+    assert [tuple(r) for r in df.collect()] == [("two\nlines", "1"), ("x", "2")]
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = fixtures.performance(spark)
     sinks.write_csv(df, str(tmp_path / "out"))
