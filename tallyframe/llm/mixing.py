@@ -67,13 +67,18 @@ def mixed(
     rates = cut(rates.select(F.col("source").alias("_source"), "_parts", F.expr(steps).alias("_steps")))
     if rates.count() <= FEW_SOURCES:
         rates = F.broadcast(rates)
-    rows = docs.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    rows = rows.join(rates, F.col(source).cast("string").eqNullSafe(F.col("_source")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: uniform(F.lit(str(seed)), "_key", i))
+    # the document travels as one column, so that its names meet none of these
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("document"),
+        F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key"), F.col(source).cast("string").alias("source"),
+    )
+    rows = rows.join(rates, F.col("source").eqNullSafe(F.col("_source")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: uniform(F.lit(str(seed)), "key", i))
     count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("_steps", lambda c: c <= u)))
-    rows = rows.withColumn("_n", count).filter("_n > 0").drop("_steps", "_parts", "_source")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    rows = rows.withColumn("order_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), "_key", "copy"))).drop("_key", "_n")
+    rows = rows.select("document", "key", count.alias("n")).filter("n > 0")
+    rows = rows.select("document", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    order = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), "key", "copy"))
+    rows = rows.select("document.*", "copy", order.alias("order_key"))
     return rows.repartition("order_key").sortWithinPartitions("order_key")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
      T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("copy", T.StringType()),
-     T.StructField("N_Tokens", T.StringType()), T.StructField("Score", T.StringType()), T.StructField("_row", T.StringType())]
+     T.StructField("N_Tokens", T.StringType()), T.StructField("Score", T.StringType()), T.StructField("_row", T.StringType()), T.StructField("_key", T.StringType()), T.StructField("document", T.StringType())]
 )
 
 LONG = " ".join(f"w{i * 7919 % 1009}" for i in range(20_000))
@@ -20,7 +20,7 @@ DIRTY = [
 @pytest.fixture(scope="session")
 def dirty(spark):
     """Null ids and texts, empty, blank, very long and repeated ones, and columns that operators name, too."""
-    rows = [(i, t, "en", None if i in (3, 4) else "a" if i is None or i % 3 else "b", len(t or ""), "c", "n", "s", "r") for i, t in DIRTY]
+    rows = [(i, t, "en", None if i in (3, 4) else "a" if i is None or i % 3 else "b", len(t or ""), "c", "n", "s", "r", "k", "d") for i, t in DIRTY]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
