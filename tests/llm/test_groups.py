@@ -183,6 +183,15 @@ def test_lines(spark, dirty, documents, no_rows):
     assert lines.deduplicated_lines(no_rows).count() == 0
 
 
+def test_lines_of_other_numbers_stay(spark):
+    rows = [
+        "2021-03-04 10:22:31 0.53 1.22", "1999-12-30 23:59:01 9.87 4.56", "2021-03-04 10:22:31  0.53 1.22",
+        "Total for 1998 was 4512 units", "total for 1998 was 4512 units!", "a | 17 | 20391 | 5562 | 81", "a | 95 | 78845 | 1190 | 33",
+    ]
+    got = lines.deduplicated_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got if r["n_dropped"]) == [2, 4]
+
+
 @pytest.mark.parametrize("n", [10, 10**4, 10**6, 10**9, 10**12])
 def test_every_near_hash_shares_a_bucket(n):
     blocks, used = lines.blocks_for(n)
