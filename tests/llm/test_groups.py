@@ -183,6 +183,26 @@ def test_lines(spark, dirty, documents, no_rows):
     assert lines.deduplicated_lines(no_rows).count() == 0
 
 
+def test_lines_within_the_edit_similarity_are_found(spark):
+    """All pairs of lines by edit similarity alone, whatever their SimHash."""
+    rng = random.Random(6)
+    rows = ["de un queezmill del cioniido que no tajabo queta en en del", "de un queezmill del cioniido que se tajabo queta en en del"]
+    for _ in range(120):
+        words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(6, 30))]
+        rows.append(" ".join(words))
+        for _ in range(1 + len(words) // 12):
+            words[rng.randrange(len(words))] = "".join(rng.choice("bcdfg") for _ in range(rng.randrange(2, 6)))
+        rows.append(" ".join(words))
+    whole = [r.encode() for r in rows]
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if lines.similar(whole[a], whole[b])]
+    assert len(links) > 80
+    roots = reach(range(len(rows)), links)
+    got = lines.deduplicated_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()
+    found = {r["doc_id"] for r in got if r["n_dropped"]}
+    wanted = {b for b, a in roots.items() if a != b}
+    assert found <= wanted and len(found) >= 0.98 * len(wanted) and 1 in found
+
+
 def test_lines_of_other_numbers_stay(spark):
     rows = [
         "2021-03-04 10:22:31 0.53 1.22", "1999-12-30 23:59:01 9.87 4.56", "2021-03-04 10:22:31  0.53 1.22",
