@@ -20,7 +20,7 @@ from .shared import bucket_groups, mapped, written
 
 # Values to a band, and the largest chance that a pair at the threshold shares no band.
 ROWS = 4
-MISS = 1e-5
+MISS = 1e-6
 # Keys of at most so many rows (16 bytes each) may be broadcast; more are joined by shuffle.
 FEW_KEYS = 1_000_000
 # Documents of either side, and shingles, of which a task compares all at once.

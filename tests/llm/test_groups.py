@@ -103,6 +103,12 @@ def test_deduplicated_keeps_one_of_each_group(dirty, no_rows):
     assert minhash.deduplicated(no_rows).count() == 0
 
 
+@pytest.mark.parametrize("percent,bands", [(85, 20), (80, 28)])
+def test_pairs_at_the_threshold_are_seldom_missed(percent, bands):
+    assert minhash.bands_for(percent) == bands
+    assert (1 - (percent / 100) ** minhash.ROWS) ** bands <= 1e-6
+
+
 def test_centres_and_blocks_agree(monkeypatch, near_docs):
     whole = minhash.near_groups(near_docs)
     whole = sorted(map(str, whole.collect()))
