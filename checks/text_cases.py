@@ -135,10 +135,6 @@ CASES = {
         mentions,
         f"""WITH {ASKED_SQL}, {VALUES_SQL} SELECT p_partkey, col AS "column", min(v) AS value FROM hit WHERE length({NORM.format('v')}) >= 2 GROUP BY 1, 2""",
     ),
-    "value_mentions_none": (
-        lambda spark, folder: questions.value_mentions(asked(spark, folder), "p_partkey", "question", table(spark, folder, "part").limit(0), ["p_type"]),
-        'SELECT p_partkey, p_type AS "column", p_type AS value FROM part WHERE false',
-    ),
     "group_mentions": (group_mentions, GROUPS_SQL),
     "column_match": (matched, match_sql()),
     "term_retrieval": (retrieved, RETRIEVED_SQL),

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from checks import text_cases
 from tallyframe.operators import neighbours, questions, retrieval
 from tallyframe.plans.analysis import analyse
 
@@ -109,3 +110,12 @@ def test_columns_with_many_values_are_searched(spark):
     assert [(r["column"], r["first"], r["second"]) for r in groups] == [("many", "v1", "v17")]
     groups = questions.group_mentions(asked, "i", "q", df, ["few", "many"]).collect()
     assert [(r["column"], r["first"], r["second"]) for r in groups] == [("few", "w2", "w0")]
+
+
+def test_mentions_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "many string, few string")
+    asked = spark.createDataFrame([(1, "v17 and w2 or w0")], "i int, q string")
+    got = questions.value_mentions(asked, "i", "q", df, ["many"])
+    assert got.columns == ["i", "column", "value"] and got.count() == 0
+    # a case over an emptied table is none for the checks: its work does not grow
+    assert "value_mentions" in text_cases.CASES and "value_mentions_none" not in text_cases.CASES
