@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context, exact, lines, minhash, mixing, pieces, private, quality, shards, vectors
+from . import context, exact, lines, minhash, licenses, mixing, phrases, pieces, private, quality, runs, shards, vectors
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,6 +68,18 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text")
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digests(table(spark, folder, "documents"))
+
+
+def op13_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_labels(table(spark, folder, "documents"))
+
+
 CASES = {
     "op1_private": (op1_private, private.ORACLE),
     "op2_exact": (op2_exact, exact.ORACLE),
@@ -79,4 +91,7 @@ CASES = {
     "op8_lines": (op8_lines, None),
     "op9_minmax": (op9_minmax, None),
     "op10_pieces": (op10_pieces, None),
+    "op11_phrases": (op11_phrases, phrases.ORACLE),
+    "op12_runs": (op12_runs, None),
+    "op13_licenses": (op13_licenses, licenses.ORACLE),
 }
