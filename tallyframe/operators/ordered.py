@@ -3,8 +3,8 @@
 ``F.percentile`` keeps every distinct value of a group in one task, and a
 running total over an unpartitioned window sorts a column in one task.  Both
 are fine for small groups only.  Past a checked number of rows the work here
-goes through *slices*: value ranges of about equal row count, found from a
-coarse histogram.  Slices are counted with a partial aggregate, ordered by a
+goes through *slices*: value ranges of about equal row count, between sampled
+splitters that are refined until each slice fits.  Slices are counted with a partial aggregate, ordered by a
 window over the slice table, and only within one slice are values sorted.
 A value that repeats is collapsed to one row with a count before any sort, so
 a hot value costs as much as a rare one.
@@ -23,49 +23,56 @@ from ..lineage import cut
 
 # Most rows of one group handed to the built-in percentile.
 BUILTIN_ROWS = 1_000_000
-# Rows aimed at per slice, and the most slices made.
+# Rows aimed at per slice.
 SLICE_ROWS = 1_000_000
-MAX_SLICES = 65_536
 # Most rows of a side that is broadcast after its rows were counted.
 BROADCAST_ROWS = 1_000_000
-# Histogram cells per e-fold; doubles span at most 710 e-folds on each side of
-# zero, so the coarse histogram has at most about 91 000 rows and is broadcast.
-CELLS_PER_EFOLD = 64
+# Splitters of one refinement, how exact their ranks are (1 / this share of the
+# rows), and numbers that a refinement can give.
+SPLITTERS = 1000
+RANK_ACCURACY = 10_000
+RADIX = 2048
 
 
-def _cell(value: Column) -> Column:
-    """Never-decreasing integer key of a double."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * CELLS_PER_EFOLD)
+def _place(value: Column, splitters: Column) -> Column:
+    """Where a value falls between ascending splitters: even numbers between them, odd ones on them.
+
+    A binary search in ten steps; a splitter's own value, however frequent, is
+    a place of its own, so the places beside it stay small.
+    """
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(SPLITTERS.bit_length()))])
+    passed = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(splitters, at + step - 1) <= value, at + step).otherwise(at)
+    )
+    number = F.transform(F.array(passed), lambda n: n * 2 - F.coalesce((F.get(splitters, n - 1) == value).cast("int"), F.lit(0)))
+    return number[0].cast("bigint")
 
 
 def with_slices(df: DataFrame, value: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds ``_cell`` and ``_slot``; ordering by them orders by value range.
+    """Adds ``_slice``; ordering by it orders by value range.
 
-    ``value`` must not be null.  Slices hold about ``slice_rows`` rows of
-    ``df`` each, or more once there would be over ``MAX_SLICES`` of them.
+    ``value`` must not be null.  A slice holds at most twice ``slice_rows`` rows
+    of ``df``, or a single value.  Splitters are approximate quantiles of the
+    rows themselves; a slice that is still too large is split again by those of
+    its own rows, whatever the values look like and however many there are.
     """
-    keyed = df.withColumn("_cell", _cell(F.col(value)))
-    cells = keyed.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("_cell_rows"),
-        F.min(value).alias("_low"),
-        F.max(value).alias("_high"),
-    )
-    total = cells.agg(F.sum("_cell_rows").alias("t")).select("t").scalar()
-    aim = F.greatest(F.lit(slice_rows), F.ceil(total / MAX_SLICES))
-    cells = cells.select(
-        "_cell", "_low", "_high", F.ceil(F.col("_cell_rows") / aim).alias("_slots")
-    )
-    span = F.col("_high") - F.col("_low")
-    position = F.floor((F.col(value) - F.col("_low")) / span * F.col("_slots"))
-    slot = F.when(
-        (F.col("_slots") > 1) & (span > 0) & (span < float("inf")),
-        F.least(position, F.col("_slots") - 1),
-    ).otherwise(F.lit(0))
-    return (
-        keyed.join(F.broadcast(cells), "_cell")
-        .withColumn("_slot", slot.cast("bigint"))
-        .drop("_low", "_high", "_slots")
-    )
+    rows = df.withColumn("_slice", F.lit(0).cast("bigint"))
+    points = F.array(*[F.lit(i / SPLITTERS) for i in range(1, SPLITTERS)])
+    while True:
+        sizes = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        large = cut(sizes.filter((F.col("_n") > 2 * slice_rows) & (F.col("_low") < F.col("_high"))).select("_slice", "_n"))
+        count = large.count()
+        if not count:
+            return rows
+        few = count <= RADIX
+        of_large = rows.join(F.broadcast(large) if few else large, "_slice").groupBy("_slice", "_n")
+        found = of_large.agg(F.percentile_approx(value, points, RANK_ACCURACY).alias("p"))
+        parts = F.least(F.ceil(F.col("_n") / slice_rows), F.lit(SPLITTERS)).cast("int")
+        picked = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("p", F.floor(i * SPLITTERS / parts).cast("int") - 1))
+        found = cut(found.select("_slice", F.array_distinct(picked).alias("_splitters")))
+        rows = rows.join(F.broadcast(found) if few else found, "_slice", "left")
+        number = F.when(F.col("_splitters").isNotNull(), _place(F.col(value), F.col("_splitters"))).otherwise(0)
+        rows = rows.withColumn("_slice", F.col("_slice") * RADIX + number).drop("_splitters")
 
 
 def running_totals(
@@ -89,29 +96,28 @@ def running_totals(
             *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_before") for w in weights],
         )
     rows = with_slices(df, value, slice_rows=slice_rows)
-    totals = rows.groupBy(*keys, "_cell", "_slot").agg(
+    totals = rows.groupBy(*keys, "_slice").agg(
         *[F.sum(w).alias(f"_{w}_slice") for w in weights]
     )
-    over_slices = W.partitionBy(*keys).orderBy("_cell", "_slot").rowsBetween(
+    over_slices = W.partitionBy(*keys).orderBy("_slice").rowsBetween(
         W.unboundedPreceding, -1
     )
     offsets = totals.select(
         *keys,
-        "_cell",
-        "_slot",
+        "_slice",
         *[
             F.coalesce(F.sum(f"_{w}_slice").over(over_slices), F.lit(0)).alias(f"_{w}_offset")
             for w in weights
         ],
     )
-    within = W.partitionBy(*keys, "_cell", "_slot").orderBy(value).rowsBetween(
+    within = W.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(
         W.unboundedPreceding, -1
     )
-    joined = rows.join(offsets, [*keys, "_cell", "_slot"])
+    joined = rows.join(offsets, [*keys, "_slice"])
     for w in weights:
         inside = F.coalesce(F.sum(w).over(within), F.lit(0))
         joined = joined.withColumn(f"{w}_before", F.col(f"_{w}_offset") + inside)
-    return joined.drop("_cell", "_slot", *[f"_{w}_offset" for w in weights])
+    return joined.drop("_slice", *[f"_{w}_offset" for w in weights])
 
 
 def order_statistics(
@@ -125,15 +131,15 @@ def order_statistics(
     """Values at given 0-based ranks: rows (keys, rank, value).
 
     ``ranks`` holds (keys, rank); ``few_ranks`` says that their number was
-    checked against ``BROADCAST_ROWS``.  Three narrow scans of the column: coarse
-    histogram, slice counts, and the few slices that hold a wanted rank.
+    checked against ``BROADCAST_ROWS``.  A few narrow scans of the column: splitters,
+    slice counts, and the few slices that hold a wanted rank.
     """
     keys = list(keys)
     rows = with_slices(
         df.select(*keys, value).filter(F.col(value).isNotNull()), value, slice_rows=slice_rows
     )
-    counts = rows.groupBy(*keys, "_cell", "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    over_slices = W.partitionBy(*keys).orderBy("_cell", "_slot")
+    counts = rows.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    over_slices = W.partitionBy(*keys).orderBy("_slice")
     ends = counts.withColumn("_end", F.sum("_n").over(over_slices)).withColumn(
         "_start", F.col("_end") - F.col("_n")
     )
@@ -145,8 +151,8 @@ def order_statistics(
         # one row of ranks for the whole table, exploded next to each slice
         listed = wanted.agg(F.collect_set("rank").alias("r")).select("r").scalar()
         targets = ends.withColumn("rank", F.explode(listed)).filter(inside)
-    targets = targets.select(*keys, "_cell", "_slot", "_start", "rank")
-    slice_keys = [*keys, "_cell", "_slot"]
+    targets = targets.select(*keys, "_slice", "_start", "rank")
+    slice_keys = [*keys, "_slice"]
     wanted_slices = targets.select(*slice_keys).distinct()
     if few_ranks:
         rows = rows.join(F.broadcast(wanted_slices), slice_keys, "left_semi")
@@ -234,10 +240,13 @@ def weighted_quantiles(
     sizes = valid.agg(
         F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col(m)).alias(m) for m in members]
     ).first()
+    if sizes["_all"] <= builtin_rows:
+        points = F.array(*[F.lit(float(p)) for p in probabilities])
+        # one aggregate, folded in each task; rows outside a subset count as null
+        each = valid.agg(*[F.percentile(F.when(F.col(m), F.col(value)), points).alias(m) for m in members])
+        return each.select(*[F.col(m)[i].alias(f"{m}_q{i}") for m in members for i in range(len(probabilities))])
     freq = valid.groupBy(value).agg(*[F.count_if(F.col(m)).alias(m) for m in members])
-    placed = running_totals(
-        freq, value, members, slice_rows=slice_rows, small=sizes["_all"] <= builtin_rows
-    )
+    placed = running_totals(freq, value, members, slice_rows=slice_rows)
 
     def at(member: str, rank: int) -> Column:
         before = F.col(f"{member}_before")

@@ -134,3 +134,27 @@ def test_same_answer_on_any_partitioning(spark, frame):
         got = summaries.numeric_summary(part, ["v", "w"]).orderBy("column").collect()
         want = summaries.numeric_summary(df, ["v", "w"]).orderBy("column").collect()
         assert got == want
+
+
+def sizes_of_slices(df, slice_rows):
+    rows = ordered.with_slices(df, "v", slice_rows=slice_rows)
+    found = rows.groupBy("_slice").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("_slice").collect()
+    # order by slice is order by value
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:]))
+    return [r["n"] for r in found if r["low"] < r["high"]], sum(r["n"] for r in found)
+
+
+@pytest.mark.parametrize("shape", ["clustered", "geometric", "hot", "refined"])
+def test_slices_fit_whatever_the_values(spark, monkeypatch, shape):
+    if shape == "refined":  # few splitters, so slices are split again and again
+        monkeypatch.setattr(ordered, "SPLITTERS", 4)
+        monkeypatch.setattr(ordered, "RANK_ACCURACY", 20)
+    values = {
+        "clustered": "1e9 + id * 1e-4", "geometric": "pow(2D, -(id % 1000)) * (1 + id * 1e-9)",
+        "hot": "if(id % 3 = 0, 7D, if(id % 3 = 1, double(id), 7D + id * 1e-7))", "refined": "pow(2D, (id % 2000) / 3) + id",
+    }[shape]
+    df = spark.range(0, 200_000, 1, 8).selectExpr(f"{values} AS v")
+    if shape == "clustered":
+        df = df.unionByName(spark.range(1).selectExpr("1.005e9 AS v"))
+    sizes, total = sizes_of_slices(df, 5000)
+    assert total == df.count() and max(sizes) <= 10_000 and len(sizes) >= 10
