@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import questions, retrieval
 from tallyframe.plans.analysis import analyse
 
-from .common import sql_list, table
+from .common import DIRTY_SQL, as_text, clean_sql, dirty_events, sql_list, table
 
 # A question per part, worded by its key, with the part's own values in it.
 QUESTION = """CASE p_partkey % 11
@@ -80,6 +80,53 @@ GROUPS_SQL = f"""WITH {ASKED_SQL}, {VALUES_SQL}, g AS (SELECT p_partkey, col, o,
 SELECT p_partkey, col AS "column", vs[1] AS first, vs[2] AS second FROM g QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY o) = 1"""
 
 
+# Questions about yes and no: returns, "without" and "not", both sides.
+FLAG_QUESTION = """CASE event_id % 8
+ WHEN 0 THEN concat('How many ', event_type, ' events were returned?') WHEN 1 THEN 'Mean value without a flag'
+ WHEN 2 THEN concat('Compare value with and without Flag for ', event_type) WHEN 3 THEN 'Which were not returned, which said yes?'
+ WHEN 4 THEN concat(event_type, ' versus view, not flagged') WHEN 5 THEN 'the return of each kind'
+ WHEN 6 THEN concat('is ', event_type, ' not of that kind or without it') ELSE 'nothing here' END"""
+FLAG_COLUMNS = ["kind", "is_returned", "flag"]
+
+
+def flags(spark, folder, find):
+    asked_ = table(spark, folder, "events").selectExpr("event_id", FLAG_QUESTION + " AS question")
+    events = dirty_events(spark, folder).selectExpr("kind", "flag AS is_returned", "if(event_id % 2 = 0, flag, null) AS flag")
+    return find(asked_, "event_id", "question", events, FLAG_COLUMNS)
+
+
+FLAG_SQL = f"""WITH {DIRTY_SQL}, a AS (SELECT event_id, {NORM.format(f"({FLAG_QUESTION})")} AS q FROM events),
+v AS (SELECT col, o, v, {NORM.format('v')} AS w FROM (SELECT 'kind' AS col, 1 AS o, {clean_sql('kind')} AS v FROM dirty UNION SELECT 'is_returned', 2, {clean_sql('flag')} FROM dirty
+ UNION SELECT 'flag', 3, {clean_sql('flag')} FROM dirty WHERE event_id % 2 = 0) WHERE v IS NOT NULL),
+c(col, o, words) AS (VALUES ('kind', 1, ['kind']), ('is_returned', 2, ['is', 'returned']), ('flag', 3, ['flag'])),
+yes AS (SELECT col, list(v ORDER BY v) FILTER (WHERE w IN ('yes', 'true', '1', 'returned')) AS yes, list(v ORDER BY v) FILTER (WHERE w IN ('yes', 'true', '1')) AS plain,
+ list(v ORDER BY v) FILTER (WHERE w IN ('no', 'false', '0')) AS no FROM v GROUP BY col),
+h AS (SELECT event_id, col, o, v, w, strpos(q, w) AS spot FROM a JOIN v ON w <> '' AND contains(q, w)),
+named AS (SELECT event_id, q, c.col, o, len(list_filter(words, lambda x: contains(q, x))) > 0 AS named, yes, plain, no FROM a CROSS JOIN c LEFT JOIN yes USING (col))"""
+FLAG_VALUES_SQL = f"""{FLAG_SQL}, m AS (SELECT event_id, col, min(v) AS v FROM h WHERE length(w) >= 2 GROUP BY 1, 2),
+r AS (SELECT event_id, col, CASE WHEN contains(q, 'return') AND contains(col, 'return') AND len(yes) > 0 THEN yes
+ WHEN (contains(q, 'without') OR contains(q, 'not ')) AND named AND len(no) > 0 THEN no END AS vs FROM named ANTI JOIN m USING (event_id, col))
+SELECT event_id, col AS "column", '==' AS operator, v AS "values" FROM m UNION ALL SELECT event_id, col, 'in', array_to_string(vs, ' | ') FROM r WHERE vs IS NOT NULL"""
+FLAG_GROUPS_SQL = f"""{FLAG_SQL}, two AS (SELECT event_id, col, o, 0 AS rule, list(v ORDER BY spot, v) AS vs FROM h GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+r AS (SELECT event_id, col, o, rule, vs[1] AS first, vs[2] AS second FROM two UNION ALL
+ SELECT event_id, col, o, 1, array_to_string(plain, ' | '), array_to_string(no, ' | ') FROM named WHERE contains(q, 'without') AND named AND len(plain) > 0 AND len(no) > 0)
+SELECT event_id, col AS "column", first, second FROM r QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY o, rule) = 1"""
+
+# Questions about customers, whose names have a long beginning in common.
+CUSTOMER_QUESTION = "concat('Is ', c_name, ' in ', lower(c_mktsegment), ', or Customer#', lpad(cast(c_custkey % 40 as {text}), 9, '0'), '?')"
+
+
+def wide_mentions(spark, folder):
+    customers = table(spark, folder, "customer")
+    asked_ = customers.selectExpr("c_custkey", CUSTOMER_QUESTION.format(text="string") + " AS question")
+    return questions.value_mentions(asked_, "c_custkey", "question", customers, ["c_mktsegment", "c_name"])
+
+
+WIDE_SQL = f"""WITH a AS (SELECT c_custkey, {NORM.format(CUSTOMER_QUESTION.format(text='VARCHAR'))} AS q FROM customer),
+v AS (SELECT 'c_mktsegment' AS col, c_mktsegment AS v, {NORM.format('c_mktsegment')} AS w FROM customer GROUP BY 2 UNION ALL SELECT 'c_name', c_name, {NORM.format('c_name')} FROM customer GROUP BY 2)
+SELECT c_custkey, col AS "column", min(v) AS value FROM a JOIN v ON contains(q, w) WHERE length(w) >= 2 GROUP BY 1, 2"""
+
+
 def matched(spark, folder):
     phrases = table(spark, folder, "part").selectExpr("p_partkey", PHRASE + " AS phrase")
     return questions.column_match(phrases, "p_partkey", "phrase", COLUMNS)
@@ -135,7 +182,10 @@ CASES = {
         mentions,
         f"""WITH {ASKED_SQL}, {VALUES_SQL} SELECT p_partkey, col AS "column", min(v) AS value FROM hit WHERE length({NORM.format('v')}) >= 2 GROUP BY 1, 2""",
     ),
+    "value_mentions_wide": (wide_mentions, WIDE_SQL),
+    "value_predicates": (lambda spark, folder: as_text(flags(spark, folder, questions.value_predicates), "values"), FLAG_VALUES_SQL),
     "group_mentions": (group_mentions, GROUPS_SQL),
+    "group_predicates": (lambda spark, folder: as_text(flags(spark, folder, questions.group_predicates), "first", "second"), FLAG_GROUPS_SQL),
     "column_match": (matched, match_sql()),
     "term_retrieval": (retrieved, RETRIEVED_SQL),
     "artifact_corpus": (corpus, None),

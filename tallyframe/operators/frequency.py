@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,8 +43,10 @@ def surely_wide(df: DataFrame, columns: dict[str, Column], bound: int) -> set[st
     """
     if not columns:
         return set()
+    # eight registers for each value of the bound, and no more: large sketches are slow to plan
+    error = min(0.05, 1.1 / math.sqrt(8 * bound))
     sketch = df.agg(
-        *[F.approx_count_distinct(c, 0.01).alias(f"d{i}") for i, c in enumerate(columns.values())]
+        *[F.approx_count_distinct(c, error).alias(f"d{i}") for i, c in enumerate(columns.values())]
     ).first()
     return {n for i, n in enumerate(columns) if sketch[f"d{i}"] > 2 * bound + 20}
 
@@ -51,19 +54,15 @@ def surely_wide(df: DataFrame, columns: dict[str, Column], bound: int) -> set[st
 def few_values(df: DataFrame, columns: dict[str, Column], bound: int) -> dict[str, list]:
     """Sorted values of each expression that has at most ``bound``, exactly.
 
-    Only expressions the sketch leaves open are collected, up to the bound;
-    those collapse to a few values per task before the shuffle.
+    Only expressions the sketch leaves open are collected, all in one job;
+    those have some twice the bound of values at most.
     """
     wide = surely_wide(df, columns, bound)
-    found = {}
-    for name, column in columns.items():
-        if name in wide:
-            continue
-        values = df.select(column.alias("v")).filter(F.col("v").isNotNull()).distinct()
-        listed = [r["v"] for r in values.limit(bound + 1).collect()]
-        if len(listed) <= bound:
-            found[name] = sorted(listed)
-    return found
+    left = {n: c for n, c in columns.items() if n not in wide}
+    if not left:
+        return {}
+    row = df.agg(*[F.collect_set(c).alias(f"v{i}") for i, c in enumerate(left.values())]).first()
+    return {n: sorted(v) for n, v in zip(left, row) if len(v) <= bound}
 
 
 def more_distinct_than(df: DataFrame, columns: dict[str, Column], bound: int) -> set[str]:

@@ -154,26 +154,71 @@ def numeric_predicates(df: DataFrame, key: str, question: str) -> DataFrame:
 
 
 # Lengths of the pieces of text by which values of wide columns meet questions.
-PIECES = (2, 3, 4)
+PIECES = (1, 2, 4, 8, 16, 32)
 
 
-def _wide_hits(questions: DataFrame, key: str, question: str, table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows (key, column, value, at): values of columns with many values, found in questions.
+def _wide_hits(asked: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (_key, column, value, wanted, at): values of columns with many values, found in questions.
 
-    A value meets the questions that have its first characters somewhere; all
-    pieces of a question are tried, so none is missed.
+    ``asked`` has _key and q, the normalised question.  A value is looked up by
+    the piece of it that fewest values share, over half as long as itself (or
+    the longest piece), so a common beginning brings nothing together.  Values
+    longer than any question are in none.
     """
+    longest = asked.agg(F.max(F.length("q"))).first()[0] or 0
     cells = [F.struct(F.lit(n).alias("column"), clean_text(ref(n), dtype_of(table, n)).alias("value")) for n in columns]
     values = table.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull()).distinct()
-    values = values.withColumn("wanted", normalise(F.col("value"))).filter("wanted <> ''")
-    values = values.withColumn("piece", F.left("wanted", F.lit(PIECES[-1])))
-    asked = questions.select(ref(key).alias("_key"), normalise(ref(question)).alias("q"))
-    cut = [F.expr(f"transform(sequence(1, greatest(1, length(q) - {n - 1})), i -> substring(q, i, {n}))") for n in (1, *PIECES)]
-    asked = asked.withColumn("piece", F.explode(F.array_distinct(F.concat(*cut))))
-    met = asked.join(values, "piece").filter(F.col("q").contains(F.col("wanted")))
+    values = values.withColumn("wanted", normalise(F.col("value"))).filter((F.col("wanted") != "") & (F.length("wanted") <= longest))
+    size = F.lit(PIECES[0])
+    for n in PIECES[1:]:
+        size = F.when(F.length("wanted") >= n, n).otherwise(size)
+    values = values.withColumn("size", size)
+    own = F.expr("array_distinct(transform(sequence(1, length(wanted) - size + 1), i -> substring(wanted, i, size)))")
+    offered = values.select("column", "value", "wanted", F.explode(own).alias("piece"))
+    shared = offered.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = offered.join(shared, "piece").groupBy("column", "value", "wanted").agg(F.min(F.struct("n", "piece")).alias("r"))
+    rarest = rarest.select("column", "value", "wanted", F.col("r.piece").alias("piece"))
+    cut_up = [F.expr(f"transform(sequence(1, greatest(1, length(q) - {n - 1})), i -> substring(q, i, {n}))") for n in PIECES]
+    asked = asked.withColumn("piece", F.explode(F.array_distinct(F.concat(*cut_up))))
+    met = asked.join(rarest, "piece").filter(F.col("q").contains(F.col("wanted")))
     return met.select("_key", "column", "value", "wanted", F.expr("locate(wanted, q)").alias("at"))
 
 
+def _asked(questions: DataFrame, key: str, question: str) -> DataFrame:
+    """Rows (_key, q): each question is normalised once, however many values it is searched for."""
+    return questions.select(ref(key).alias("_key"), normalise(ref(question)).alias("q"))
+
+
+def _texts(table: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    return {n: clean_text(ref(n), dtype_of(table, n)) for n in columns}
+
+
+def _wanted(values: Sequence[str], least: int) -> Column:
+    """Array of (value, wanted), in order; the normal form has ``least`` characters at least.
+
+    One literal, searched in a loop: a branch for each value would make plans of hundreds of branches.
+    """
+    pairs = [(v, w) for v in values if len(w := normalise_name(v)) >= least]
+    lists = [F.array(*[F.lit(p[i]) for p in pairs]).cast("array<string>") for i in (0, 1)]
+    return F.arrays_zip(lists[0].alias("value"), lists[1].alias("wanted"))
+
+
+def _mentions(asked: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (_key, q, column, value): the first value of each column that a question mentions."""
+    hits = []
+    few = few_values(table, _texts(table, columns), MENTIONED_VALUES)
+    for name, values in few.items():
+        found = F.filter(_wanted(values, 2), lambda v: F.contains("q", v["wanted"]))
+        hits.append(F.struct(F.lit(name).alias("column"), F.get(found, 0)["value"].alias("value")))
+    none = F.expr("cast(array() as array<struct<column: string, value: string>>)")
+    rows = asked.select("_key", F.inline(F.array(*hits) if hits else none)).filter(F.col("value").isNotNull())
+    wide = [n for n in columns if n not in few]
+    if wide:
+        met = _wide_hits(asked, table, wide).filter(F.length("wanted") >= 2)
+        rows = rows.unionByName(met.groupBy("_key", "column").agg(F.min("value").alias("value")))
+    return rows
+
+
 def value_mentions(
     questions: DataFrame, key: str, question: str, table: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
@@ -183,56 +228,121 @@ def value_mentions(
     Few values become literals, so questions are matched in one scan; columns
     with more values meet the questions in a join.
     """
-    q = normalise(ref(question))
-    hits = []
-    few = few_values(table, {n: clean_text(ref(n), dtype_of(table, n)) for n in columns}, MENTIONED_VALUES)
-    for name, values in few.items():
-        choice = F.lit(None).cast("string")
-        for value in reversed(values):
-            wanted = normalise_name(value)
-            if len(wanted) >= 2:
-                choice = F.when(q.contains(wanted), value).otherwise(choice)
-        hits.append(F.struct(F.lit(name).alias("column"), choice.alias("value")))
-    none = F.expr("cast(array() as array<struct<column: string, value: string>>)")
-    rows = questions.select(ref(key), F.inline(F.array(*hits) if hits else none)).filter(F.col("value").isNotNull())
-    wide = [n for n in columns if n not in few]
-    if wide:
-        met = _wide_hits(questions, key, question, table, wide).filter(F.length("wanted") >= 2)
-        met = met.groupBy("_key", "column").agg(F.min("value").alias("value"))
-        rows = rows.unionByName(met.withColumnRenamed("_key", key))
-    return rows
+    return _mentions(_asked(questions, key, question), table, columns).withColumnRenamed("_key", key)
 
 
-def group_mentions(
+# Values that say yes or no, and the words that ask for them.
+YES, NO = ("yes", "true", "1"), ("no", "false", "0")
+RETURNED, RETURN_WORD = "returned", "return"
+WITHOUT_WORDS = ("without", "not ")
+
+
+def _flag_values(table: DataFrame, columns: Sequence[str]) -> dict[str, tuple[list, list]]:
+    """Of each column, its values that say yes or ``returned``, and those that say no; one scan."""
+    if not columns:
+        return {}
+    picks = []
+    for i, text in enumerate(_texts(table, columns).values()):
+        for j, words in enumerate(((*YES, RETURNED), NO)):
+            picks.append(F.array_sort(F.collect_set(F.when(normalise(text).isin(*words), text))).alias(f"v{i}_{j}"))
+    row = table.agg(*picks).first()
+    return {n: (row[f"v{i}_0"], row[f"v{i}_1"]) for i, n in enumerate(columns)}
+
+
+def _named(column: str) -> Column:
+    """Does the question have a word of the column's name in it?"""
+    return _has_any(F.col("q"), normalise_name(column).split())
+
+
+def value_predicates(
     questions: DataFrame, key: str, question: str, table: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
-    """Rows (key, column, first, second): the first column of which a question
-    mentions two or more values, with the two mentioned first."""
-    q = normalise(ref(question))
+    """Rows (key, column, operator, values): the value conditions of each question.
+
+    A mentioned value is asked for by ``==``.  Where no value of a column is
+    mentioned, a question about returns asks a column of that name for its
+    yes values, and one with "without" or "not" that has a word of the
+    column's name asks for its no values, both by ``in``.
+    """
+    asked = _asked(questions, key, question)
+    mentioned = _mentions(asked, table, columns)
+    none = F.expr("cast(null as array<string>)")
+    rules = []
+    for name, (yes, no) in _flag_values(table, columns).items():
+        wanted = none
+        if no:
+            wanted = F.when(_has_any(F.col("q"), WITHOUT_WORDS) & _named(name), F.array(*[F.lit(v) for v in no]))
+        if yes and RETURN_WORD in normalise_name(name):
+            wanted = F.when(F.col("q").contains(RETURN_WORD), F.array(*[F.lit(v) for v in yes])).otherwise(wanted)
+        if yes or no:
+            rules.append(F.struct(F.lit(name).alias("column"), wanted.alias("values")))
+    equal = mentioned.select("_key", "column", F.lit("==").alias("operator"), F.array("value").alias("values"))
+    if not rules:
+        return equal.withColumnRenamed("_key", key)
+    ruled = asked.select("_key", F.inline(F.array(*rules))).filter(F.col("values").isNotNull())
+    ruled = ruled.join(mentioned.select("_key", "column"), ["_key", "column"], "left_anti")
+    ruled = ruled.select("_key", "column", F.lit("in").alias("operator"), "values")
+    return equal.unionByName(ruled).withColumnRenamed("_key", key)
+
+
+def _spots(asked: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (_key, place, column, spots): where a question mentions values of a column, two at least."""
     found = []
-    few = few_values(table, {n: clean_text(ref(n), dtype_of(table, n)) for n in columns}, MENTIONED_VALUES)
-    none = F.expr("cast(array() as array<struct<at: int, value: string>>)")
+    few = few_values(table, _texts(table, columns), MENTIONED_VALUES)
     for name, values in few.items():
-        spots = [(F.locate(wanted, q), value) for value in values if (wanted := normalise_name(value))]
-        marked = [F.when(spot > 0, F.struct(spot.alias("at"), F.lit(value).alias("value"))) for spot, value in spots]
-        each = F.array_compact(F.array(*marked)) if marked else none
+        inside = F.filter(_wanted(values, 1), lambda v: F.contains("q", v["wanted"]))
+        each = F.transform(inside, lambda v: F.struct(F.position(v["wanted"], F.col("q")).alias("at"), v["value"].alias("value")))
         found.append(F.struct(F.lit(columns.index(name)).alias("place"), F.lit(name).alias("column"), F.array_sort(each).alias("spots")))
     shape = "array<struct<place: int, column: string, spots: array<struct<at: int, value: string>>>>"
-    rows = questions.select(ref(key).alias("_key"), F.inline(F.array(*found).cast(shape) if found else F.expr(f"cast(array() as {shape})")))
+    rows = asked.select("_key", F.inline(F.array(*found).cast(shape) if found else F.expr(f"cast(array() as {shape})")))
     wide = [n for n in columns if n not in few]
     if wide:
-        met = _wide_hits(questions, key, question, table, wide).groupBy("_key", "column")
+        met = _wide_hits(asked, table, wide).groupBy("_key", "column")
         # no longer than the question is
         met = met.agg(F.array_sort(F.collect_set(F.struct("at", "value"))).alias("spots"))
         places = F.create_map(*[x for i, n in enumerate(columns) for x in (F.lit(n), F.lit(i))])
         rows = rows.unionByName(met.select("_key", F.element_at(places, F.col("column")).alias("place"), "column", "spots"))
-    rows = rows.filter(F.size("spots") >= 2)
+    return rows.filter(F.size("spots") >= 2)
+
+
+def group_mentions(
+    questions: DataFrame, key: str, question: str, table: DataFrame, columns: Sequence[str]
+) -> DataFrame:
+    """Rows (key, column, first, second): the first column of which a question
+    mentions two or more values, with the two mentioned first."""
+    rows = _spots(_asked(questions, key, question), table, columns)
     best = rows.groupBy("_key").agg(F.min(F.struct("place", "column", "spots")).alias("g"))
     return best.select(
         F.col("_key").alias(key), "g.column", F.col("g.spots")[0]["value"].alias("first"), F.col("g.spots")[1]["value"].alias("second")
     )
 
 
+def group_predicates(
+    questions: DataFrame, key: str, question: str, table: DataFrame, columns: Sequence[str]
+) -> DataFrame:
+    """Rows (key, column, first, second): values of the two groups that a question compares.
+
+    Of the first column that gives any: the two values mentioned first, or,
+    for a question with "without" and a word of the column's name, the
+    column's yes values and its no values.
+    """
+    asked = _asked(questions, key, question)
+    spots = _spots(asked, table, columns)
+    one = [F.array(F.col("spots")[i]["value"]) for i in (0, 1)]
+    rows = spots.select("_key", "place", F.lit(0).alias("rule"), "column", one[0].alias("first"), one[1].alias("second"))
+    rules = []
+    for place, (name, (yes, no)) in enumerate(_flag_values(table, columns).items()):
+        yes = [v for v in yes if normalise_name(v) in YES]
+        if yes and no:
+            sides = [F.array(*[F.lit(v) for v in side]) for side in (yes, no)]
+            pick = F.struct(F.lit(place).alias("place"), F.lit(1).alias("rule"), F.lit(name).alias("column"), sides[0].alias("first"), sides[1].alias("second"))
+            rules.append(F.when(F.col("q").contains(WITHOUT_WORDS[0]) & _named(name), pick))
+    if rules:
+        rows = rows.unionByName(asked.select("_key", F.inline(F.array_compact(F.array(*rules)))))
+    best = rows.groupBy("_key").agg(F.min(F.struct("place", "rule", "column", "first", "second")).alias("g"))
+    return best.select(F.col("_key").alias(key), "g.column", "g.first", "g.second")
+
+
 def column_scores(phrase: Column, columns: Sequence[str]) -> Column:
     """Array of (column, score) structs for one phrase; columns are few."""
     text = normalise(phrase)

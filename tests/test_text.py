@@ -119,3 +119,40 @@ def test_mentions_of_an_empty_table(spark):
     assert got.columns == ["i", "column", "value"] and got.count() == 0
     # a case over an emptied table is none for the checks: its work does not grow
     assert "value_mentions" in text_cases.CASES and "value_mentions_none" not in text_cases.CASES
+
+
+def test_returns_and_without(spark):
+    rows = [(1, "Express", "Yes", 2), (2, "Express", "No", 3), (3, "Standard", "Yes", 6), (4, "Express", "Yes", 1)]
+    df = spark.createDataFrame(rows, "Order_ID int, Shipping_Method string, Returned string, Delivery_Days int")
+    asked = ["How many orders used express shipping and were returned?", "orders without returned", "with and without returned", "not express", "compare yes and no", ""]
+    asked = spark.createDataFrame(list(enumerate(asked)), "i int, q string")
+    columns = ["Shipping_Method", "Returned"]
+    got = {(r["i"], r["column"], r["operator"], *r["values"]) for r in questions.value_predicates(asked, "i", "q", df, columns).collect()}
+    # "not" has the value "no" in it
+    assert got == {
+        (0, "Shipping_Method", "==", "Express"), (0, "Returned", "in", "Yes"), (1, "Returned", "in", "Yes"), (2, "Returned", "in", "Yes"),
+        (3, "Shipping_Method", "==", "Express"), (3, "Returned", "==", "No"), (4, "Returned", "==", "No"),
+    }
+    groups = questions.group_predicates(asked, "i", "q", df, columns).collect()
+    assert sorted((r["i"], r["column"], *r["first"], *r["second"]) for r in groups) == [(1, "Returned", "Yes", "No"), (2, "Returned", "Yes", "No"), (4, "Returned", "Yes", "No")]
+
+
+def test_values_with_a_common_beginning_do_not_meet(spark):
+    df = spark.range(3000).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS name")
+    asked = spark.range(3000).selectExpr("id AS i", "concat('what of customer ', lpad(id, 9, '0')) AS q")
+    got = questions.value_mentions(asked, "i", "q", df, ["name"])
+    assert {(r["i"], r["value"]) for r in got.collect()} == {(i, f"Customer#{i:09d}") for i in range(3000)}
+
+
+def test_retrieval_counts(spark):
+    texts = ["the theme of the thesis", "a them\tthe", "", None, "other", "THE the", "xyz"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "c int, text string")
+    asked = spark.createDataFrame([(1, "the the them ab"), (2, "qqq"), (3, None)], "i int, q string")
+    got = {(r["query"], r["chunk"]): r["score"] for r in retrieval.retrieve(chunks, asked, "c", "text", "i", "q", limit=10, fallback=False).collect()}
+    want = {}
+    for c, text in enumerate(texts):
+        body = (text or "").lower()
+        score = sum(body.split().count(t) + (t in body) for t in ("the", "the", "them"))
+        if score:
+            want[1, c] = score
+    assert got == want
