@@ -282,8 +282,8 @@ def category_chart(
     freq: DataFrame | None = None,
 ) -> DataFrame:
     """Most frequent values, with their share of the values shown."""
-    freq = value_frequencies(df, columns) if freq is None else freq
-    top = top_values(freq.filter(F.col("column").isin(*columns)), limit)
+    freq = value_frequencies(df, columns, short=True) if freq is None else freq
+    top = top_values(freq.filter(F.col("column").isin(*columns)), limit, df)
     shown = F.sum("n").over(W.partitionBy("column"))  # at most ``limit`` rows each
     return top.select(
         "column",

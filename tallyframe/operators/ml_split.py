@@ -77,9 +77,26 @@ def _test_counts(sizes: DataFrame, test_share: float) -> DataFrame:
     )
 
 
-def with_fold(df: DataFrame, keys: Sequence[str], folds: int, seed: int = SEED) -> DataFrame:
-    """Adds ``fold``; even over rows and, in expectation, over classes."""
-    return df.withColumn("fold", F.pmod(row_hash(keys, seed + 1), F.lit(folds)).cast("int"))
+def with_fold(
+    df: DataFrame, keys: Sequence[str], folds: int, seed: int = SEED, stratum: str | None = None,
+    builtin_rows: int = ordered.BUILTIN_ROWS, slice_rows: int = ordered.SLICE_ROWS,
+) -> DataFrame:
+    """Adds ``fold``: of the different keys of a stratum, each fold gets as many, or one more.
+
+    Keys are dealt out in turn, in the order of their md5 digests (52 bits of
+    them), which is known without a sort in one task: slices of digests are
+    counted, and a key's number is that of the slices before plus that within
+    its own.  Rows with equal keys share a fold, so none is trained on and
+    tested; a null stratum is one of its own.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(ref(k).cast("string"), F.lit("")) for k in keys])
+    digest = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
+    rows = df.withColumn("_s", F.to_json(F.struct(ref(stratum).alias("s"))) if stratum else F.lit("")).withColumn("_h", digest)
+    each = rows.select("_s", "_h").distinct().withColumn("_one", F.lit(1))
+    largest = ordered.group_sizes(each, "_h", ["_s"])[1]
+    numbered = ordered.running_totals(each, "_h", ["_one"], ["_s"], slice_rows=slice_rows, small=largest <= builtin_rows)
+    numbered = numbered.select("_s", "_h", F.pmod("_one_before", F.lit(folds)).cast("int").alias("fold"))
+    return rows.drop("fold").join(numbered, ["_s", "_h"]).select(*[ref(c) for c in df.columns if c != "fold"], "fold")
 
 
 def with_class_weight(df: DataFrame, label: str) -> DataFrame:

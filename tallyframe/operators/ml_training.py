@@ -88,8 +88,9 @@ def preprocessing(train: DataFrame, features: Sequence[Row]) -> list:
         ]
         parts.append("_scaled")
     if categorical:
-        freq = value_frequencies(train.select(*[ref(c) for c in categorical]))
-        modes = {r["column"]: r["value"] for r in top_values(freq, 1).collect()}
+        texts = train.select(*[ref(c) for c in categorical])
+        freq = value_frequencies(texts, short=True)
+        modes = {r["column"]: r["value"] for r in top_values(freq, 1, texts).collect()}
         filled = [f"_c{i}" for i in range(len(categorical))]
         choices = ", ".join(
             "coalesce(`{}`, {}) AS {}".format(
@@ -308,7 +309,7 @@ def train(
     placed = ml_split.stratified_split(rows, [KEY], LABEL if stratify else None)
     folds = FOLDS[mode]
     if folds:
-        placed = ml_split.with_fold(placed, [KEY], folds)
+        placed = ml_split.with_fold(placed, [KEY], folds, stratum=LABEL if stratify else None)
     # read once per model and iteration
     placed = placed.persist()
     train_rows = placed.filter(~F.col("is_test")).drop("is_test")

@@ -77,9 +77,9 @@ def text_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def sample_values(freq: DataFrame, limit: int = SAMPLE_VALUES) -> DataFrame:
-    """The first values per column in value order."""
-    return first_values(freq, limit, "sample_values")
+def sample_values(freq: DataFrame, df: DataFrame, limit: int = SAMPLE_VALUES) -> DataFrame:
+    """The first values per column in value order; ``freq`` counts ``df``."""
+    return first_values(freq, limit, "sample_values", df)
 
 
 def column_profile(
@@ -90,12 +90,12 @@ def column_profile(
     ``freq`` may be a persisted ``value_frequencies`` of the same columns.
     """
     names = list(columns or df.columns)
-    freq = value_frequencies(df, names) if freq is None else freq
+    freq = value_frequencies(df, names, short=True) if freq is None else freq
     kinds = {n: storage_kind(dtype_of(df, n)) for n in names}
     word = F.lower("value")
     others = F.count_if(~word.isin(*TRUE_TOKENS, *FALSE_TOKENS))
     totals = column_totals(freq, (others == 0).alias("all_boolean"))
-    profile = totals.join(sample_values(freq), "column", "left")
+    profile = totals.join(sample_values(freq, df), "column", "left")
     texts = [n for n in names if kinds[n] == "text"]
     if texts:
         profile = profile.join(text_shares(df, texts), "column", "left")
@@ -174,11 +174,11 @@ def tool_schema(df: DataFrame, freq: DataFrame | None = None, limit: int = 8) ->
     from .frequency import top_values
 
     names = df.columns
-    freq = value_frequencies(df, names) if freq is None else freq
+    freq = value_frequencies(df, names, short=True) if freq is None else freq
     numbers = [n for n in names if is_number(dtype_of(df, n))]
     numeric = F.col("column").isin(*numbers) if numbers else F.lit(False)
     top = (
-        top_values(freq.filter(~numeric), limit)
+        top_values(freq.filter(~numeric), limit, df)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("t"))
         .select("column", F.col("t.value").alias("top_values"))
@@ -186,7 +186,7 @@ def tool_schema(df: DataFrame, freq: DataFrame | None = None, limit: int = 8) ->
     types = {n: F.lit(dtype_of(df, n).simpleString()) for n in names}
     return (
         column_totals(freq)
-        .join(sample_values(freq), "column", "left")
+        .join(sample_values(freq, df), "column", "left")
         .join(top, "column", "left")
         .select(
             "column",

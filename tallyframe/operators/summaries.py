@@ -168,7 +168,7 @@ def boolean_summary(
     df: DataFrame, columns: Sequence[str], freq: DataFrame | None = None
 ) -> DataFrame:
     """True, false and missing counts, one row per boolean-like column."""
-    freq = value_frequencies(df, columns) if freq is None else freq
+    freq = value_frequencies(df, columns, short=True) if freq is None else freq
     rows = freq.filter(F.col("column").isin(*columns))
     word, n = F.lower("value"), F.col("n")
 
@@ -182,7 +182,7 @@ def boolean_summary(
         F.sum("n").alias("rows"),
     )
     spelled = (
-        top_values(rows, 8)
+        top_values(rows, 8, df)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list("value")).alias("unique_values"))
     )
@@ -203,7 +203,7 @@ def category_summary(
     df: DataFrame, columns: Sequence[str], freq: DataFrame | None = None
 ) -> DataFrame:
     """One row per category column."""
-    freq = value_frequencies(df, columns) if freq is None else freq
+    freq = value_frequencies(df, columns, short=True) if freq is None else freq
     totals = column_totals(freq.filter(F.col("column").isin(*columns)))
     missing = F.col("missing_count")
     note = F.concat(
@@ -233,11 +233,11 @@ def category_top_values(
     freq: DataFrame | None = None,
 ) -> DataFrame:
     """Most frequent values per column with their share of all valid cells."""
-    freq = value_frequencies(df, columns) if freq is None else freq
+    freq = value_frequencies(df, columns, short=True) if freq is None else freq
     rows = freq.filter(F.col("column").isin(*columns))
     totals = column_totals(rows).select("column", "valid_count")
     return (
-        top_values(rows, limit)
+        top_values(rows, limit, df)
         .join(F.broadcast(totals), "column")
         .select(
             "column",

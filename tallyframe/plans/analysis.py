@@ -39,7 +39,7 @@ def analyse(df: DataFrame) -> Analysis:
     (or per chart) reach the driver.
     """
     spark = df.sparkSession
-    freq = value_frequencies(df).persist()
+    freq = value_frequencies(df, short=True).persist()
     described = profile.column_profile(df, freq=freq)
     profile_rows = described.collect()
     described = spark.createDataFrame(profile_rows, described.schema)

@@ -158,3 +158,30 @@ def test_slices_fit_whatever_the_values(spark, monkeypatch, shape):
         df = df.unionByName(spark.range(1).selectExpr("1.005e9 AS v"))
     sizes, total = sizes_of_slices(df, 5000)
     assert total == df.count() and max(sizes) <= 10_000 and len(sizes) >= 10
+
+
+@pytest.mark.parametrize("builtin_rows,slice_rows", [(10**6, 10**6), (0, 100)])
+def test_folds_are_stratified(spark, builtin_rows, slice_rows):
+    df = spark.range(3000).selectExpr("if(id % 50 = 0, null, id) AS k", "if(id % 7 = 0, null, if(id % 3 = 0, 'a', 'b')) AS c", "id AS fold")
+    got = ml_split.with_fold(df, ["k"], 5, stratum="c", builtin_rows=builtin_rows, slice_rows=slice_rows).toPandas()
+    assert len(got) == 3000 and list(got.columns) == ["k", "c", "fold"]
+    keyed = got[got.k.notna()]
+    for _, part in keyed.groupby(keyed.c.fillna("none")):
+        sizes = part.groupby("fold").size()
+        # the null key is one of a stratum's keys, in some fold
+        assert len(sizes) == 5 and sizes.max() - sizes.min() <= 2
+    assert (got[got.k.isna()].groupby(got.c.fillna("none")).fold.nunique() == 1).all()
+
+
+def test_long_values_stay_out_of_the_shuffle(spark):
+    from tallyframe.operators import frequency
+
+    base = "p" * 70
+    rows = [(base + str(i % 40), "s" + str(i % 3), None) for i in range(200)] + [("p", "", "x" * 5000), (base[:64], " n/a ", "x" * 5000)]
+    df = spark.createDataFrame(rows, "long string, short string, one string").repartition(3)
+    short, whole = frequency.value_frequencies(df, short=True), frequency.value_frequencies(df)
+    assert short.agg(F.max(F.length("value"))).first()[0] == frequency.SHORT
+    totals = [sorted(tuple(r) for r in frequency.column_totals(f).collect()) for f in (short, whole)]
+    assert totals[0] == totals[1]
+    for find in (lambda f, d: frequency.top_values(f, 3, d), lambda f, d: frequency.first_values(f, 5, "v", d), lambda f, d: frequency.allowed_values(f, 80, d)):
+        assert sorted(map(tuple, find(short, df).collect()), key=repr) == sorted(map(tuple, find(whole, None).collect()), key=repr)
