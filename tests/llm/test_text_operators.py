@@ -1,6 +1,7 @@
 """Private data, exact copies, mixing and pieces: brute force, the library, dirty rows."""
 
 import hashlib
+import random
 import re
 import struct
 from collections import Counter, defaultdict
@@ -133,6 +134,38 @@ def test_pieces_match_the_library(dirty, no_rows, documents):
 
 def test_long_words_use_the_heap():
     vocab = pieces.Vocabulary(open(MODEL, "rb").read())
-    text = "thetionwhandérst" * 40
-    assert vocab.few(list(text)) == vocab.many(list(text))
+    # arrays and heap merge alike, ties, repeats and characters that are no piece included
+    rng = random.Random(8)
+    units = ["thetionwhandérst" * 40, *("▁" * rng.randrange(2) + "".join(rng.choices("theaonirs\U0001F600é漢\n", k=rng.randint(1, 30))) for _ in range(400)), "▁", "aaaaaaa"]
+    symbols, sizes = vocab.pairs.merged(units)
+    names = {i: p for p, i in vocab.pieces.items()}
+    starts = sizes.cumsum() - sizes
+    for unit, a, n in zip(units, starts.tolist(), sizes.tolist()):
+        want = vocab.many(list(unit))
+        assert [names.get(i, w) for i, w in zip(symbols[a : a + n].tolist(), want)] == want and n == len(want)
+    units = list(dict.fromkeys(u for u in units if "\n" not in u))
+    assert {u: list(struct.unpack(f"<{len(ids) // 4}I", ids)) for u, (ids, _) in vocab.merge_all(units).items()} == {u: vocab.merge(u) for u in units}
+
+
+def test_a_difference_from_the_library_raises():
+    vocab = pieces.Vocabulary(open(MODEL, "rb").read())
+    # a pair that merges first where the library has it later
+    vocab.pairs.rank[:] = vocab.pairs.rank[::-1].copy()
+    with pytest.raises(RuntimeError, match="the library says"):
+        vocab.merge_all([f"▁{w}" for w in ("international", "something", "relationship")])
+
+
+def test_forgotten_words_are_merged_again(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED_WORDS", 3)
+    vocab = pieces.Vocabulary(open(MODEL, "rb").read())
+    texts = [b"one two  three four one two", None, b"five six seven eight one two one two nine ten", "é\n▁ x ".encode(), b"one two ten"]
+    for _ in range(2):
+        for part in (texts, texts[2:], texts[:1]):
+            got = vocab.encode_batch(part)
+            want = [vocab.library.encode((t or b"").decode()) for t in part]
+            assert [list(struct.unpack(f"<{len(ids) // 4}I", ids)) for ids, _ in got] == want == [x.tolist() for x in vocab.ids_of(part)]
+
+
+def test_broken_bytes_are_decoded_as_the_library_does():
+    vocab = pieces.Vocabulary(open(MODEL, "rb").read())
     assert vocab.decode([vocab.begin, vocab.byte_ids[0xFF], vocab.byte_ids[0xC3], *vocab.merge("▁a")]) == vocab.library.decode([vocab.byte_ids[0xFF], vocab.byte_ids[0xC3], *vocab.merge("▁a")])
