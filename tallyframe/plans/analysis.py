@@ -27,8 +27,8 @@ class Analysis:
         self.frequencies.unpersist()
 
     def corpus(self) -> DataFrame:
-        """Text rows of all results, for retrieval."""
-        return retrieval.artifact_corpus(self.tables)
+        """Text rows of all results, for retrieval; pairs left out of the charts are no results."""
+        return retrieval.artifact_corpus({k: v for k, v in self.tables.items() if k != "excluded_pairs"})
 
 
 def analyse(df: DataFrame) -> Analysis:
@@ -86,6 +86,8 @@ def analyse(df: DataFrame) -> Analysis:
         boolean=by_column["boolean"],
         unique={safe[r["column"]]: r["unique_count"] for r in profile_rows},
     )
+    scored = chart_select.pair_usefulness(pairs, cleaned.columns, small.mostly_unique())
+    tables["excluded_pairs"] = chart_select.excluded_pairs(scored, cleaned.columns)
     found = chart_select.chart_candidates(cleaned, roles, small, pairs, safe_freq)
     tables["charts"] = chart_select.chart_specs(found, spark)
     return Analysis(tables, cleaned, engineered, {c.chart_id: c.data for c in found}, freq)

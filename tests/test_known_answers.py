@@ -86,6 +86,10 @@ def test_formula_pairs_are_excluded(spark):
         assert excluded[frozenset(pair)]
     useful = {frozenset((r["x"], r["y"])) for r in chart_select.useful_pairs(scored).collect()}
     assert useful and not useful & set(excluded)
+    # the analysis delivers them with its charts
+    delivered = analyse(df).tables["excluded_pairs"].collect()
+    assert {frozenset((r["x"], r["y"])) for r in delivered} >= {frozenset(("month", "quarter")), frozenset(("order_amount", "tax_amount"))}
+    assert all(r["exclusion_reason"] for r in delivered)
 
 
 def test_chart_vocabulary(spark):

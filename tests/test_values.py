@@ -73,5 +73,9 @@ def test_names():
         ("total_price", "price_status", True), ("rating", "salary", False), ("total_price", "price_level", False),
     ],
 )
-def test_leakage(target, feature, leaks):
-    assert bool(ml_schema.leakage_reason(target, feature)) == leaks
+def test_leakage(spark, target, feature, leaks):
+    row = spark.createDataFrame([(feature,)], "n string").select(ml_schema.leakage_reason(F.col("n"), target).alias("r")).first()
+    assert (row["r"] is not None) == leaks
+    if leaks:
+        reason = {"high_value": "possible target leakage for high_value", "returned": "possible target leakage for returned", "price": "target column"}
+        assert row["r"] == reason.get(target, "shares outcome-like terms with target total_price")
