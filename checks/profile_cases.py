@@ -306,6 +306,27 @@ PAIRS_SQL = "SELECT * FROM (" + " UNION ALL ".join(
     for i, a in enumerate(sorted(LINE_NUMBERS)) for b in sorted(LINE_NUMBERS)[i + 1 :]
 ) + ") ORDER BY abs(correlation) DESC LIMIT 20"
 
+# More columns than are summed pair by pair, with nulls in some and one that never varies.
+MANY_NUMBERS = {
+    "quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "line": "cast(l_linenumber AS double)",
+    "order_key": "cast(l_orderkey AS double)", "part_key": "cast(l_partkey AS double)", "supplier_key": "cast(l_suppkey AS double)",
+    "paid": "l_extendedprice * (1 - l_discount)", "taxed": "l_extendedprice * (1 + l_tax)", "each": "l_extendedprice / l_quantity",
+    "bulk": "CASE WHEN l_quantity > 25 THEN l_quantity END", "cheap": "CASE WHEN l_discount > 0.05 THEN l_extendedprice END",
+    "one": "cast(1 AS double)", "small": "CASE WHEN l_quantity < 20 THEN l_tax END",
+}
+
+
+def many_pairs(spark, folder):
+    lines = table(spark, folder, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in MANY_NUMBERS.items()])
+    return summaries.all_correlations(lines, list(MANY_NUMBERS))
+
+
+# a pair is null where a column has one value, or where no row has both
+MANY_PAIRS_SQL = f"WITH m AS (SELECT {', '.join(f'{e} AS {n}' for n, e in MANY_NUMBERS.items())} FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, {f'round(corr({a}, {b}), 4)' if 'one' not in (a, b) and {a, b} != {'bulk', 'small'} else 'max(NULL::DOUBLE)'} AS correlation FROM m"
+    for i, a in enumerate(sorted(MANY_NUMBERS)) for b in sorted(MANY_NUMBERS)[i + 1 :]
+)
+
 CASES = {
     **{
         f"column_profile_{n}": (profiled(loader(n)), profile_sql(n, cols) + PROFILE_TAIL)
@@ -386,4 +407,5 @@ CASES = {
     "datetime_summary_orders": (moments("orders", ["o_orderdate"]), moments_sql("orders", "o_orderdate")),
     "datetime_summary_events": (moments("events", ["ts"]), moments_sql("events", "ts")),
     "correlation_pairs": (pairs, PAIRS_SQL),
+    "correlation_pairs_many": (many_pairs, MANY_PAIRS_SQL),
 }

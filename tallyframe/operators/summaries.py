@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tokens import FALSE_TOKENS, TRUE_TOKENS
 from ..functions.values import (
@@ -32,6 +33,10 @@ IMBALANCED_SHARE = 0.8
 TOP_PAIRS = 20
 # Correlations computed per aggregate; more would outgrow compiled code.
 PAIRS_PER_PASS = 60
+# Columns of a block, of which more pairs are multiplied as matrices, and parts
+# in which the tasks' sums are added first.
+COLUMNS_TOGETHER = 1000
+SUM_PARTS = 64
 # Columns summarised per scan, for the same reason.
 COLUMNS_PER_PASS = 8
 
@@ -273,7 +278,8 @@ def all_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     A first scan takes count, mean and range per column.  The second sums
     products of centred values: one sum per pair of complete columns, and six
-    for a pair with nulls, which has its own set of rows.
+    for a pair with nulls, which has its own set of rows.  Many columns are
+    multiplied as matrices, a thousand of them in that one scan.
     """
     names = sorted(columns)
     pairs = list(combinations(names, 2))
@@ -291,14 +297,79 @@ def all_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     centred = wide.select(
         *[(ref(n) - F.lit(firsts[f"m{i}"])).alias(n) for i, n in enumerate(names)]
     )
+    if len(pairs) <= PAIRS_PER_PASS:
+        return _pair_sums(centred, pairs, complete, varying)
     result = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start : start + PAIRS_PER_PASS]
-        rows = _pair_sums(centred, part, complete, varying)
-        result = rows if result is None else result.unionByName(rows)
+    blocks = [names[i : i + COLUMNS_TOGETHER] for i in range(0, len(names), COLUMNS_TOGETHER)]
+    for i, left in enumerate(blocks):
+        for right in blocks[i:]:
+            rows = _block_correlations(centred, left, right, firsts["n"], varying)
+            result = rows if result is None else result.unionByName(rows)
     return result
 
 
+# Sums over the rows where both columns of a pair have a value.
+PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _block_correlations(centred: DataFrame, left: Sequence[str], right: Sequence[str], total: int, varying: set[str]) -> DataFrame:
+    """Rows (x, y, correlation) of the pairs x < y of two blocks of columns, in one scan.
+
+    Each task multiplies the matrices of its rows: what it hands on is one row
+    for each left column, with arrays over the right ones.  These are added up
+    in two steps, so that no task gets those of all.
+    """
+    columns = list(dict.fromkeys([*left, *right]))
+    shape = T.StructType(
+        [T.StructField("i", T.IntegerType()), T.StructField("part", T.IntegerType()), *[T.StructField(f"s_{k}", T.ArrayType(T.DoubleType())) for k in PAIR_SUMS]]
+    )
+
+    def packed(i, part, sums):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(shape)
+        return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(part, pa.int32()), *[pa.array(list(m), f.type) for m, f in zip(sums, list(schema)[2:])]], schema=schema)
+
+    def multiply(batches: Iterator) -> Iterator:
+        import numpy as np
+        from pyspark import TaskContext
+
+        sums = np.zeros((len(PAIR_SUMS), len(left), len(right)))
+        a, b = [columns.index(c) for c in left], [columns.index(c) for c in right]
+        for batch in batches:
+            values = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+            there = ~np.isnan(values)
+            values, there = np.where(there, values, 0.0), there.astype(float)
+            x, y, has_x, has_y = values[:, a], values[:, b], there[:, a], there[:, b]
+            for k, (p, q) in enumerate(((has_x, has_y), (x, has_y), (has_x, y), (x * x, has_y), (has_x, y * y), (x, y))):
+                sums[k] += p.T @ q
+        part = TaskContext.get().partitionId() % SUM_PARTS
+        yield packed(range(len(left)), [part] * len(left), sums)
+
+    def add(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        sums = [np.stack(rows.column(f"s_{k}").to_pylist()).sum(axis=0)[None, :] for k in PAIR_SUMS]
+        return pa.Table.from_batches([packed(rows.column("i")[:1].to_pylist(), [0], sums)])
+
+    partial = centred.select(*[ref(c).cast("double") for c in columns]).mapInArrow(multiply, shape)
+    sums = partial.groupBy("i", "part").applyInArrow(add, shape).groupBy("i").applyInArrow(add, shape)
+    lists = [F.array(*[F.lit(c) for c in block]) for block in (left, right)]
+    each = sums.select(F.get(lists[0], F.col("i")).alias("x"), F.posexplode(F.arrays_zip(*[f"s_{k}" for k in PAIR_SUMS])).alias("j", "s"))
+    each = each.select("x", F.get(lists[1], F.col("j")).alias("y"), "s.*").filter("x < y")
+    n, sx, sy, sxx, syy, sxy = (F.col(f"s_{k}") for k in PAIR_SUMS)
+    # as for few pairs: a constant column must give null, not the quotient of two tiny remainders
+    vx, vy = (_variation(q - s * s / n, q) for q, s in ((sxx, sx), (syy, sy)))
+    some = F.when(n > 0, F.try_divide(sxy - sx * sy / n, F.sqrt(vx * vy)))
+    r = F.when(n == total, F.try_divide(sxy, F.sqrt(sxx * syy))).otherwise(some)
+    known = [c for c in columns if c in varying]
+    both = F.col("x").isin(*known) & F.col("y").isin(*known) if known else F.lit(False)
+    return each.select("x", "y", F.when(both, rounded(r)).alias("correlation"))
+
+
+
 def _pair_sums(
     centred: DataFrame,
     pairs: Sequence[tuple[str, str]],

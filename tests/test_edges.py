@@ -1,5 +1,7 @@
 """Empty, constant, all-null and single-row tables."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,23 @@ def test_copied_columns(spark):
     df = spark.range(20).select("id", F.col("id").alias("again"), (F.col("id") + 1).alias("other"), F.col("id").alias("third"))
     got = {r["column"]: r["duplicate_of"] for r in cleaning.duplicate_columns(df).collect()}
     assert got == {"again": "id", "third": "id"}
+
+
+@pytest.mark.parametrize("together", [1000, 5])
+def test_correlations_of_many_columns(spark, monkeypatch, together):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame(rng.normal(0, 1, (400, 14)) @ rng.normal(0, 1, (14, 14)) + 1e3, columns=[f"c{i:02d}" for i in range(14)])
+    frame.loc[::3, "c03"] = None
+    frame.loc[1::4, "c07"] = None
+    frame["c05"] = 7.5
+    frame["c09"] = None
+    frame.loc[frame.index % 2 == 0, "c11"] = 1.25
+    frame.loc[frame.index % 2 == 1, "c12"] = None  # c11 is constant where c12 has a value
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"{c} double" for c in frame)).repartition(5)
+    monkeypatch.setattr(summaries, "COLUMNS_TOGETHER", together)
+    got = {(r["x"], r["y"]): r["correlation"] for r in summaries.all_correlations(df, list(frame)).collect()}
+    monkeypatch.setattr(summaries, "PAIRS_PER_PASS", 1000)
+    few = {(r["x"], r["y"]): r["correlation"] for r in summaries.all_correlations(df, list(frame)).collect()}
+    assert got == few and len(got) == 14 * 13 / 2
+    want = frame.astype(float).corr()
+    assert got["c00", "c03"] == pytest.approx(want.loc["c00", "c03"], abs=1e-4) and got["c05", "c06"] is None and got["c11", "c12"] is None
