@@ -24,7 +24,7 @@ MISS = 1e-6
 # Keys of at most so many rows (16 bytes each) may be broadcast; more are joined by shuffle.
 FEW_KEYS = 1_000_000
 # Documents of either side, and shingles, of which a task compares all at once.
-BLOCK, COLUMNS = 128, 1 << 14
+BLOCK, COLUMNS = 512, 1 << 13
 
 
 def bands_for(percent: int) -> int:

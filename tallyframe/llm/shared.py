@@ -119,19 +119,38 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+# Keys of at most so many rows (some ten bytes each) may be broadcast; more are joined by shuffle.
+FEW_KEYS = 1_000_000
+# Bytes of loads that a side of a block holds, if its rows are more than one.
+BLOCK_BYTES = 4 << 20
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The rows, marked for a broadcast if they are counted to be at most FEW_KEYS."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= FEW_KEYS else df
+
+
 def blocked(cells: DataFrame, block: int) -> DataFrame:
     """Rows of cells dealt into blocks: adds a, b, left and right, a group being (cluster, cell, a, b).
 
     Every core of a cell (column core) meets every other row of the cell in
     exactly one group as left against right; a group has about ``block`` rows
-    of either side, however large the cell.  Cells of a single row are left out.
+    of either side, or BLOCK_BYTES where rows have a column size, however
+    large the cell.  Cells of a single row are left out.
     """
-    sizes = cells.groupBy("cluster", "cell").agg(F.sum(F.col("core").cast("long")).alias("cores"), F.count("*").alias("rows"))
+    share = F.lit(1.0 / block)
+    if "size" in cells.columns:
+        share = F.greatest(share, F.col("size") / BLOCK_BYTES)
+    sizes = cells.groupBy("cluster", "cell").agg(
+        F.sum(F.when(F.col("core"), share)).alias("cores"), F.sum(share).alias("all"), F.count("*").alias("rows")
+    )
     sizes = sizes.filter("cores > 0 and rows > 1").select(
-        "cluster", "cell", F.ceil(F.col("cores") / block).alias("lefts"), F.ceil(F.col("rows") / block).alias("rights")
+        "cluster", "cell", F.ceil("cores").alias("lefts"), F.ceil("all").alias("rights")
     )
     place = F.xxhash64("node")
-    rows = cells.join(sizes, ["cluster", "cell"]).withColumn("_a", F.pmod(place, "lefts")).withColumn("_b", F.pmod(place, "rights"))
+    rows = cells.drop("size").join(few(sizes), ["cluster", "cell"])
+    rows = rows.withColumn("_a", F.pmod(place, "lefts")).withColumn("_b", F.pmod(place, "rights"))
     # a core meets every block of the cell's rows, every row meets each block of cores
     parts = F.expr(
         """concat(transform(filter(sequence(0, lefts - 1), x -> NOT core OR x <> _a), x -> struct(x AS a, _b AS b, false AS left, true AS right)),
@@ -173,8 +192,9 @@ def bucket_groups(members: DataFrame, attach: Callable, star: Callable, pairs: C
     Buckets that share members make a cluster.  All members are compared with
     the cluster's centre, the one that shares most buckets with others; where
     most are copies of one text that settles nearly all.  Those not linked to
-    it are compared with the other members, but by the triangle inequality
-    only with those about as far from the centre, in blocks of bounded size.
+    it are compared with the members of the buckets that hold one of them, but
+    by the triangle inequality only with those about as far from the centre,
+    in blocks of bounded size.
     """
     members = cut(members)
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -182,19 +202,21 @@ def bucket_groups(members: DataFrame, attach: Callable, star: Callable, pairs: C
     clusters = components(members.join(least, "bucket").select("node", "least"), "node", "least")
     clusters = clusters.join(degree, "node").select("node", F.col("root").alias("cluster"), "degree")
     clusters = cut(clusters)
-    centres = clusters.groupBy("cluster").agg(F.max(F.struct("degree", "node")).alias("c"), F.count("*").alias("size"))
-    centres = centres.select("cluster", "size", F.col("c.node").alias("centre"))
+    centres = clusters.groupBy("cluster").agg(F.max(F.struct("degree", "node")).alias("c"), F.count("*").alias("members"))
+    centres = centres.select("cluster", "members", F.col("c.node").alias("centre"))
     loads = written(attach(clusters.drop("degree").join(centres, "cluster")), "loads")
     rows = loads.join(loads.filter("node = centre").select("centre", F.col("load").alias("centre_load")), "centre")
     adds = T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("linked", T.BooleanType())])
-    rows = mapped(rows, ["load", "centre_load"], adds, lambda: star).drop("load", "centre_load")
+    rows = mapped(rows.withColumn("size", F.octet_length("load")), ["load", "centre_load"], adds, lambda: star).drop("load", "centre_load")
     rows = written(rows.filter("node <> centre"), "compared-with-centres")
     # a cluster of which all are linked, or of a centre and one other, is settled
-    open_clusters = rows.filter("size > 2 and not linked").select("cluster").distinct()
+    alone = rows.filter("members > 2 and not linked").select("node")
+    touched = members.join(alone, "node", "left_semi").select("bucket").distinct()
+    compared = few(members.join(touched, "bucket", "left_semi").select("node").distinct())
     home = F.floor(F.col("distance") / (reach + 1e-9))
-    near = rows.join(open_clusters, "cluster").withColumn("home", home)
+    near = rows.join(compared, "node", "left_semi").withColumn("home", home)
     near = near.withColumn("cell", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1)))
-    near = near.withColumn("core", ~F.col("linked") & (F.col("cell") == F.col("home"))).select("cluster", "cell", "core", "node")
+    near = near.withColumn("core", ~F.col("linked") & (F.col("cell") == F.col("home"))).select("cluster", "cell", "core", "node", "size")
     dealt = blocked(near, block).join(loads.select("node", "load"), "node")
 
     def join(part):
