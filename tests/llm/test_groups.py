@@ -218,10 +218,26 @@ def test_lines_of_other_numbers_stay(spark):
     assert sorted(r["doc_id"] for r in got if r["n_dropped"]) == [2, 4]
 
 
-@pytest.mark.parametrize("n", [10, 10**4, 10**6, 10**9, 10**12])
-def test_every_near_hash_shares_a_bucket(n):
-    blocks, used = lines.blocks_for(n)
-    assert blocks - used == lines.RADIUS and blocks > lines.RADIUS
+def test_large_buckets_and_blocks_agree(spark, monkeypatch):
+    """Copies of copies of one line that share windows, in buckets over PART and in small blocks."""
+    rng = random.Random(9)
+    rows = [[f"w{rng.randrange(90)}" for _ in range(30)]]
+    for _ in range(150):
+        words = list(rng.choice(rows[-12:]))
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(8, 30)] = f"w{rng.randrange(90)}"
+        rows.append(words)
+    texts = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def dropped():
+        return sorted(r["doc_id"] for r in lines.deduplicated_lines(docs).collect() if r["n_dropped"])
+
+    large = dropped()
+    monkeypatch.setattr(lines, "BLOCK", 7)
+    assert dropped() == large
+    monkeypatch.setattr(lines, "PART", 1000)
+    assert dropped() == large and 0 < len(large) < len(rows)
 
 
 def test_vectors(spark, monkeypatch):
