@@ -236,6 +236,8 @@ def test_large_buckets_and_blocks_agree(spark, monkeypatch):
     large = dropped()
     monkeypatch.setattr(lines, "BLOCK", 7)
     assert dropped() == large
+    monkeypatch.setattr(lines, "CELL_PAIRS", 50)
+    assert dropped() == large
     monkeypatch.setattr(lines, "PART", 1000)
     assert dropped() == large and 0 < len(large) < len(rows)
 
