@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import context, exact, lines, minhash, licenses, mixing, phrases, pieces, private, quality, runs, shards, vectors
+from .shared import shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,7 +43,8 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_shards(spark: SparkSession, folder: str) -> DataFrame:
-    return shards.training_order(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"), seed=SEED)
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    return shards.materialised(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"), path, seed=SEED)
 
 
 def op6_context(spark: SparkSession, folder: str) -> DataFrame:

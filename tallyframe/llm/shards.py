@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pieces import vocabulary
-from .shared import mapped, written
+from .shared import few, mapped, written
 
 ROUNDS = 6
 LENGTH = 512
@@ -44,32 +44,32 @@ def permuted(index, size: int, seed: int):
     return slots.astype(np.int64)
 
 
-TOKENS = T.StructType([T.StructField("tokens", T.BinaryType()), T.StructField("n_sequences", T.LongType()), T.StructField("first", T.LongType())])
+TOKENS = T.StructType([T.StructField("tokens", T.BinaryType()), T.StructField("n_sequences", T.LongType()), T.StructField("digest", T.BinaryType())])
+# Columns of a training order beside the key.
+ADDED = ("shard", "slot", "index", "part", "n_tokens", "record")
+# Bytes of records in a task that writes shards.
+TASK_BYTES = 64 << 20
 
 
 def _tokens(rows: DataFrame, model_path: str, length: int) -> DataFrame:
-    """Adds packed ids (with begin and end), the number of sequences they fill, and that of the task's sequences before."""
+    """Adds packed ids (with begin and end), the number of sequences they fill, and a digest of the ids."""
     with open(model_path, "rb") as file:
         shared = rows.sparkSession.sparkContext.broadcast(file.read())
 
     def work():
         import numpy as np
+        import xxhash
 
         vocab = vocabulary(shared.value)
         width = id_width(vocab.library.get_piece_size())
 
-        written_so_far = 0
-
         def do(texts):
-            nonlocal written_so_far
-            packed, counts, firsts = [], [], []
+            packed, counts = [], []
             for ids in vocab.ids_of(texts):
                 ids = np.concatenate([[vocab.begin], ids, [vocab.end]]).astype(f"<u{width}")
                 packed.append(ids.tobytes())
                 counts.append(-(-len(ids) // length))
-                firsts.append(written_so_far)
-                written_so_far += counts[-1]
-            return [packed, counts, firsts]
+            return [packed, counts, [xxhash.xxh3_128_digest(p) for p in packed]]
 
         return do
 
@@ -81,66 +81,123 @@ def id_width(vocabulary_size: int) -> int:
     return 2 if vocabulary_size <= 1 << 16 else 4
 
 
-def training_order(
-    docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text",
-    length: int = LENGTH, seed: int = 0, shard_records: int = SHARD_RECORDS,
-) -> DataFrame:
-    """One row per sequence: shard, slot, index, ``key``, part, n_tokens, record; rows of a shard are together, by slot.
+def _numbered(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (row, first): the number of a text's first sequence, and how many sequences there are.
 
-    Each text's ids, with begin and end, are cut into parts of ``length`` ids;
-    the record is a part's ids, little-endian, filled up with zero bytes to
-    the full length.  index counts the sequences in the order in which the
-    table of tokens was written; slot is its place in the training order, and
-    shard is slot div ``shard_records``.  A null or empty text has begin and
-    end only; repeated rows give sequences each; no rows give no rows.
-    """
+    Texts are numbered by key and digest of their ids, so that numbers do not
+    depend on how rows lie in partitions.  Rows equal in both are sorted by
+    their place in the table of tokens; their sequences are the same in any
+    order.  The sort is by ranges of all three, which splits a frequent key;
+    what reaches the driver is one sum for each range.
+    """
+
+    def before(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            counts = batch.column("n_sequences").to_numpy()
+            ends = done + counts.cumsum()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(ends - counts), pa.array(counts), pa.array([task] * batch.num_rows, pa.int32())],
+                names=["row", "first", "n", "range"],
+            )
+            done = int(ends[-1]) if batch.num_rows else done
+
+    order = ["key", "digest", "row"]
+    narrow = tokens.select(*order, "n_sequences").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(narrow.select("row", "n_sequences").mapInArrow(before, "row bigint, first bigint, n bigint, range int"), "places")
+    size, starts = 0, []
+    for place, n in sorted(tuple(r) for r in placed.groupBy("range").agg(F.sum("n")).collect()):
+        starts.append((place, size))
+        size += n
+    starts = tokens.sparkSession.createDataFrame(starts, "range int, start bigint")
+    return placed.join(F.broadcast(starts), "range").select("row", (F.col("first") + F.col("start")).alias("first")), size
+
+
+def _sequences(docs: DataFrame, model_path: str, key: str, text: str, length: int, seed: int, shard_records: int) -> tuple[DataFrame, DataFrame]:
+    """The training order with records, and without."""
+    from pyspark.sql.pandas.types import to_arrow_schema
     from sentencepiece import SentencePieceProcessor
 
-    spark = docs.sparkSession
     width = id_width(SentencePieceProcessor(model_file=model_path).get_piece_size())
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    tokens = _tokens(rows, model_path, length).withColumn("task", F.spark_partition_id())
+    tokens = _tokens(rows, model_path, length).withColumn("row", F.monotonically_increasing_id())
     tokens = written(tokens, "tokens")
-    # one number for each task that wrote tokens
-    sums = sorted(tuple(r) for r in tokens.groupBy("task").agg(F.sum("n_sequences").alias("n")).collect())
-    size = sum(n for _, n in sums)
-    before, first = 0, {}
-    for task, n in sums:
-        first[task], before = before, before + n
-    shared = spark.sparkContext.broadcast(first)
-    schema = T.StructType(
-        [T.StructField("shard", T.LongType()), T.StructField("slot", T.LongType()), T.StructField("index", T.LongType()),
-         docs.schema[key], T.StructField("part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("record", T.BinaryType())]
-    )
+    places, size = _numbered(tokens)
+    tokens = tokens.join(few(places), "row")
     step = length * width
+    name = f"{key}_key" if key.lower() in ADDED else key
+    fields = [("shard", T.LongType()), ("slot", T.LongType()), ("index", T.LongType()), (name, docs.schema[key].dataType), ("part", T.LongType()), ("n_tokens", T.LongType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
 
     def cut_up(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                counts = part.column("n_sequences").to_numpy()
-                index = part.column("first").to_numpy() + np.array([shared.value[t] for t in part.column("task").to_pylist()])
+                counts, sizes = part.column("n_sequences").to_numpy(), part.column("n_ids").to_numpy()
                 owner = np.repeat(np.arange(len(counts)), counts)
                 place = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
-                index = index[owner] + place
+                index = part.column("first").to_numpy()[owner] + place
                 slot = permuted(index, size, seed)
-                whole = part.column("tokens").to_pylist()
-                records = [whole[o][p * step : (p + 1) * step] for o, p in zip(owner, place)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot // shard_records), pa.array(slot), pa.array(index), part.column("key").take(pa.array(owner)), pa.array(place),
-                     pa.array([len(r) // width for r in records], pa.int64()), pa.array(records, pa.binary())],
-                    schema=arrow,
-                )
-
-    found = tokens.mapInArrow(cut_up, schema)
+                columns = [
+                    pa.array(slot // shard_records), pa.array(slot), pa.array(index), part.column("key").take(pa.array(owner)), pa.array(place),
+                    pa.array(np.minimum(sizes[owner] - place * length, length)),
+                ]
+                if "tokens" in part.schema.names:
+                    whole = part.column("tokens").to_pylist()
+                    columns.append(pa.array([whole[o][p * step : (p + 1) * step] for o, p in zip(owner, place)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(schemas[len(columns)]))
+
+    schemas = {len(s): s for s in (schema, T.StructType([*schema, T.StructField("record", T.BinaryType())]))}
+    narrow = tokens.select("key", "n_sequences", "first", (F.octet_length("tokens") / width).cast("long").alias("n_ids"))
+    whole = tokens.select("tokens", *narrow.columns[:-1], (F.octet_length("tokens") / width).cast("long").alias("n_ids"))
+    found = whole.mapInArrow(cut_up, schemas[len(schema) + 1])
+    # tasks take ranges of shards
     shards = max(1, -(-size // shard_records))
-    found = found.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
-    return found.withColumn("record", F.rpad("record", F.lit(step), F.lit(b"\0")))
+    tasks = max(1, min(shards, -(-size * step // TASK_BYTES)))
+    found = found.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard", "slot")
+    return found.withColumn("record", F.rpad("record", F.lit(step), F.lit(b"\0"))), narrow.mapInArrow(cut_up, schema)
+
+
+def training_order(
+    docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text",
+    length: int = LENGTH, seed: int = 0, shard_records: int = SHARD_RECORDS,
+) -> DataFrame:
+    """One row per sequence: shard, slot, index, ``key``, part, n_tokens, record; rows of a shard are together, by slot.
+
+    Each text's ids, with begin and end, are cut into parts of ``length`` ids;
+    the record is a part's ids, little-endian, filled up with zero bytes to
+    the full length.  index counts the sequences by key (nulls first), digest
+    of the text's ids and part, so it is the same however rows lie in
+    partitions; slot is its place in the training order, and shard is slot div
+    ``shard_records``.  A null or empty text has begin and end only; repeated
+    rows give sequences each; no rows give no rows.  Other columns are left
+    out; a key named like an added column is returned as ``<key>_key``.
+    """
+    return _sequences(docs, model_path, key, text, length, seed, shard_records)[0]
+
+
+def materialised(
+    docs: DataFrame, model_path: str, path: str, key: str = "doc_id", text: str = "text",
+    length: int = LENGTH, seed: int = 0, shard_records: int = SHARD_RECORDS,
+) -> DataFrame:
+    """Writes the shards of :func:`training_order` to ``path`` and gives back what the files hold.
+
+    One row per record read from the shards: slot, record_sha256 (hex), and of
+    the training order shard, index, ``key``, part and n_tokens.
+    """
+    from sentencepiece import SentencePieceProcessor
+
+    whole, narrow = _sequences(docs, model_path, key, text, length, seed, shard_records)
+    write_shards(whole, path)
+    step = length * id_width(SentencePieceProcessor(model_file=model_path).get_piece_size())
+    records = read_shards(docs.sparkSession, path, step, shard_records)
+    return narrow.join(records.select("slot", F.sha2("record", 256).alias("record_sha256")), "slot")
 
 
 def write_shards(sequences: DataFrame, path: str) -> None:
@@ -153,8 +210,13 @@ def write_shards(sequences: DataFrame, path: str) -> None:
 
 
 def read_shards(spark: SparkSession, path: str, stride: int, shard_records: int = SHARD_RECORDS, start: int = 0) -> DataFrame:
-    """Rows (slot, record) from slot ``start`` on; earlier shards are not opened. ``stride``: bytes of a record."""
+    """Rows (slot, record) from slot ``start`` on; earlier shards are not opened. ``stride``: bytes of a record.
+
+    No rows where no sequences were written.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    if "shard" not in files.columns:
+        return spark.createDataFrame([], "slot bigint, record binary")
     files = files.filter(F.col("shard") >= start // shard_records).select("shard", "content")
     rows = files.select("shard", "content", F.explode(F.expr(f"sequence(0, cast(length(content) / {stride + 1} as int) - 1)")).alias("i"))
     rows = rows.select(

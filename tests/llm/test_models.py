@@ -168,6 +168,31 @@ def test_shards_round_trip(spark, dirty, no_rows, tmp_path):
         back = shards.read_shards(spark, str(tmp_path / "shards"), 128, 100, start).collect()
         assert {r["slot"]: bytes(r["record"]) for r in back} == {r["slot"]: bytes(r["record"]) for r in rows if r["slot"] >= start}
     assert shards.training_order(no_rows, MODEL).count() == 0
+    # no rows, no shards
+    shards.write_shards(shards.training_order(no_rows, MODEL), str(tmp_path / "none"))
+    assert shards.read_shards(spark, str(tmp_path / "none"), 1024).collect() == []
+
+
+def test_slots_do_not_depend_on_layout(dirty, documents):
+    for docs, seed in ((dirty, 3), (documents, 4)):
+        seen = [
+            sorted((r["slot"], r["doc_id"] is None, r["doc_id"], r["part"], bytes(r["record"])) for r in
+            shards.training_order(docs.repartition(n, "text"), MODEL, length=64, seed=seed).collect()) for n in (3, 5)
+        ]
+        assert seen[0] == seen[1]
+
+
+def test_written_shards_hold_the_order(spark, dirty, tmp_path):
+    import hashlib
+
+    rows = shards.training_order(dirty, MODEL, length=64, seed=5, shard_records=100).collect()
+    found = shards.materialised(dirty, MODEL, str(tmp_path / "whole"), length=64, seed=5, shard_records=100).collect()
+    want = sorted((r["slot"], r["shard"], r["index"], str(r["doc_id"]), r["part"], r["n_tokens"], hashlib.sha256(r["record"]).hexdigest()) for r in rows)
+    got = sorted((r["slot"], r["shard"], r["index"], str(r["doc_id"]), r["part"], r["n_tokens"], r["record_sha256"]) for r in found)
+    assert got == want
+    # a key with the name of an added column
+    named = shards.training_order(dirty.withColumnRenamed("doc_id", "slot"), MODEL, key="slot", length=64, seed=5, shard_records=100)
+    assert sorted((r["slot"], str(r["slot_key"])) for r in named.collect()) == sorted((r["slot"], str(r["doc_id"])) for r in rows)
 
 
 def test_pipeline_stages(spark, folder):
