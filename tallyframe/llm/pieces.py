@@ -188,8 +188,8 @@ class Vocabulary:
         # symbols of the library for single words carry no word start of their own
         self.start = lib.encode("")
         self.units = re.compile(self.unit_pattern())
-        # packed ids and surfaces of words and of units; packed ids alone, by the library
-        self.known, self.known_units, self.library_words = Memory(), Memory(), Memory()
+        # packed ids and surfaces of words and of units
+        self.known, self.known_units = Memory(), Memory()
 
     def unit_pattern(self) -> str:
         """Pattern of the stretches of text that no merge leaves.
@@ -340,26 +340,11 @@ class Vocabulary:
         return {w: held[w] if w in held else self.units.findall(SPACE + w.replace(" ", SPACE)) for w in words}
 
     def ids_of(self, texts: list[bytes | None]) -> list:
-        """Ids of each text as arrays, ends not included; new words are encoded by the library."""
+        """Ids of each text as arrays, ends not included, by the library alone."""
         import numpy as np
 
-        held = self.library_words
-        found = [words_of(text) if text else [] for text in texts]
-        packed = [list(map(held.young.get, words)) for words in found]
-        met = dict.fromkeys(w for words, own in zip(found, packed) if None in own for w, p in zip(words, own) if p is None)
-        news = []
-        for w in met:
-            met[w] = held.get(w)
-            if met[w] is None:
-                news.append(w)
-        ids = self.library.encode(news, num_threads=1) if news else []
-        whole, end = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
-        for w, n in zip(news, map(len, ids)):
-            # the library gives no ids for an empty text, not even its word start
-            met[w] = whole[end : end + 4 * n] if w else struct.pack("<I", self.pieces[SPACE])
-            end += 4 * n
-            held.put(w, met[w])
-        return [np.frombuffer(b"".join([p or met[w] for w, p in zip(words, own)]), dtype="<u4") for words, own in zip(found, packed)]
+        found = self.library.encode([text.decode("utf-8", "replace") if text else "" for text in texts], num_threads=1)
+        return [np.array(ids, dtype="<u4") for ids in found]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids as the library decodes them; control ids have no text."""
