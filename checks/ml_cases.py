@@ -196,6 +196,11 @@ def knn(spark, folder):
     return neighbours.nearest_neighbours(vectors, vectors, "vec_id", "embedding", "label", True)
 
 
+def knn_cells(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest_neighbours(vectors, vectors, "vec_id", "embedding", "label", True, block_rows=500, chunk_rows=2000)
+
+
 KNN_SQL = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 d AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(power(list_distance(a.v, b.v), 2), 9), b.vec_id) AS r FROM e a, e b),
 c AS (SELECT vec_id, label, count(*) AS n FROM d WHERE r <= 5 GROUP BY 1, 2)
@@ -237,6 +242,7 @@ SELECT o_orderkey, o_orderstatus, round(total / (k * n), 6) AS weight FROM order
     "mean_baseline": (mean_baseline, MEAN_SQL),
     "rank_auc": (auc, AUC_SQL),
     "knn_predict": (knn, KNN_SQL),
+    "knn_cells": (knn_cells, KNN_SQL),
     "train_compare": (compared, None),
     "batch_score": (scored, None),
 }

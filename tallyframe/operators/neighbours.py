@@ -1,4 +1,4 @@
-"""Nearest neighbours by brute force over blocks of training rows."""
+"""Nearest neighbours: one block of training rows, or cells around pivots and a shrinking radius."""
 
 from __future__ import annotations
 
@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.values import ref
-from ..lineage import spread
+from ..lineage import cut, spread
 
 NEIGHBOURS = 5
 # Training rows, and rows to predict, that a task holds at once.
 BLOCK_ROWS = 15_000
 CHUNK_ROWS = 50_000
+# Training rows that cells are built around; every task holds them, and three numbers for each cell.
+MOST_PIVOTS = 2_048
+# Blocks of which the row counts may be broadcast.
+FEW_BLOCKS = 1_000_000
 
 
 def nearest_neighbours(
@@ -33,9 +37,12 @@ def nearest_neighbours(
     ``features`` is an array column; ``key`` names both sides' key.  Distance
     ties go to the smaller training key and vote ties to the smaller label.
 
-    A training side counted to fit one block is broadcast.  A larger one meets
-    the rows block by chunk in shuffled groups of bounded size.  Either way a
-    task forwards only the k best per row and block.
+    A training side counted to fit one block is broadcast.  A larger one is
+    dealt into cells, by the nearest of its pivots.  A row meets a block of its
+    own cell first; the distance of the k-th it finds there bounds the cells it
+    must still meet, by the triangle inequality.  Cells meet their rows in
+    shuffled groups of bounded size, block by chunk, and no pair that may
+    count is left out.  A task forwards only the k best per row and block.
     """
     train = train.select(
         ref(key).alias("key"), ref(features).alias("features"), ref(label).cast("double").alias("label")
@@ -51,8 +58,8 @@ def nearest_neighbours(
     if n <= block_rows:
         found = _broadcast_block(train, spread(rows, "key"), schema, k)
     else:
-        found = _block_by_chunk(train, rows, schema, k, -(-n // block_rows), chunk_rows)
-        order = W.partitionBy("key").orderBy("distance", "neighbour")
+        found = _within_cells(train, rows, n, schema, k, block_rows, chunk_rows)
+        order = W.partitionBy("key").orderBy(F.col("distance").asc_nulls_last(), "neighbour")
         found = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
     choice = F.mode("label", True) if classify else F.avg("label")
     chosen = found.groupBy("key").agg(choice.alias("prediction"))
@@ -106,30 +113,163 @@ def _broadcast_block(train: DataFrame, rows: DataFrame, schema: str, k: int) ->
     return rows.mapInPandas(batches_of, schema)
 
 
-def _block_by_chunk(
-    train: DataFrame, rows: DataFrame, schema: str, k: int, blocks: int, chunk_rows: int
+def _within_cells(
+    train: DataFrame, rows: DataFrame, n: int, schema: str, k: int, block_rows: int, chunk_rows: int
 ) -> DataFrame:
-    chunks = max(1, -(-rows.count() // chunk_rows))
+    cells = Cells(train, n, block_rows)
+    first = cut(_met(cells.home(rows), cells.rows, schema, k, chunk_rows))
+    second = _met(cells.within_bound(first.filter("neighbour IS NULL"), k), cells.rows, schema, k, chunk_rows)
+    names = ["key", "neighbour", "distance", "label"]
+    return first.unionByName(second).filter("neighbour IS NOT NULL").select(*names)
 
-    def part(count: int):
-        return F.pmod(F.xxhash64("key"), F.lit(count)).cast("int")
 
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+class Cells:
+    """Training rows (cell, block, key, features, label), each in the cell of its nearest pivot."""
 
-    left = rows.withColumn("chunk", part(chunks)).withColumn("block", every(blocks))
-    right = train.withColumn("block", part(blocks)).withColumn("chunk", every(chunks))
+    def __init__(self, train: DataFrame, n: int, block_rows: int):
+        import numpy as np
+
+        pivots = min(MOST_PIVOTS, max(16, 4 * -(-n // block_rows)))
+        picked = train.orderBy(F.xxhash64("key"), "key").limit(pivots).select("features").collect()
+        # copies of one pivot would share a cell
+        self.pivots = np.unique(np.array([r["features"] for r in picked], dtype=float), axis=0)
+        points = self.pivots
+
+        def assign(batches: Iterator) -> Iterator:
+            import numpy as np
+
+            for batch in batches:
+                for start in range(0, len(batch), 512):
+                    part = batch.iloc[start : start + 512]
+                    far = _distances(part["features"], points)
+                    cell = far.argmin(axis=1)
+                    yield part.assign(cell=cell.astype("int32"), far=far[np.arange(len(cell)), cell])
+
+        types = [f"{f.name} {f.dataType.simpleString()}" for f in train.schema]
+        held = cut(train.mapInPandas(assign, ", ".join([*types, "cell int", "far double"])))
+        sizes = held.groupBy("cell").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("n"))
+        sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")))
+        self.low, self.high = np.full(len(points), np.inf), np.full(len(points), -np.inf)
+        self.counts, self.blocks = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
+        for r in sizes.collect():
+            i = r["cell"]
+            self.low[i], self.high[i], self.counts[i], self.blocks[i] = r["low"], r["high"], r["n"], r["blocks"]
+        block = F.pmod(F.xxhash64("key", "features"), F.col("blocks")).cast("int")
+        held = held.join(F.broadcast(sizes.select("cell", "blocks")), "cell").withColumn("block", block)
+        self.rows = held.select("cell", "block", "key", "features", "label")
+
+    def home(self, rows: DataFrame) -> DataFrame:
+        """Each row with the cell of its nearest pivot, and one block of that."""
+        points, blocks = self.pivots, self.blocks
+
+        def ask(batches: Iterator) -> Iterator:
+            import numpy as np
+
+            for batch in batches:
+                for start in range(0, len(batch), 512):
+                    part = batch.iloc[start : start + 512]
+                    far = np.where(blocks > 0, _distances(part["features"], points), np.inf)
+                    cell = far.argmin(axis=1)
+                    # a row without finite distances may point to a cell without rows
+                    cell = np.where(blocks[cell] > 0, cell, int(blocks.argmax()))
+                    yield part.assign(cell=cell.astype("int32"), blocks=blocks[cell].astype("int32"))
+
+        fields = f"key {rows.schema['key'].dataType.simpleString()}, features array<double>, cell int, blocks int"
+        rows = rows.select("key", F.col("features").cast("array<double>").alias("features"))
+        asked = rows.mapInPandas(ask, fields)
+        block = F.pmod(F.xxhash64("key", "features"), F.col("blocks")).cast("int")
+        return asked.select("key", "features", "cell", block.alias("block"))
+
+    def within_bound(self, asked: DataFrame, k: int) -> DataFrame:
+        """Rows (key, features, cell, block, bound) with every block they must still meet."""
+        points, low, high, counts, blocks = self.pivots, self.low, self.high, self.counts, self.blocks
+
+        def ask(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pandas as pd
+
+            between = _distances(points, points)
+            np.fill_diagonal(between, np.inf)
+            used = blocks > 0
+            owner = np.repeat(np.arange(len(blocks)), blocks)
+            number = np.arange(len(owner)) - (np.cumsum(blocks) - blocks)[owner]
+            size = 1 + np.sqrt((points**2).sum(axis=1)).max() + high[used].max()
+            for batch in batches:
+                for start in range(0, len(batch), 512):
+                    part = batch.iloc[start : start + 512]
+                    cell, block = part["cell"].to_numpy(), part["block"].to_numpy()
+                    far = _distances(part["features"], points)
+                    # k training rows are no farther than this, whichever cells hold them
+                    most = np.where(used, far + high, np.inf)
+                    order = np.argsort(most, axis=1)
+                    enough = np.cumsum(counts[order], axis=1) >= k
+                    reach = np.take_along_axis(most, order, axis=1)[np.arange(len(part)), enough.argmax(axis=1)]
+                    reach = np.where(enough.any(axis=1), reach, np.inf)
+                    met = np.sqrt(part["bound"].to_numpy(dtype=float, na_value=np.inf) + 1e-9)
+                    bound = np.minimum(reach, met) + 1e-6 * (size + far.min(axis=1))
+                    # from the ring of distances that a cell has, and from the plane between two pivots
+                    least = np.maximum(far - high, low - far)
+                    own = far.argmin(axis=1)
+                    plane = (far**2 - far[np.arange(len(own)), own][:, None] ** 2) / (2 * between[own])
+                    least = np.maximum(least, plane)
+                    wanted = ~(least > bound[:, None]) & used
+                    wanted = wanted[:, owner]
+                    wanted &= (owner[None, :] != cell[:, None]) | (number[None, :] != block[:, None])
+                    i, j = np.nonzero(wanted)
+                    features = part["features"].to_numpy()
+                    for at in range(0, len(i), 8192):
+                        x, y = i[at : at + 8192], j[at : at + 8192]
+                        yield pd.DataFrame(
+                            {"key": part["key"].to_numpy()[x], "features": features[x],
+                             "cell": owner[y].astype("int32"), "block": number[y].astype("int32")}
+                        )
+
+        fields = f"key {asked.schema['key'].dataType.simpleString()}, features array<double>, cell int, block int"
+        return asked.select("key", "features", "cell", "block", F.col("distance").alias("bound")).mapInPandas(ask, fields)
+
+
+def _distances(features, points):
+    """Matrix of distances of rows from points."""
+    import numpy as np
+
+    x = np.stack(list(features)).astype(float)
+    squared = (x**2).sum(axis=1)[:, None] - 2 * x @ points.T + (points**2).sum(axis=1)[None, :]
+    return np.sqrt(np.maximum(squared, 0))
+
+
+def _met(asked: DataFrame, held: DataFrame, schema: str, k: int, chunk_rows: int) -> DataFrame:
+    """The k nearest of each asked block; and a row without neighbour for each row that asks.
+
+    That row has the features, cell and block again, and as distance that of
+    the k-th neighbour, null where the block has fewer.
+    """
+    asked = cut(asked)
+    sizes = asked.groupBy("cell", "block").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    sizes = cut(sizes)
+    if sizes.count() <= FEW_BLOCKS:
+        sizes = F.broadcast(sizes)
+    left = asked.join(sizes, ["cell", "block"]).withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int")).drop("chunks")
+    right = held.join(sizes, ["cell", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     search = _searcher(k)
 
-    def meet(part, held):
+    def meet(part, block):
         import numpy as np
         import pandas as pd
 
-        held = held.sort_values("key")
-        if not len(held) or not len(part):
-            return pd.DataFrame({"key": [], "neighbour": [], "distance": [], "label": []})
-        points = np.stack(held["features"].to_numpy()).astype(float)
-        return pd.concat(search(part, held["key"].to_numpy(), points, held["label"].to_numpy()))
+        part, block = part.reset_index(drop=True), block.sort_values("key")
+        found = []
+        if len(block) and len(part):
+            points = np.stack(block["features"].to_numpy()).astype(float)
+            found = list(search(part, block["key"].to_numpy(), points, block["label"].to_numpy()))
+        # objects, as whole numbers beside nulls would become floats
+        found = [f.astype({"neighbour": object}).assign(features=None) for f in found]
+        asks = part[["key", "features", "cell", "block"]].assign(neighbour=None)
+        enough = len(block) >= k
+        if enough and len(part):
+            asks = asks.assign(distance=np.concatenate([f["distance"].to_numpy().reshape(-1, k)[:, -1] for f in found]))
+        return pd.concat([asks, *found]).reindex(columns=columns)
 
-    grouped = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
-    return grouped.applyInPandas(meet, schema)
+    fields = schema + ", features array<double>, cell int, block int"
+    columns = [f.split()[0] for f in fields.split(", ")]
+    keys = ["cell", "block", "chunk"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, fields)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from checks import text_cases
 from tallyframe.operators import neighbours, questions, retrieval
@@ -156,3 +157,50 @@ def test_retrieval_counts(spark):
         if score:
             want[1, c] = score
     assert got == want
+
+
+def clustered(spark, n):
+    """Points around few centres, a third of them copies of one; large keys, and ties."""
+    import numpy as np
+
+    random = np.random.default_rng(5)
+    centres = random.normal(size=(12, 4)) * 40
+    points = centres[random.integers(0, 12, n)] + random.normal(size=(n, 4))
+    points[: n // 3] = points[0]
+    rows = [((1 << 60) + i, [float(v) for v in p], i % 3) for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, "i bigint, p array<double>, c int"), points
+
+
+def test_neighbours_in_cells_are_exact(spark):
+    import numpy as np
+
+    n = 600
+    df, points = clustered(spark, n)
+    squared = np.round((points**2).sum(1)[:, None] - 2 * points @ points.T + (points**2).sum(1)[None, :], 9)
+    order = np.argsort(squared, axis=1, kind="stable")[:, :5]
+    want = {(1 << 60) + i: np.mean([j % 3 for j in own]) for i, own in enumerate(order)}
+    for block_rows in (40, 7):
+        got = neighbours.nearest_neighbours(df, df, "i", "p", "c", False, block_rows=block_rows, chunk_rows=50).collect()
+        assert len(got) == n and all(abs(want[r["i"]] - r["prediction"]) < 1e-9 for r in got)
+
+
+def test_neighbours_meet_few_blocks(spark):
+    df, _ = clustered(spark, 1500)
+    train = df.select(F.col("i").alias("key"), F.col("p").alias("features"), F.col("c").cast("double").alias("label"))
+    cells = neighbours.Cells(train, 1500, 50)
+    rows = train.select("key", "features")
+    schema = "key bigint, neighbour bigint, distance double, label double"
+    first = neighbours._met(cells.home(rows), cells.rows, schema, 5, 500)
+    asked = cells.within_bound(first.filter("neighbour IS NULL"), 5)
+    sizes = cells.rows.groupBy("cell", "block").agg(F.count("*").alias("n"))
+    both = cells.home(rows).select("cell", "block").unionByName(asked.select("cell", "block"))
+    compared = both.join(sizes, ["cell", "block"]).agg(F.sum("n")).first()[0]
+    # the copies, which are no farther than the bound, meet each other
+    assert compared < 500 * 500 + 0.2 * (1500 * 1500 - 500 * 500)
+
+
+def test_neighbours_with_few_and_bad_rows(spark):
+    rows = [(1, [0.0, 0.0], 1), (2, [1.0, 0.0], 0), (3, None, 1), (4, [2.0, 0.0], None), (5, [float("nan"), 0.0], 1)]
+    df = spark.createDataFrame(rows, "i bigint, p array<double>, c int")
+    got = {r["i"]: r["prediction"] for r in neighbours.nearest_neighbours(df, df, "i", "p", "c", False, k=2, block_rows=1, chunk_rows=1).collect()}
+    assert got[1] == got[2] == got[4] == 0.5 and got[3] is None and set(got) == {1, 2, 3, 4, 5}
