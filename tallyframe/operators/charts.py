@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.values import clean_text, dtype_of, finite, ref, rounded, share, to_number
+from ..lineage import cut
 from . import ordered
 from .cleaning import missing_like_counts
 from .frequency import more_distinct_than, top_values, value_frequencies
@@ -22,6 +23,11 @@ MEAN_GROUPS = 12
 CATEGORY_BARS = 14
 CROSSTAB_LEVELS = 8
 CROSSTAB_MIN_ROWS = 10
+# Levels of the second category that a grid row brings together.
+GRID_LEVELS = 1_000
+# Levels of which the totals are broadcast; beyond, those with over so small a share of all cells.
+FEW_LEVELS = 10_000
+SHARE_OF_HOT = 10_000
 TREND_PERIODS = 60
 HEATMAP_COLUMNS = 8
 
@@ -217,11 +223,13 @@ def crosstab(df: DataFrame, a: str, b: str, levels: int | None = None) -> DataFr
     )
     if not fits:
         return _empty(df, "category string, series string, count bigint, percent double")
-    # the result has a row for each pair of levels, and so each task the levels of b
-    series = counts.agg(F.collect_set("b").alias("bs"))
-    grid = counts.groupBy("a").agg(F.sum("count").alias("total")).select(
-        "a", "total", F.explode(series.select("bs").scalar()).alias("b")
-    )
+    totals = _margins(counts, "a").withColumnRenamed("level", "a")
+    # every level of a meets the levels of b in blocks, so that no array holds them all
+    blocks = -(-levels_b // GRID_LEVELS)
+    place = F.pmod(F.xxhash64("b"), F.lit(blocks))
+    series = counts.select("b").distinct().groupBy(place.alias("_block")).agg(F.collect_list("b").alias("bs"))
+    grid = totals.withColumn("_block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    grid = grid.join(series, "_block").select("a", "total", F.explode("bs").alias("b"))
     return grid.join(counts, ["a", "b"], "left").select(
         F.col("a").alias("category"),
         F.col("b").alias("series"),
@@ -230,24 +238,59 @@ def crosstab(df: DataFrame, a: str, b: str, levels: int | None = None) -> DataFr
     )
 
 
+def _margins(counts: DataFrame, *sides: str) -> DataFrame:
+    """Rows (side, level, total, cells) of the margins of a contingency table, all sides in one shuffle.
+
+    A level's cells are added up within tasks first, so one with very many cells is no task's burden.
+    """
+    found = counts.groupingSets([[F.col(s)] for s in sides], *sides).agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("cells"))
+    level = F.coalesce(*[F.col(s) for s in sides])
+    if len(sides) == 1:
+        return found.select(level.alias("level"), "total", "cells")
+    side = F.coalesce(*[F.when(F.col(s).isNotNull(), F.lit(s)) for s in sides])
+    return found.select(side.alias("side"), level.alias("level"), "total", "cells")
+
+
+def _with_total(cells: DataFrame, lookup: DataFrame, side: str) -> DataFrame:
+    """Adds a level's total to its cells; ``lookup`` has the level, its total and number of cells.
+
+    Levels of many cells are at most SHARE_OF_HOT and broadcast; so are all where they are few.
+    """
+    total = f"{side}_total"
+    levels, all_cells = lookup.agg(F.count(F.lit(1)), F.sum("cells")).first()
+    if levels <= FEW_LEVELS:
+        return cells.join(F.broadcast(lookup.select(side, total)), side)
+    hot = F.col("cells") > all_cells / SHARE_OF_HOT
+    common = lookup.filter(hot).select(side, F.col(total).alias("_common"))
+    others = lookup.filter(~hot).select(side, total)
+    marked = cells.join(F.broadcast(common), side, "left")
+    ready = marked.filter(F.col("_common").isNotNull()).withColumnRenamed("_common", total)
+    rest = marked.filter(F.col("_common").isNull()).drop("_common").join(others, side)
+    return ready.unionByName(rest)
+
+
 def association(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: chi-square over the row count of the cross-tab.
 
     Uses ``sum(o^2 / (row * column)) - 1``, which equals chi-square / N and
     needs no cell for absent combinations.
     """
-    counts = _level_counts(df, a, b)
-    row = counts.groupBy("a").agg(F.sum("count").alias("row_total"))
-    col = counts.groupBy("b").agg(F.sum("count").alias("col_total"))
-    cells = counts.join(row, "a").join(col, "b")
-    product = F.col("row_total").cast("double") * F.col("col_total")
+    counts = cut(_level_counts(df, a, b))
+    margins = cut(_margins(counts, "a", "b"))
+    cells = counts
+    for side in ("a", "b"):
+        own = margins.filter(F.col("side") == side)
+        lookup = own.select(F.col("level").alias(side), F.col("total").alias(f"{side}_total"), "cells")
+        cells = _with_total(cells, lookup, side)
+    product = F.col("a_total").cast("double") * F.col("b_total")
     ratio = F.pow(F.col("count").cast("double"), F.lit(2)) / product
-    stats = cells.agg(
-        F.sum("count").alias("rows"),
-        F.count_distinct("a").alias("levels_a"),
-        F.count_distinct("b").alias("levels_b"),
-        (F.sum(ratio) - 1).alias("phi2"),
+    sizes = margins.agg(
+        F.coalesce(F.sum(F.when(F.col("side") == "a", F.col("total"))), F.lit(0)).alias("rows"),
+        *[F.count_if(F.col("side") == side).alias(f"levels_{side}") for side in ("a", "b")],
     )
+    # two tables of one row each
+    phi2 = cells.agg((F.sum(ratio) - 1).alias("phi2"))
+    stats = sizes.select("*", phi2.scalar().alias("phi2"))
     both = (F.col("levels_a") > 1) & (F.col("levels_b") > 1)
     strength = F.when(both, F.greatest(F.col("phi2"), F.lit(0.0))).otherwise(0.0)
     return stats.select("rows", "levels_a", "levels_b", rounded(strength).alias("association_strength"))

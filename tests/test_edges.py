@@ -1,5 +1,7 @@
 """Empty, constant, all-null and single-row tables."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -122,3 +124,23 @@ def test_correlations_of_many_columns(spark, monkeypatch, together):
     assert got == few and len(got) == 14 * 13 / 2
     want = frame.astype(float).corr()
     assert got["c00", "c03"] == pytest.approx(want.loc["c00", "c03"], abs=1e-4) and got["c05", "c06"] is None and got["c11", "c12"] is None
+
+
+def test_contingency_of_near_unique_levels(spark, monkeypatch):
+    """Totals by broadcast, and by shuffle with frequent levels apart, give the same; a holds most cells in one level."""
+    pairs = [("hot" if i % 3 else f"a{i % 7}", f"b{i}" if i % 5 else "common") for i in range(900)] + [(None, "b1"), ("a1", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    both = [p for p in pairs if None not in p]
+    cells, rows, cols = (Counter(x) for x in (both, [p[0] for p in both], [p[1] for p in both]))
+    phi2 = sum(n * n / (rows[a] * cols[b]) for (a, b), n in cells.items()) - 1
+    for few, share in ((10_000, 10_000), (0, 3)):
+        monkeypatch.setattr(charts, "FEW_LEVELS", few)
+        monkeypatch.setattr(charts, "SHARE_OF_HOT", share)
+        got = charts.association(df, "a", "b").first()
+        assert (got["rows"], got["levels_a"], got["levels_b"]) == (len(both), len(rows), len(cols))
+        assert abs(got["association_strength"] - phi2) < 1e-3
+    monkeypatch.setattr(charts, "GRID_LEVELS", 50)
+    grid = {(r["category"], r["series"]): r["count"] for r in charts.crosstab(df, "a", "b").collect()}
+    assert grid == {(a, b): cells[a, b] for a in rows for b in cols}
+    empty = charts.association(df.limit(0), "a", "b").first()
+    assert (empty["rows"] or 0, empty["levels_a"], empty["association_strength"]) == (0, 0, 0.0)
