@@ -27,12 +27,14 @@ class Analysis:
         self.frequencies.unpersist()
 
     def corpus(self) -> DataFrame:
-        """Text rows of all results, for retrieval; pairs left out of the charts are no results."""
-        return retrieval.artifact_corpus({k: v for k, v in self.tables.items() if k != "excluded_pairs"})
+        """Text rows of all results, for retrieval; pairs and columns left out of the charts are no results."""
+        return retrieval.artifact_corpus({k: v for k, v in self.tables.items() if k not in ("excluded_pairs", "charts_left_out")})
 
 
-def analyse(df: DataFrame) -> Analysis:
-    """Runs every step over the whole table.
+def analyse(df: DataFrame, limits: chart_select.Limits | None = None) -> Analysis:
+    """Runs every step over the whole table; ``limits`` says how many columns get charts.
+
+    Table ``charts_left_out`` names the columns that a limit kept from a kind of chart.
 
     The value-frequency table is built once and kept for the profile, the
     category and the boolean summaries.  Only tables with one row per column
@@ -88,6 +90,8 @@ def analyse(df: DataFrame) -> Analysis:
     )
     scored = chart_select.pair_usefulness(pairs, cleaned.columns, small.mostly_unique())
     tables["excluded_pairs"] = chart_select.excluded_pairs(scored, cleaned.columns)
-    found = chart_select.chart_candidates(cleaned, roles, small, pairs, safe_freq)
+    limits = limits or chart_select.Limits()
+    found = chart_select.chart_candidates(cleaned, roles, small, pairs, safe_freq, limits)
+    tables["charts_left_out"] = spark.createDataFrame(chart_select.left_out(roles, small, limits), "column string, chart string")
     tables["charts"] = chart_select.chart_specs(found, spark)
     return Analysis(tables, cleaned, engineered, {c.chart_id: c.data for c in found}, freq)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import charts, cleaning, frequency, profile, summaries, tools
+from tallyframe.operators import chart_select, charts, cleaning, frequency, profile, summaries, tools
 from tallyframe.plans.analysis import analyse
 from tallyframe.plans.specs import AGGREGATES, Filter, Group
 
@@ -144,3 +144,19 @@ def test_contingency_of_near_unique_levels(spark, monkeypatch):
     assert grid == {(a, b): cells[a, b] for a in rows for b in cols}
     empty = charts.association(df.limit(0), "a", "b").first()
     assert (empty["rows"] or 0, empty["levels_a"], empty["association_strength"]) == (0, 0, 0.0)
+
+
+def test_charts_of_all_columns_on_request(spark):
+    """Limits keep columns from charts and say so; without limits each column has its charts."""
+    days = pd.date_range("2020-01-01", periods=60, freq="7D")
+    data = {f"v{i}": [(j * (7 + i)) % 23 * 1.5 for j in range(60)] for i in range(7)}
+    data |= {f"c{i}": [f"g{(j + i) % 3}" for j in range(60)] for i in range(3)}
+    data |= {"d0": days, "d1": days[::-1]}
+    df = spark.createDataFrame(pd.DataFrame(data))
+    some, every = analyse(df), analyse(df, chart_select.Limits(*[None] * 7))
+    left = {tuple(r) for r in some.tables["charts_left_out"].collect()}
+    assert {("v5", "distribution"), ("v6", "distribution"), ("c1", "groups"), ("c2", "mix"), ("d1", "trend")} <= left
+    assert every.tables["charts_left_out"].count() == 0
+    assert "v6_distribution" in every.charts and "v6_distribution" not in some.charts
+    assert set(some.charts) <= set(every.charts)
+    some.release(), every.release()
