@@ -176,11 +176,16 @@ def _wide_hits(asked: DataFrame, table: DataFrame, columns: Sequence[str]) -> Da
     own = F.expr("array_distinct(transform(sequence(1, length(wanted) - size + 1), i -> substring(wanted, i, size)))")
     offered = values.select("column", "value", "wanted", F.explode(own).alias("piece"))
     shared = offered.groupBy("piece").agg(F.count("*").alias("n"))
-    rarest = offered.join(shared, "piece").groupBy("column", "value", "wanted").agg(F.min(F.struct("n", "piece")).alias("r"))
+    rarest = offered.join(shared.hint("merge"), "piece").groupBy("column", "value", "wanted").agg(F.min(F.struct("n", "piece")).alias("r"))
     rarest = rarest.select("column", "value", "wanted", F.col("r.piece").alias("piece"))
-    cut_up = [F.expr(f"transform(sequence(1, greatest(1, length(q) - {n - 1})), i -> substring(q, i, {n}))") for n in PIECES]
-    asked = asked.withColumn("piece", F.explode(F.array_distinct(F.concat(*cut_up))))
-    met = asked.join(rarest, "piece").filter(F.col("q").contains(F.col("wanted")))
+    # questions are cut into pieces of those lengths only that values are looked up by
+    sizes = [r["size"] for r in values.select("size").distinct().collect()]
+    cut_up = [F.expr(f"transform(sequence(1, length(q) - {n - 1}), i -> substring(q, i, {n}))") for n in sorted(sizes)]
+    pieces = [F.when(F.length("q") >= n, c).otherwise(F.expr("array()")) for n, c in zip(sorted(sizes), cut_up)]
+    none = F.expr("cast(array() as array<string>)")
+    asked = asked.withColumn("piece", F.explode(F.array_distinct(F.concat(none, *pieces))))
+    # the files tell nothing of the number of pieces: neither side may be taken for small and sent to the driver
+    met = asked.join(rarest.hint("merge"), "piece").filter(F.col("q").contains(F.col("wanted")))
     return met.select("_key", "column", "value", "wanted", F.expr("locate(wanted, q)").alias("at"))
 
 

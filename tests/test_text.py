@@ -145,6 +145,17 @@ def test_values_with_a_common_beginning_do_not_meet(spark):
     assert {(r["i"], r["value"]) for r in got.collect()} == {(i, f"Customer#{i:09d}") for i in range(3000)}
 
 
+def test_pieces_of_questions_are_not_broadcast(spark):
+    df = spark.range(3000).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS name")
+    asked = spark.range(3000).selectExpr("id AS i", "concat('what of customer ', lpad(id, 9, '0')) AS q")
+    got = questions.value_mentions(asked, "i", "q", df, ["name"])
+    # each question has hundreds of pieces, which the size of its table does not tell
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+    # one length of values: the same pieces of questions that are shorter than it meet nothing
+    short = spark.createDataFrame([(1, "customer"), (2, "")], "i int, q string")
+    assert questions.value_mentions(short, "i", "q", df, ["name"]).count() == 0
+
+
 def test_retrieval_counts(spark):
     texts = ["the theme of the thesis", "a them\tthe", "", None, "other", "THE the", "xyz"]
     chunks = spark.createDataFrame(list(enumerate(texts)), "c int, text string")
