@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,12 +71,14 @@ def bucket_edges(
 
 
 def _round_edge(edge: float, digits: int) -> float:
-    """Rounds to ``digits`` decimals, or significant digits below one."""
+    """Rounds half up to ``digits`` decimals, or significant digits below one."""
     if edge == 0 or not math.isfinite(edge):
         return edge
     if abs(edge) < 1:
         digits += -math.floor(math.log10(abs(edge))) - 1
-    return round(edge, digits)
+    # the decimals that are shown decide: as binary fractions, halves are a little more or less
+    step = Decimal(1).scaleb(-digits)
+    return float(Decimal(repr(float(edge))).quantize(step, ROUND_HALF_UP, Context(prec=400)))
 
 
 def bucket_labels(edges: Sequence[float]) -> list[str]:
