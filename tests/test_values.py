@@ -66,6 +66,29 @@ def test_names():
     assert bucket_labels([1.0, 2.5, 4.0]) == ["(0.999, 2.5]", "(2.5, 4.0]"]
 
 
+def test_labels_round_halves_up():
+    # 125150.1375 is a little less as a binary fraction
+    assert bucket_labels([1.0, 125150.1375, 2e5]) == ["(0.999, 125150.138]", "(125150.138, 200000.0]"]
+    assert bucket_labels([0.00010005, 1.0, 1e300])[1] == "(1.0, 1e+300]"
+
+
+def test_small_and_large_numbers_as_text(spark):
+    from pyspark.sql import functions as F
+
+    from tallyframe.functions.values import clean_text, dtype_of
+    from tallyframe.operators.profile import column_profile
+
+    want = {-0.0005: "-0.0005", 1e-4: "0.0001", 1e-5: "1e-05", 2.5e-5: "2.5e-05", 1e7: "10000000.0", 123456789.25: "123456789.25", 0.001: "0.001",
+            1e15: "1000000000000000.0", 1e16: "1e+16", 1.5e120: "1.5e+120", 0.0: "0.0", 41.5: "41.5"}
+    df = spark.createDataFrame([(x,) for x in want], "x double")
+    got = df.select("x", clean_text(F.col("x"), dtype_of(df, "x")).alias("t")).collect()
+    assert {r["x"]: r["t"] for r in got} == want
+    # as '-5.0E-4' the value would come after the others
+    few = spark.createDataFrame([(x,) for x in (-4.9, -0.0005, -5.5, -4.2, -4.1, -4.3)], "x double")
+    assert column_profile(few).first()["sample_values"][0] == "-0.0005"
+
+
+
 @pytest.mark.parametrize(
     "target, feature, leaks",
     [
