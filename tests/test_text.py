@@ -210,6 +210,28 @@ def test_neighbours_meet_few_blocks(spark):
     assert compared < 500 * 500 + 0.2 * (1500 * 1500 - 500 * 500)
 
 
+def test_few_rows_are_searched_without_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 4, (400, 3)).astype(float)
+    points[7] = np.nan
+    df = spark.createDataFrame([(i, p.tolist(), i % 7) for i, p in enumerate(points)], "i int, p array<double>, c int").repartition(3)
+    rows = df.filter("i % 20 = 0")
+    want = {}
+    for i in range(0, 400, 20):
+        distance = ((points - points[i]) ** 2).sum(axis=1)
+        want[i] = np.mean([j % 7 for j in np.lexsort((np.arange(400), distance))[:5]])
+
+    def found(rows):
+        got = neighbours.nearest_neighbours(df, rows, "i", "p", "c", False, block_rows=60, chunk_rows=10).collect()
+        return {r["i"]: r["prediction"] for r in got}
+
+    assert found(rows) == pytest.approx(want)
+    # a row was sent to each block of each cell that it may need
+    monkeypatch.setattr(neighbours, "Cells", None)
+    assert found(rows) == pytest.approx(want)
+    assert found(rows.limit(0)) == {}
+
+
 def test_neighbours_with_few_and_bad_rows(spark):
     rows = [(1, [0.0, 0.0], 1), (2, [1.0, 0.0], 0), (3, None, 1), (4, [2.0, 0.0], None), (5, [float("nan"), 0.0], 1)]
     df = spark.createDataFrame(rows, "i bigint, p array<double>, c int")
