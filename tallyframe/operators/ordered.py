@@ -2,8 +2,8 @@
 
 ``F.percentile`` keeps every distinct value of a group in one task, and a
 running total over an unpartitioned window sorts a column in one task.  Both
-are fine for small groups only.  Past a checked number of rows the work here
-goes through *slices*: value ranges of about equal row count, between sampled
+are fine for small groups only.  Past a checked number of rows, quantiles of few groups
+are looked up between the bounds that a sketch gives; other work here goes through *slices*: value ranges of about equal row count, between sampled
 splitters that are refined until each slice fits.  Slices are counted with a partial aggregate, ordered by a
 window over the slice table, and only within one slice are values sorted.
 A value that repeats is collapsed to one row with a count before any sort, so
@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 from ..lineage import cut
 
@@ -32,6 +33,8 @@ BROADCAST_ROWS = 1_000_000
 SPLITTERS = 1000
 RANK_ACCURACY = 10_000
 RADIX = 2048
+# Groups of which a task may hold a sketch each.
+SKETCHED_GROUPS = 64
 
 
 def _place(value: Column, splitters: Column) -> Column:
@@ -175,6 +178,55 @@ def group_sizes(df: DataFrame, value: str, keys: Sequence[str] = ()) -> tuple[in
     return groups, largest or 0
 
 
+def _near_quantiles(
+    df: DataFrame, value: str, probabilities: Sequence[float], keys: Sequence[str], slice_rows: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Sizes (keys, _n) of the groups, and the values (keys, rank, value) that their quantiles lie between.
+
+    A sketch gives each quantile a bracket that its error cannot leave.  The
+    second scan keeps the values inside brackets, collapsed in their task, and
+    counts the rows between them.  None instead of values if a bracket does not hold its rank.
+    """
+    reach = 2 / RANK_ACCURACY
+    points = [max(p - reach, 0.0) for p in probabilities] + [min(p + reach, 1.0) for p in probabilities]
+    sketch = df.groupBy(*keys).agg(
+        F.count(value).alias("_n"), F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(RANK_ACCURACY)).alias("_p")
+    )
+    m = len(probabilities)
+    low = [F.lit(float("-inf")) if points[i] <= 0 else F.get("_p", F.lit(i)) for i in range(m)]
+    high = [F.lit(float("inf")) if points[m + i] >= 1 else F.get("_p", F.lit(m + i)) for i in range(m)]
+    sketch = cut(sketch.select(*keys, "_n", F.array(*low).alias("_low"), F.array(*high).alias("_high")))
+    sizes = sketch.select(*keys, "_n")
+    v = F.col(value)
+    rows = df.select(*keys, value).filter(v.isNotNull())
+    bounds = F.broadcast(sketch.filter("_n > 0").select(*keys, "_low", "_high"))
+    rows = rows.join(bounds, keys) if keys else rows.crossJoin(bounds)
+    inside, passed = F.lit(False), F.lit(0)
+    for i in range(m):
+        beyond = v >= F.get("_low", F.lit(i))
+        inside = inside | (beyond & (v <= F.get("_high", F.lit(i))))
+        passed = passed + beyond.cast("int")
+    # rows outside all brackets differ by the bracket that they come before; their least value gives the place
+    places = [F.when(~inside, passed).alias("_outside"), F.when(inside, v).alias("_inside")]
+    freq = rows.groupBy(*keys, *places).agg(F.min(value).alias(value), F.count(F.lit(1)).alias("_c"))
+    freq = cut(freq)
+    placed = running_totals(freq, value, ["_c"], keys, slice_rows=slice_rows, small=freq.count() <= slice_rows)
+    wanted = F.broadcast(_wanted_ranks(sizes, probabilities))
+    hit = (F.col("rank") >= F.col("_c_before")) & (F.col("rank") < F.col("_c_before") + F.col("_c"))
+    found = (placed.join(wanted, keys) if keys else placed.crossJoin(wanted)).filter(hit)
+    found = cut(found.select(*keys, "rank", value, "_outside"))
+    if found.filter("_outside IS NOT NULL").limit(1).count():
+        return sizes, None
+    return sizes, found.drop("_outside")
+
+
+def _wanted_ranks(sizes: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """The ranks on both sides of each quantile; ``sizes`` has the rows of each group as ``_n``."""
+    at = [F.lit(float(p)) * (F.col("_n") - 1) for p in probabilities]
+    ranks = F.array_distinct(F.array(*[f(p).cast("bigint") for p in at for f in (F.floor, F.ceil)]))
+    return sizes.filter("_n > 0").withColumn("rank", F.explode(ranks)).drop("_n")
+
+
 def quantiles(
     df: DataFrame,
     value: str,
@@ -187,7 +239,8 @@ def quantiles(
     """Exact quantiles with linear interpolation: rows (keys, q0, q1, ...).
 
     Uses the built-in percentile when the largest group is proven small, and
-    slices otherwise.  ``known_sizes`` are the number of groups and the rows
+    brackets of a sketch otherwise (slices for many groups, or if a bracket
+    should fail).  ``known_sizes`` are the number of groups and the rows
     of the largest, where the caller has counted them already.
     """
     keys = list(keys)
@@ -197,18 +250,15 @@ def quantiles(
         points = F.array(*[F.lit(float(p)) for p in probabilities])
         both = df.groupBy(*keys).agg(F.percentile(value, points).alias("_q"))
         return both.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    found = None
+    if groups <= SKETCHED_GROUPS and isinstance(df.schema[value].dataType, DoubleType):
+        sizes, found = _near_quantiles(df, value, probabilities, keys, slice_rows)
+    else:
+        sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
     at = [F.lit(float(p)) * (F.col("_n") - 1) for p in probabilities]
-    wanted = sizes.filter("_n > 0").withColumn(
-        "rank",
-        F.explode(
-            F.array_distinct(
-                F.array(*[f(p).cast("bigint") for p in at for f in (F.floor, F.ceil)])
-            )
-        ),
-    )
-    few = groups * 2 * len(names) <= BROADCAST_ROWS
-    found = order_statistics(df, value, wanted, keys, slice_rows, few)
+    if found is None:
+        few = groups * 2 * len(names) <= BROADCAST_ROWS
+        found = order_statistics(df, value, _wanted_ranks(sizes, probabilities), keys, slice_rows, few)
     if keys:
         found = found.join(sizes, keys)
     else:

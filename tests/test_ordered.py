@@ -50,6 +50,24 @@ def test_quantiles_of_the_whole(df, frame, builtin_rows):
     assert np.allclose([row[f"q{i}"] for i in range(len(POINTS))], frame["v"].quantile(POINTS), rtol=1e-12)
 
 
+def test_quantiles_by_brackets_place_no_row_in_slices(df, frame, monkeypatch):
+    # many rows between the brackets, and brackets that share values
+    many = df.crossJoin(df.sparkSession.range(20).withColumnRenamed("id", "copy"))
+    shifted = many.withColumn("v", F.col("v") + F.col("copy") / 7)
+    points = [0.0, 0.25, 0.2501, 0.5, 0.99, 1.0]
+    want = shifted.toPandas().groupby("k")["v"].quantile(points).unstack()
+    plain = ordered.with_slices
+    monkeypatch.setattr(ordered, "with_slices", None)
+    for row in ordered.quantiles(shifted, "v", points, ["k"], 0).collect():
+        assert np.allclose([row[f"q{i}"] for i in range(6)], want.loc[row["k"]].to_numpy(), rtol=1e-12)
+    # a bracket that misses its rank is noticed
+    monkeypatch.setattr(ordered, "with_slices", plain)
+    approximate = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, p, a: approximate(F.col(c) + 1e12, p, a))
+    got = {r["k"]: r["q0"] for r in ordered.quantiles(shifted, "v", [0.5], ["k"], 0, slice_rows=10**6).collect()}
+    assert got == pytest.approx(want[0.5].to_dict())
+
+
 def test_many_ranks_take_the_other_join(df, frame, monkeypatch):
     monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
     rows = ordered.quantiles(df, "v", [0.5], ["k"], 0, slice_rows=50).collect()
