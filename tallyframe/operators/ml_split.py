@@ -51,10 +51,13 @@ def stratified_split(
         ).join(F.broadcast(wanted), "_s")
         limits = placed.filter(F.col("_r") == F.col("_k")).select("_s", F.col("_h").alias("_limit"))
     else:
-        ranks = wanted.select("_s", (F.col("_k") - 1).alias("rank"))
-        limits = cut(
-            ordered.order_statistics(rows.select("_s", "_h"), "_h", ranks, ["_s"], few_ranks=True)
-        ).select("_s", F.col("_h").alias("_limit"))
+        ranks = cut(wanted.select("_s", (F.col("_k") - 1).alias("rank")))
+        narrow, found = rows.select("_s", "_h"), None
+        if groups <= ordered.SKETCHED_GROUPS:
+            found = ordered.near_quantiles(narrow, "_h", [test_share], ["_s"], ranks=ranks)[1]
+        if found is None:
+            found = cut(ordered.order_statistics(narrow, "_h", ranks, ["_s"], few_ranks=True))
+        limits = found.select("_s", F.col("_h").alias("_limit"))
     return (
         rows.join(F.broadcast(limits), "_s", "left")
         .withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_limit"), F.lit(False)))

@@ -178,10 +178,13 @@ def group_sizes(df: DataFrame, value: str, keys: Sequence[str] = ()) -> tuple[in
     return groups, largest or 0
 
 
-def _near_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], keys: Sequence[str], slice_rows: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """Sizes (keys, _n) of the groups, and the values (keys, rank, value) that their quantiles lie between.
+def near_quantiles(
+    df: DataFrame, value: str, probabilities: Sequence[float], keys: Sequence[str],
+    slice_rows: int = SLICE_ROWS, ranks: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Sizes (keys, _n) of few groups, and the values (keys, rank, value) that their quantiles lie between.
+
+    ``ranks`` (keys, rank) may say which ranks near the quantiles are wanted instead.
 
     A sketch gives each quantile a bracket that its error cannot leave.  The
     second scan keeps the values inside brackets, collapsed in their task, and
@@ -211,7 +214,7 @@ def _near_quantiles(
     freq = rows.groupBy(*keys, *places).agg(F.min(value).alias(value), F.count(F.lit(1)).alias("_c"))
     freq = cut(freq)
     placed = running_totals(freq, value, ["_c"], keys, slice_rows=slice_rows, small=freq.count() <= slice_rows)
-    wanted = F.broadcast(_wanted_ranks(sizes, probabilities))
+    wanted = F.broadcast(_wanted_ranks(sizes, probabilities) if ranks is None else ranks)
     hit = (F.col("rank") >= F.col("_c_before")) & (F.col("rank") < F.col("_c_before") + F.col("_c"))
     found = (placed.join(wanted, keys) if keys else placed.crossJoin(wanted)).filter(hit)
     found = cut(found.select(*keys, "rank", value, "_outside"))
@@ -252,7 +255,7 @@ def quantiles(
         return both.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     found = None
     if groups <= SKETCHED_GROUPS and isinstance(df.schema[value].dataType, DoubleType):
-        sizes, found = _near_quantiles(df, value, probabilities, keys, slice_rows)
+        sizes, found = near_quantiles(df, value, probabilities, keys, slice_rows)
     else:
         sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
     at = [F.lit(float(p)) * (F.col("_n") - 1) for p in probabilities]

@@ -68,6 +68,16 @@ def test_quantiles_by_brackets_place_no_row_in_slices(df, frame, monkeypatch):
     assert got == pytest.approx(want[0.5].to_dict())
 
 
+def test_split_of_many_rows_places_no_row_in_slices(spark, monkeypatch):
+    df = spark.range(30_000).selectExpr("id", "CASE WHEN id % 10 < 3 THEN 'a' ELSE 'b' END AS s")
+    parts = [ml_split.stratified_split(df, ["id"], s, builtin_rows=10**6).filter("is_test") for s in (None, "s")]
+    want = [{r["id"] for r in part.collect()} for part in parts]
+    monkeypatch.setattr(ordered, "with_slices", None)
+    for s, ids in zip((None, "s"), want):
+        got = ml_split.stratified_split(df, ["id"], s, builtin_rows=0).filter("is_test")
+        assert {r["id"] for r in got.collect()} == ids and len(ids) == 6600
+
+
 def test_many_ranks_take_the_other_join(df, frame, monkeypatch):
     monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
     rows = ordered.quantiles(df, "v", [0.5], ["k"], 0, slice_rows=50).collect()
