@@ -1,16 +1,16 @@
 """Code length of texts under a context-tree weighting model learned from the corpus.
 
-A text (A-Z lower-cased) is a run of units: white-space runs and words take
-turns, and each ends with a byte that says what follows.  A byte is eight
-binary decisions; each has a Krichevsky-Trofimov estimate in the context of
-the last 0, 1, ..., DEPTH bytes of its unit, and the estimates of all depths
-are mixed with the weights that context-tree weighting gives them.
+A text (A-Z lower-cased) is one run of bytes, closed by a byte that no text
+has.  A byte is eight binary decisions; each has a Krichevsky-Trofimov
+estimate in the context of the last 0, 1, ..., DEPTH bytes of the text, across
+words and lines, and the estimates of all depths are mixed with the weights
+that context-tree weighting gives them.
 
 The weights depend on counts alone, so the tree is made bottom-up by grouping,
-level by level, and the predictions top-down by joins.  Units that occur only
-in documents held out take part with counts of 0, as contexts never seen do.
-A text's score is the sum over its units: frequent ones are looked up where
-the text is read, the others are joined.
+level by level, and the predictions top-down by joins.  Contexts that occur
+only in documents held out take part with counts of 0, as contexts never seen
+do.  A text's score is the sum over its bytes: frequent predictions are looked
+up where the text is read, the others are joined, and so are counts of words.
 """
 
 from __future__ import annotations
@@ -23,18 +23,19 @@ from pyspark.sql import functions as F
 
 from .shared import BATCH, as_list, written
 
-DEPTH = 4
+DEPTH = 5
 # Fixed value: what is added to each token's count in the base score.
 ADDED = 0.1
-# Units, and predictions (12 bytes each), of which a table may be sent to every task.
+# Words, and predictions (16 bytes each), of which a table may be sent to every task.
 HEAD_UNITS = 200_000
 FEW_PREDICTIONS = 4_000_000
-# Different units that a task counts before it hands them on.
+# Different words, and contexts with their bytes, that a task counts before it hands them on.
 HELD_UNITS = 300_000
-# White-space units start with a byte that no word has.
-WORD, GAP = b"\x20", b"\x0A"
-FOLLOWED, LAST = b"\x21", b"\x00"
-GAPS = rb"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
+HELD_KEYS = 600_000
+# Bytes of text of which a task holds the contexts at once.
+STRETCH = 1 << 20
+# What stands before a text, and after it: bytes that UTF-8 does not have.
+GAP, LAST = b"\xfe", b"\xff"
 
 
 def held_out(key: Column) -> Column:
@@ -43,30 +44,24 @@ def held_out(key: Column) -> Column:
 
 
 def units_of(text: bytes | None) -> tuple[list[bytes], Counter]:
-    """Words of a text, and how often it has each white-space unit."""
-    import re
-
-    text = (text or b"").lower()
-    words = text.split()
-    gaps = Counter()
-    if not words:
-        gaps[GAP + text + LAST] = 1
-        return words, gaps
-    first = len(text) - len(text.lstrip())
-    last = len(text.rstrip())
-    gaps[GAP + text[:first] + FOLLOWED] += 1
-    gaps[GAP + text[last:] + LAST] += 1
-    odd = Counter(re.findall(GAPS, text[first:last]))
-    for gap, n in odd.items():
-        gaps[GAP + gap + FOLLOWED] += n
-    single = len(words) - 1 - sum(odd.values())
-    if single:
-        gaps[GAP + b" " + FOLLOWED] += single
-    return words, gaps
-
-
-def _unit_counts(docs: DataFrame) -> DataFrame:
-    """Rows (unit, c, n): occurrences in training documents, and in all."""
+    """The runs of bytes that the model reads: the whole text is one, and no word is a run of its own."""
+    return [], Counter([GAP + (text or b"").lower() + LAST])
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """The lower-cased words of a text."""
+    return (text or b"").lower().split()
+
+
+def _texts(batches, *columns: str):
+    """The values of columns, of some rows at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH):
+            yield [as_list(batch.column(c).slice(start, BATCH)) for c in columns]
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """Rows (unit, c, n): occurrences of words in training documents, and in all."""
 
     def count(batches):
         import pyarrow as pa
@@ -82,67 +77,84 @@ def _unit_counts(docs: DataFrame) -> DataFrame:
                     )
                 counter.clear()
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                texts, out = (as_list(batch.column(c).slice(start, BATCH)) for c in ("text", "held_out"))
-                for text, o in zip(texts, out):
-                    words, gaps = units_of(text)
-                    held[o].update(words)
-                    held[o].update(gaps)
-                if len(held[True]) + len(held[False]) > HELD_UNITS:
-                    yield from flush()
+        for texts, out in _texts(batches, "text", "held_out"):
+            for text, o in zip(texts, out):
+                held[o].update(words_of(text))
+            if len(held[True]) + len(held[False]) > HELD_UNITS:
+                yield from flush()
         yield from flush()
 
     counts = docs.select("text", "held_out").mapInArrow(count, "unit binary, c bigint, n bigint")
     return counts.groupBy("unit").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def positions(units: list[bytes]):
-    """For each byte to predict: context and byte as one number, and the place of its unit."""
+def positions(runs: list[bytes]):
+    """For each byte to predict: context and byte as one number, and the place of its run."""
     import numpy as np
 
-    # words have no marks of their own; the first byte stands for all before it
-    marked = [u if u[:1] == GAP else WORD + u + WORD for u in units]
-    buffer = np.frombuffer(b"".join(u[:1] * (DEPTH - 1) + u for u in marked), dtype=np.uint8).astype(np.int64)
-    sizes = np.fromiter((len(u) + DEPTH - 1 for u in marked), dtype=np.int64, count=len(marked))
-    owner = np.repeat(np.arange(len(marked)), sizes)
-    starts = np.cumsum(sizes) - sizes
-    at = np.flatnonzero(np.arange(len(buffer)) - starts[owner] >= DEPTH)
-    key = np.zeros(len(at), dtype=np.int64)
-    for back in range(DEPTH, -1, -1):
-        key = (key << 8) | buffer[at - back]
-    return key, owner[at]
-
-
-def _pieces(units: list, size: int = 1 << 20):
-    """Places that cut a list of units into stretches of about ``size`` bytes."""
+    # the first byte stands for all before it
+    buffer = np.frombuffer(b"".join(r[:1] * (DEPTH - 1) + r for r in runs), dtype=np.uint8)
+    sizes = np.fromiter((len(r) + DEPTH - 1 for r in runs), dtype=np.int64, count=len(runs))
+    n = max(0, len(buffer) - DEPTH)
+    key = np.zeros(n, dtype=np.int64)
+    for i in range(DEPTH + 1):
+        key <<= 8
+        key |= buffer[i : i + n]
+    # contexts that begin in one run do not reach into the next
+    owner = np.repeat(np.arange(len(runs)), sizes - DEPTH)
+    at = np.arange(len(owner)) + owner * DEPTH
+    return key[at], owner
+
+
+def _stretches(texts: list, size: int):
+    """Places that cut a list of texts into stretches of about ``size`` bytes."""
     start, held = 0, 0
-    for i, u in enumerate(units):
-        held += len(u)
+    for i, text in enumerate(texts):
+        held += len(text or b"")
         if held >= size:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(units):
-        yield start, len(units)
+    if start < len(texts):
+        yield start, len(texts)
+
 
+def _runs(texts: list) -> list[bytes]:
+    return [run for text in texts for run in units_of(text)[1]]
 
-def _leaves(units: DataFrame) -> DataFrame:
-    """Rows (key, c): how often each byte follows each context of full depth in training units."""
+
+def _leaves(docs: DataFrame) -> DataFrame:
+    """Rows (key, c, n): how often each byte follows each context of full depth in training texts, and in all."""
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            unit, c = batch.column("unit").to_pylist(), batch.column("c").to_numpy()
-            for start, end in _pieces(unit):
-                key, owner = positions(unit[start:end])
-                found, place = np.unique(key, return_inverse=True)
-                # sums stay exact: counts are far below 2^53
-                total = np.bincount(place, weights=c[start:end][owner], minlength=len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], ["key", "c"])
-
-    return units.select("unit", "c").mapInArrow(count, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+        def folded(parts):
+            key, c, n = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key)
+            key = key[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            return key[starts], np.add.reduceat(c[order], starts), np.add.reduceat(n[order], starts)
+
+        held, size = [], 0
+        for texts, out in _texts(batches, "text", "held_out"):
+            for training in (True, False):
+                chosen = [t for t, o in zip(texts, out) if o != training]
+                for start, end in _stretches(chosen, STRETCH):
+                    found, n = np.unique(positions(_runs(chosen[start:end]))[0], return_counts=True)
+                    held.append((found, n * training, n))
+                    size += len(found)
+                    if size > 2 * HELD_KEYS:
+                        held = [folded(held)]
+                        size = len(held[0][0])
+                        if size > HELD_KEYS:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["key", "c", "n"])
+                            held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in folded(held)], ["key", "c", "n"])
+
+    counts = docs.select("text", "held_out").mapInArrow(count, "key bigint, c bigint, n bigint")
+    return counts.groupBy("key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def log_gamma(x: str) -> str:
@@ -160,9 +172,10 @@ BITS = "transform(sequence(7, 0, -1), i -> struct(cast(shiftright(256 + (key & 2
 
 
 def _predictions(leaves: DataFrame) -> DataFrame:
-    """Rows (key, score): log10 probability of each byte in its context."""
-    bits = leaves.select("key", F.shiftright("key", 8).alias("context"), "c", F.explode(F.expr(BITS)).alias("d"))
-    bits = bits.select("key", "context", "c", "d.node", "d.bit")
+    """Rows (key, score, n): log10 probability of each byte in its context, and how often both occur."""
+    # dealt by context before each becomes eight rows
+    leaves = leaves.withColumn("context", F.shiftright("key", 8))
+    bits = leaves.repartition("context").select("context", "c", F.explode(F.expr(BITS)).alias("d")).select("context", "c", "d.node", "d.bit")
     level = bits.groupBy("context", "node").agg(
         F.sum(F.expr("if(bit = 0, c, 0)")).alias("a"), F.sum(F.expr("if(bit = 1, c, 0)")).alias("b")
     )
@@ -186,70 +199,24 @@ def _predictions(leaves: DataFrame) -> DataFrame:
         known = level.join(above, ["parent", "node"]).select(
             "context", "node", F.expr(f"one + rest * {weight} * {ones}").alias("one"), F.expr(f"rest * (1 - {weight})").alias("rest")
         )
-    chosen = bits.select("key", "context", "node", "bit").join(known.select("context", "node", "one"), ["context", "node"])
-    return chosen.groupBy("key").agg(F.sum(F.expr("log10(if(bit = 1, one, 1 - one))")).alias("score"))
+    # a context has at most 256 bytes, and 255 decisions
+    known = known.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("node", "one"))).alias("ones"))
+    followed = leaves.groupBy("context").agg(F.collect_list(F.struct("key", "n")).alias("bytes"))
+    chosen = followed.join(known, "context").select("ones", F.inline("bytes"))
+    return chosen.select("key", F.expr(f"aggregate({BITS}, 0D, (sum, d) -> sum + log10(if(d.bit = 1, ones[d.node], 1 - ones[d.node])))").alias("score"), "n")
 
 
-def _unit_scores(units: DataFrame, predictions: DataFrame) -> DataFrame:
-    """``units`` with score, the log10 probability of each."""
-    import numpy as np
-
-    if predictions.count() > FEW_PREDICTIONS:
-        return _joined_scores(units, predictions)
-    found = predictions.toArrow()
-    key, score = found.column("key").to_numpy(), found.column("score").to_numpy()
-    order = np.argsort(key)
-    shared = units.sparkSession.sparkContext.broadcast((key[order], score[order]))
-
-    def score_units(batches):
-        import pyarrow as pa
-
-        keys, scores = shared.value
-        for batch in batches:
-            unit, out = batch.column("unit").to_pylist(), []
-            for start, end in _pieces(unit):
-                key, owner = positions(unit[start:end])
-                out.append(np.bincount(owner, weights=scores[np.searchsorted(keys, key)], minlength=end - start))
-            if out:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, "score"])
-
-    return units.mapInArrow(score_units, "unit binary, c bigint, n bigint, score double")
-
-
-def _joined_scores(units: DataFrame, predictions: DataFrame) -> DataFrame:
-    """The same by a join of all positions, for predictions too many to send."""
-
-    def explode(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            unit = batch.column("unit").to_pylist()
-            for start, end in _pieces(unit):
-                key, owner = positions(unit[start:end])
-                found, n = np.unique(np.stack([owner, key]), axis=1, return_counts=True)
-                names = [unit[start + i] for i in found[0]]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(found[1]), pa.array(n)], ["unit", "key", "times"])
-
-    rows = units.select("unit").mapInArrow(explode, "unit binary, key bigint, times bigint").join(predictions, "key")
-    scores = rows.groupBy("unit").agg(F.sum(F.col("times") * F.col("score")).alias("score"))
-    return units.join(scores, "unit")
-
-
-def _head(units: DataFrame) -> dict:
-    """The most frequent units, at most HEAD_UNITS of them: unit to (c, score)."""
+def _head(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of most occurrences n, at most ``most`` of them."""
     place = F.floor(F.log2("n") * 8).cast("int")
-    sizes = units.groupBy(place.alias("place")).agg(F.count("*").alias("units")).collect()  # some hundreds at most
+    sizes = counts.groupBy(place.alias("place")).agg(F.count("*").alias("rows")).collect()  # some hundreds at most
     held, least = 0, None
     for row in sorted(sizes, reverse=True):
-        held += row["units"]
-        if held > HEAD_UNITS:
+        held += row["rows"]
+        if held > most:
             break
         least = row["place"]
-    if least is None:
-        return {}
-    found = units.filter(place >= least).select("unit", "c", "score").toArrow()
-    return dict(zip(found.column("unit").to_pylist(), zip(found.column("c").to_pylist(), found.column("score").to_pylist())))
+    return counts.filter(F.lit(False) if least is None else place >= least)
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,53 +228,71 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     under the context-tree model; both learn from documents not held out.
     Null counts as an empty text; repeated rows count, and are scored, each.
     """
+    import numpy as np
+
     rows = docs.select(
         F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), held_out(F.col(key)).alias("held_out")
     )
-    units = written(_unit_counts(rows), "unit-counts")
-    is_word = F.substring("unit", 1, 1) != F.lit(GAP)
-    totals = units.filter(is_word).agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
+    units = written(_word_counts(rows), "word-counts")
+    totals = units.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     ends = rows.filter(~F.col("held_out")).count()
     trained, different = (totals[0] or 0) + ends, (totals[1] or 0) + (ends > 0)
     below = trained + ADDED * (different + 1)
-    predictions = written(_predictions(written(_leaves(units), "leaves")), "predictions")
-    units = written(_unit_scores(units, predictions), "unit-scores")
-    shared = docs.sparkSession.sparkContext.broadcast(_head(units))
+    predictions = written(_predictions(written(_leaves(rows), "leaves")), "predictions")
+    found = _head(predictions, FEW_PREDICTIONS).select("key", "score").toArrow()
+    keys, logs = found.column("key").to_numpy(), found.column("score").to_numpy()
+    order = np.argsort(keys)
+    words = _head(units, HEAD_UNITS).select("unit", "c").toArrow()
+    known = dict(zip(words.column("unit").to_pylist(), words.column("c").to_pylist()))
+    shared = docs.sparkSession.sparkContext.broadcast((known, keys[order], logs[order]))
     end_score = math.log10((ends + ADDED) / below)
 
     def score_texts(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        head = {u: (c, s, math.log10((c + ADDED) / below)) for u, (c, s) in shared.value.items()}
+        known, keys, logs = shared.value
+        head = {u: (c, math.log10((c + ADDED) / below)) for u, c in known.items()}
         row = TaskContext.get().partitionId() << 33
         schema = pa.schema(
             [("row", pa.int64()), ("key", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
              ("base", pa.float64()), ("score", pa.float64()), ("unit", pa.binary()), ("times", pa.int64())]
         )
-        for batch in batches:
-            keys = batch.column("key")
-            for start in range(0, batch.num_rows, 256):
+
+        def scored(texts):
+            """Scores of the frequent predictions by text, and the others as (text, key, times)."""
+            key, owner = positions(_runs(texts))
+            order = np.argsort(key)
+            key, owner = key[order], owner[order]
+            place = np.searchsorted(keys, key)
+            there = np.zeros(len(key), dtype=bool)
+            if len(keys):
+                place = np.minimum(place, len(keys) - 1)
+                there = keys[place] == key
+            total = np.bincount(owner[there], weights=logs[place[there]], minlength=len(texts))
+            rare = Counter(zip(owner[~there].tolist(), key[~there].tolist()))
+            return total.tolist(), rare
+
+        for names, held, texts in _texts(batches, "key", "held_out", "text"):
+            for start, end in _stretches(texts, STRETCH // 2):
+                total, rare = scored(texts[start:end])
                 out = []
-                texts, held = (as_list(batch.column(c).slice(start, 256)) for c in ("text", "held_out"))
-                for name, text, o in zip(keys.slice(start, 256).to_pylist(), texts, held):
-                    words, gaps = units_of(text)
-                    known, base, score, rare = int(ends > 0), end_score, 0.0, []
-                    counts = Counter(words)
-                    for unit, n in (*counts.items(), *gaps.items()):
+                for i in range(start, end):
+                    known, base, counts = int(ends > 0), end_score, Counter(words_of(texts[i]))
+                    for unit, n in counts.items():
                         found = head.get(unit)
                         if found is None:
-                            rare.append((row, None, None, None, 0, 0.0, 0.0, unit, n))
-                            continue
-                        score += n * found[1]
-                        if unit[:1] != GAP:
+                            out.append((row + i, None, None, None, 0, 0.0, 0.0, unit, n))
+                        else:
                             known += n * (found[0] > 0)
-                            base += n * found[2]
-                    # a key that no unit has keeps the rows of texts spread over the join
-                    out.append((row, name, o, len(words) + 1, known, base, score, GAP + LAST + row.to_bytes(8), 1))
-                    out += rare
-                    row += 1
+                            base += n * found[1]
+                    # a key that nothing has keeps the rows of texts spread over the join
+                    no_unit = LAST + (row + i).to_bytes(8)
+                    out.append((row + i, names[i], held[i], counts.total() + 1, known, base, total[i - start], no_unit, 1))
+                for (owner, key), n in rare.items():
+                    out.append((row + start + owner, None, None, None, 0, 0.0, 0.0, GAP + key.to_bytes(8), n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            row += len(texts)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -316,14 +301,16 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = rows.mapInArrow(
         score_texts, f"row bigint, key {name}, held_out boolean, n_tokens bigint, known bigint, base double, score double, unit binary, times bigint"
     )
-    found = found.join(units.select("unit", "c", F.col("score").alias("unit_score")), "unit", "left")
-    in_unit = F.col("unit_score").isNotNull()
-    word = in_unit & (F.substring("unit", 1, 1) != F.lit(GAP))
+    # words start with no byte that UTF-8 does not have, contexts with GAP
+    context = F.concat(F.lit(GAP), F.unhex(F.lpad(F.hex("key"), 16, "0")))
+    looked_up = units.select("unit", "c", F.lit(None).cast("double").alias("log"))
+    looked_up = looked_up.unionByName(predictions.select(context.alias("unit"), F.lit(None).cast("long").alias("c"), F.col("score").alias("log")))
+    found = found.join(looked_up, "unit", "left")
     found = found.select(
         "row", "key", "held_out", "n_tokens",
-        (F.col("known") + F.when(word & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("known"),
-        (F.col("base") + F.when(word, F.col("times") * F.log10((F.col("c") + ADDED) / below)).otherwise(0.0)).alias("base"),
-        (F.col("score") + F.when(in_unit, F.col("times") * F.col("unit_score")).otherwise(0.0)).alias("score"),
+        (F.col("known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
+        (F.col("base") + F.coalesce(F.col("times") * F.log10((F.col("c") + ADDED) / below), F.lit(0.0))).alias("base"),
+        (F.col("score") + F.coalesce(F.col("times") * F.col("log"), F.lit(0.0))).alias("score"),
     )
     found = found.groupBy("row").agg(
         F.max("key").alias(key), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),

@@ -109,6 +109,14 @@ def test_context_model_is_a_probability():
         assert sum(gaps.values()) == len(words) + 1 or (not words and gaps == {context.GAP + text + context.LAST: 1})
 
 
+def test_context_reaches_over_words(spark):
+    """The same words in another order, not learned from, have a lower score: what follows a word is predicted from it."""
+    unseen = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, "red fox sat.\nold dog ran.") for i in (*range(200), unseen[0])] + [(unseen[1], "red dog sat.\nold fox ran.")]
+    score = {r["doc_id"]: r["score"] for r in context.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert score[unseen[0]] == pytest.approx(score[0]) and score[0] > score[unseen[1]] + 1
+
+
 def test_context_no_rows(no_rows):
     assert context.scores(no_rows).count() == 0
 
