@@ -209,6 +209,29 @@ def test_lines_within_the_edit_similarity_are_found(spark):
     assert found <= wanted and len(found) >= 0.98 * len(wanted) and 1 in found
 
 
+def test_short_lines_within_the_edit_similarity_are_all_found(spark, monkeypatch):
+    """Short lines against brute force by edit similarity alone: edits in the middle, scattered ones, few words."""
+    rng = random.Random(12)
+    rows = ["abcdefghij klmnopqrst", "abcdefghijxklmnopqrst", "some words of a short line ÀÉ", "sone wordz of a shorx line ÀÈ"]
+    for _ in range(110):
+        line = ["".join(rng.choice("aeiou lnrsté"))[0] for _ in range(rng.randrange(27, 41))]
+        line[0], line[-1] = "x", "y"
+        rows.append("".join(line))
+        for at in rng.sample(range(1, len(line) - 1), rng.randrange(1, len(line) // 5 + 2)):
+            line[at] = rng.choice(["", "k", "w", "bc"])
+        rows.append("".join(line))
+    whole = [lines.normal(r.encode()) for r in rows]
+    assert max(map(len, whole)) <= 48 and min(map(len, whole)) >= lines.LEAST_CHARACTERS
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if lines.similar(whole[a], whole[b])]
+    roots = reach(range(len(rows)), links)
+    wanted = sorted(b for b, a in roots.items() if a != b)
+    assert len(wanted) > 50 and {1, 3} <= set(wanted)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for block in (4096, 7):
+        monkeypatch.setattr(lines, "SHORT_BLOCK", block, raising=False)
+        assert sorted(r["doc_id"] for r in lines.deduplicated_lines(docs).collect() if r["n_dropped"]) == wanted
+
+
 def test_lines_of_other_numbers_stay(spark):
     rows = [
         "2021-03-04 10:22:31 0.53 1.22", "1999-12-30 23:59:01 9.87 4.56", "2021-03-04 10:22:31  0.53 1.22",
