@@ -265,6 +265,21 @@ def test_large_buckets_and_blocks_agree(spark, monkeypatch):
     assert dropped() == large and 0 < len(large) < len(rows)
 
 
+@pytest.mark.parametrize("size", [40, 300])
+def test_rows_of_a_bucket_grow_with_its_lines_not_their_pairs(spark, monkeypatch, size):
+    """Near lines that nothing links yet: what is handed on is lines, in a small bucket and in a large one."""
+    monkeypatch.setattr(lines, "CHOICES", 1)
+    rows = [(i, 1 << i % 64 | 1 << i // 64, bytearray(b"\1\0\0\0")) for i in range(2, size + 2)]
+    rows = [(i, h - (1 << 64) if h >> 63 else h, w) for i, h, w in rows]
+    nodes = spark.createDataFrame(rows, "node long, hash long, windows binary")
+    found = lines._buckets(nodes).collect()
+    assert sorted(r["node"] for r in found if r["bucket"] is not None) == [r[0] for r in rows] and len(found) == size
+    large = spark.createDataFrame([(1 << 8, i, h) for i, h, _ in rows], "bucket long, node long, hash long")
+    centres = spark.createDataFrame([(1 << 8, 2, rows[0][1])], "bucket long, centre long, centre_hash long")
+    got = lines._unlinked(large, centres, spark.createDataFrame([], "node long, root long"))
+    assert sorted(r["node"] for r in got.collect()) == [r[0] for r in rows[1:]]
+
+
 def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     points = rng.standard_normal((900, 12))
