@@ -2,11 +2,12 @@
 
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from checks import text_cases
+from checks import ml_cases, text_cases
 from tallyframe.operators import neighbours, questions, retrieval
 from tallyframe.plans.analysis import analyse
 
@@ -210,6 +211,25 @@ def test_neighbours_meet_few_blocks(spark):
     assert compared < 500 * 500 + 0.2 * (1500 * 1500 - 500 * 500)
 
 
+@pytest.mark.parametrize("name", ["knn_predict", "knn_cells"])
+def test_neighbour_queries_search_for_every_row(spark, tmp_path, name):
+    rng = np.random.default_rng(11)
+    points = rng.integers(0, 5, (720, 4)).astype(float)
+    rows = [(3 * i + 1, p.tolist(), i % 3) for i, p in enumerate(points)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: r["prediction"] for r in ml_cases.CASES[name][0](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, (key, _, _) in enumerate(rows):
+        distance = ((points - points[i]) ** 2).sum(axis=1)
+        votes = Counter(j % 3 for j in np.lexsort((np.arange(720), distance))[:5])
+        want[key] = min(votes, key=lambda label: (-votes[label], label))
+    assert got == want
+    # the SQL asks for every row as well
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert dict(con.execute(ml_cases.CASES[name][1]).fetchall()) == want
+
+
 def test_few_rows_are_searched_without_cells(spark, monkeypatch):
     rng = np.random.default_rng(5)
     points = rng.integers(0, 4, (400, 3)).astype(float)
