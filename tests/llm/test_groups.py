@@ -265,6 +265,55 @@ def test_large_buckets_and_blocks_agree(spark, monkeypatch):
     assert dropped() == large and 0 < len(large) < len(rows)
 
 
+def test_lines_of_many_lengths_meet_by_length(spark, monkeypatch):
+    """Lines that share windows, of 40 to 900 characters: those of other lengths are no pairs, the groups stay the same."""
+    rng = random.Random(4)
+    rows = []
+    for n in range(60):
+        words = ["the same beginning of all lines", *[f"w{rng.randrange(40)}" for _ in range(rng.randrange(4, 220))]]
+        rows.append(words)
+        for _ in range(3):
+            other = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 6)):
+                other[rng.randrange(1, len(words))] = f"w{rng.randrange(40)}"
+            rows.append(other)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+
+    def dropped():
+        return sorted(r["doc_id"] for r in lines.deduplicated_lines(docs).collect() if r["n_dropped"])
+
+    whole = dropped()
+    assert 60 < len(whole) < 240
+    for name, value in (("MEET", 16), ("WIDE", 8), ("PART", 4), ("BLOCK", 9)):
+        monkeypatch.setattr(lines, name, value, raising=False)
+    assert dropped() == whole
+    # of one bucket, only lines that lengths allow to be similar are near
+    monkeypatch.undo()
+    monkeypatch.setattr(lines, "CHOICES", 1)
+    nodes = [(i, 5, 20 + i, bytearray(b"\1\0\0\0")) for i in range(60)]
+    found = lines._buckets(spark.createDataFrame(nodes, "node long, hash long, chars int, windows binary")).collect()
+    assert all(r["bucket"] is not None for r in found) and len(found) == 60
+    apart = [(i, 5, 20 * 2**i, bytearray(b"\1\0\0\0")) for i in range(9)]
+    assert not lines._buckets(spark.createDataFrame(apart, "node long, hash long, chars int, windows binary")).collect()
+
+
+def test_bounds_on_beginnings_leave_few_distances(monkeypatch):
+    rng = random.Random(6)
+    whole = ["".join(rng.choice(("the ", "ing", "tion ", "er", "é", "中")) for _ in range(rng.randrange(60, 90))) for _ in range(60)]
+    for i in range(0, 60, 2):
+        whole[i + 1] = "".join(c for c in whole[i] if rng.random() > rng.choice((0.05, 0.18, 0.22)))
+    pairs = [(a, b) for b in range(60) for a in range(b) if abs(len(whole[a]) - len(whole[b])) <= int(0.2 * max(len(whole[a]), len(whole[b])))]
+    x, y = np.array(pairs).T
+    similar = [lines.similar(whole[a].encode(), whole[b].encode()) for a, b in pairs]
+    may = lines.may_be_similar(whole, x, y)
+    assert may[similar].all() and may.sum() < 0.2 * len(pairs)
+    asked, exact = [], lines._similar
+    monkeypatch.setattr(lines, "_similar", lambda a, b: asked.append(1) or exact(a, b))
+    found = lines._links_of(whole, x, y, x, y, list(range(60)))
+    assert reach(range(60), [pairs[i] for i in found]) == reach(range(60), [p for p, s in zip(pairs, similar) if s])
+    assert len(asked) < 0.2 * len(pairs)
+
+
 @pytest.mark.parametrize("size", [40, 300])
 def test_rows_of_a_bucket_grow_with_its_lines_not_their_pairs(spark, monkeypatch, size):
     """Near lines that nothing links yet: what is handed on is lines, in a small bucket and in a large one."""
