@@ -36,11 +36,12 @@ TOP = 2000
 SCALE = 2_000_000
 # Words that a task holds before it writes them as blocks.
 BLOCK_WORDS = 1 << 21
-# Entries that a task folds at once, and numbers in one row of encoded words.
-FOLD = 1 << 21
+# Entries that a task folds at once, those of its table from which it is written, and numbers in one row of encoded words.
+FOLD = 1 << 19
+TABLE = 3 << 20
 ROW_IDS = 1 << 18
 # Encoded words of all blocks that one shard of counters stands for.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 ID_SPREAD = 4096
 # Bits of the bitmap of shorter phrases, and of one row of it.
 MAP_BITS = 26
@@ -215,6 +216,30 @@ def folded(left, right, counts, bits: tuple[int, int]):
     return left[firsts], right[firsts], sums
 
 
+def merged(table, new, bits: tuple[int, int]):
+    """Sorted different entries of both, with the sums of their counts; ``table`` may be changed.
+
+    The new entries are looked up in the table, so that beside it only its keys and one column of it are held.
+    """
+    import numpy as np
+
+    if sum(bits) > 64 or not len(table[0]):
+        return folded(*[np.concatenate(x) for x in zip(table, new)], bits)
+    left, right, counts = table
+    keys = left << np.uint64(bits[1])
+    keys |= right
+    wanted = (new[0] << np.uint64(bits[1])) | new[1]
+    places = np.searchsorted(keys, wanted)
+    known = keys[np.minimum(places, len(keys) - 1)] == wanted
+    del keys, wanted
+    # the keys of either side are different, so no place is named twice
+    counts[places[known]] += new[2][known]
+    places, other = places[~known], [x[~known] for x in new]
+    left = np.insert(left, places, other[0])
+    right = np.insert(right, places, other[1])
+    return left, right, np.insert(counts, places, other[2])
+
+
 def _small(values) -> tuple[bytes, bytes]:
     """One byte each; 255 sends to the second list."""
     import numpy as np
@@ -318,9 +343,10 @@ def _filters(encoded: DataFrame, size: int, id_bits: int, shard_bits: int, bitma
             nonlocal table, held, waiting
             if held:
                 left, right = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-                new = folded(left, right, None, bits)
-                table = new if table is None else folded(*[np.concatenate(x) for x in zip(table, new)], bits)
                 held, waiting = [], 0
+                new = folded(left, right, None, bits)
+                old, table = table, None
+                table = new if old is None else merged(old, new, bits)
 
         def flushed():
             nonlocal table
@@ -344,7 +370,7 @@ def _filters(encoded: DataFrame, size: int, id_bits: int, shard_bits: int, bitma
                     waiting += len(starts)
                 if waiting >= FOLD:
                     fold()
-                    if len(table[0]) >= FOLD:
+                    if len(table[0]) >= TABLE:
                         yield from flushed()
         fold()
         yield from flushed()
@@ -362,14 +388,16 @@ def _merged(filters: DataFrame, size: int, id_bits: int, shard_bits: int, min_co
         from pyspark.sql.pandas.types import to_arrow_schema
 
         shard = part.column("shard")[0].as_py()
-        kept, waiting, merged = [], 0, None
-        for row in part.drop_columns("shard").to_pylist():
-            kept.append(entries_of(row, bits, shard, shard_bits))
+        kept, waiting, table = [], 0, None
+        rows = part.drop_columns("shard")
+        for i in range(rows.num_rows):
+            kept.append(entries_of(rows.slice(i, 1).to_pylist()[0], bits, shard, shard_bits))
             waiting += len(kept[-1][0])
-            if waiting >= FOLD:
-                merged = folded(*[np.concatenate(x) for x in zip(*kept)], bits)
-                kept, waiting = [merged], 0
-        left, right, counts = folded(*[np.concatenate(x) for x in zip(*kept)], bits) if len(kept) > 1 or merged is None else merged
+            if waiting >= FOLD or i + 1 == rows.num_rows:
+                new = folded(*[np.concatenate(x) for x in zip(*kept)], bits)
+                kept, waiting = [], 0
+                table = new if table is None else merged(table, new, bits)
+        left, right, counts = table
         often = counts >= min_count
         left, right = permuted(left[often], right[often], bits, back=True)
         ids = []

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -70,6 +71,33 @@ def test_collocations_without_phrases(spark, no_rows):
     assert phrases.collocations(rare).count() == 0
 
 
+def test_collocations_in_many_small_tables(spark, monkeypatch):
+    docs = spark.createDataFrame(texts(5, 400), "doc_id long, lang string, text string")
+    whole = sorted(tuple(r) for r in phrases.collocations(docs, min_count=5, top=40).collect())
+    for name, size in (("FOLD", 64), ("TABLE", 150), ("ROW_IDS", 16)):
+        monkeypatch.setattr(phrases, name, size)
+    assert sorted(tuple(r) for r in phrases.collocations(docs, min_count=5, top=40).collect()) == whole and whole
+
+
+@pytest.mark.parametrize("size,id_bits", [(2, 20), (4, 17)])
+def test_new_entries_are_merged_with_little_beside_the_table(size, id_bits):
+    """(4, 17) has more than 64 bits."""
+    rng, bits = np.random.default_rng(size), phrases.halves(size, id_bits)
+    tables = []
+    for n in (300_000, 20_000):
+        sides = [rng.integers(0, 1 << b, n).astype(np.uint64) for b in bits]
+        sides[0][: n // 2], sides[1][: n // 2] = np.arange(n // 2) % 5_000, 7
+        tables.append(phrases.folded(*sides, None, bits))
+    want = phrases.folded(*[np.concatenate(x) for x in zip(*tables)], bits)
+    tracemalloc.start()
+    got = phrases.merged(*tables, bits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((g == w).all() for g, w in zip(got, want)) and got[2].max() > 1
+    # sorting both together takes three times the table
+    assert sum(bits) > 64 or peak < 1.8 * sum(x.nbytes for x in got)
+
+
 @pytest.mark.parametrize("size,id_bits,shard_bits", [(2, 1, 1), (2, 9, 4), (3, 17, 8), (4, 5, 3), (4, 31, 8)])
 def test_filters_keep_everything(size, id_bits, shard_bits):
     rng = np.random.default_rng(size * 100 + id_bits)
