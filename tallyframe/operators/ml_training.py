@@ -292,7 +292,8 @@ def train(
     rows = spread(prepare(df, target, features, task, keys), KEY)
 
     balance, labels, imbalanced = None, [], False
-    n = rows.count()
+    # counted in one scan
+    n, several = rows.agg(F.count(F.lit(1)), F.min(LABEL) < F.max(LABEL)).first()
     if task == "classification":
         sizes = ml_schema.class_balance(rows, LABEL)
         if sizes.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
@@ -302,7 +303,7 @@ def train(
         imbalanced = min(balance.values()) / n < 0.2
         distinct = len(labels)
     else:
-        distinct = 2 if rows.agg(F.min(LABEL) < F.max(LABEL)).first()[0] else 1
+        distinct = 2 if several else 1
     if n < MIN_ROWS or distinct < 2:
         raise ValueError("Not enough usable target data to train a model")
     stratify = bool(balance) and min(balance.values()) >= 2 and len(labels) < n * 0.5

@@ -4,7 +4,7 @@ import fixtures
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import chart_select, ml_training, profile, summaries, tools
+from tallyframe.operators import chart_select, ml_schema, ml_training, profile, summaries, tools
 from tallyframe.operators.cleaning import clean_table
 from tallyframe.plans.analysis import analyse
 from tallyframe.plans.specs import Filter, Group
@@ -118,3 +118,16 @@ def test_regression_training(spark):
     assert error < 0.5
     with pytest.raises(ValueError, match="not found: remote_allowed"):
         ml_training.batch_score(result.best, fixtures.ratings(spark).drop("remote_allowed"))
+
+
+def test_schema_lists_values_of_possible_categories_only(spark, monkeypatch):
+    rows = [(i, float(i % 50), "ab"[i % 2], ["yes", "no"][i % 3 == 0], f"2024-01-{i % 28 + 1:02d}", i % 5) for i in range(100)]
+    df = spark.createDataFrame(rows, "key long, price double, kind string, loyal string, order_date string, size int")
+    asked, counted = [], ml_schema.value_frequencies
+    monkeypatch.setattr(ml_schema, "value_frequencies", lambda df, names, **more: asked.append(list(names)) or counted(df, names, **more))
+    got = {r["feature_name"]: (r["type"], r["allowed_values"]) for r in ml_schema.feature_schema(df, "price").collect()}
+    assert asked == [df.columns, ["kind", "loyal", "order_date"]]
+    assert got["kind"] == ("categorical", ["a", "b"]) and got["loyal"] == ("boolean", ["true", "false"])
+    assert got["size"] == ("numeric", None) and got["order_date"][1] is None
+    whole = ml_schema.feature_schema(df, "price", counted(df, df.columns, short=True)).collect()
+    assert {r["feature_name"]: (r["type"], r["allowed_values"]) for r in whole} == got
